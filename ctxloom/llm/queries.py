@@ -1,9 +1,10 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, topk, warc
+from . import bpe, quality, rans, simhash, topk, warc
 from .mixing import mix_sources
 
 
@@ -23,15 +24,23 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_topk, op5_simhash, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_topk, op4_bpe, op5_simhash, op7_rans, op9_quality)}
 
 ORACLE: dict[str, str] = {
     "op2_warc": """
