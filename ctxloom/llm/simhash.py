@@ -3,9 +3,9 @@
 A 64-bit fingerprint is cut into three segments; of two fingerprints that differ in at most four bits,
 one segment differs in at most one. So each fingerprint is indexed under every segment with one bit
 wild (64 keys), equal keys meet in equality joins, and the full distance is verified. Links inside a
-bucket are found in two exact passes that never list all pairs of a group: every member is first held
-against the bucket's least member; then only members outside the bucket's main component are held
-against the rest of the bucket.
+bucket are found without listing all pairs of a group: in a few rounds every member is held against one
+hub of its bucket, which joins what is dense; then, exactly, the members outside their bucket's largest
+component are held against the rest of the bucket.
 """
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spill
@@ -62,26 +62,36 @@ def _variants(fp: F.Column) -> F.Column:
     return F.explode(F.array(*keys))
 
 
-def link(nodes: DataFrame, most: int = 4) -> DataFrame:
+def link(nodes: DataFrame, most: int = 4, rounds: int = 3) -> DataFrame:
     """(fp, root) for every distinct fingerprint: the components of all pairs that differ in at most most bits (4 or fewer)."""
     if not 0 <= most <= 4:
         raise ValueError("three segments serve distances up to 4")
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most
-    every = nodes.select("fp", _variants(F.col("fp")).alias("key"))
-    hubs = every.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
-    shared = spill(every.join(hubs, "key"), "simhash-shared")
-    first = components(shared.filter((F.col("fp") != F.col("hub")) & near(F.col("fp"), F.col("hub"))).select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    first = spill(nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-first")
-    # buckets that hold several components: their main component's members need no comparison with each other
-    rooted = shared.select("key", "fp").join(first, "fp")
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = spill(rooted.join(main.select("key", F.col("top.root").alias("main")), "key"), "simhash-mixed")
-    x = mixed.filter("root <> main").select("key", F.col("fp").alias("xf"), F.col("root").alias("xr"))
-    y = mixed.select("key", F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
-    on = (x.key == y.key) & (F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xf") < F.col("yf"))) & near(F.col("xf"), F.col("yf"))
-    second = components(x.join(y, on).select(F.col("xr").alias("a"), F.col("yr").alias("b")))
-    return first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
+    roots = nodes.select("fp", F.col("fp").alias("root"))
+    # each member of a bucket against one hub, another hub each round: a group of copies falls together
+    # without a comparison of all its pairs
+    for seed in range(rounds):
+        every = roots.select("fp", "root", _variants(F.col("fp")).alias("key"))
+        order = F.xxhash64("fp", F.lit(seed)) if seed else F.col("fp")
+        hubs = every.groupBy("key").agg(F.min(F.struct(order.alias("o"), "fp", "root")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        hubs = hubs.select(F.col("key").alias("hub_key"), F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root"))
+        found = every.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("root") != F.col("hub_root")) & near("fp", "hub"))
+        roots = _merge(roots, found.select(F.col("root").alias("a"), F.col("hub_root").alias("b")))
+    # what is still apart, exactly: members outside their bucket's largest component against the bucket
+    every = roots.select("fp", "root", _variants(F.col("fp")).alias("key"))
+    bucket, part = Window.partitionBy("key"), Window.partitionBy("key", "root")
+    apart = every.withColumn("n", F.count(F.lit(1)).over(part)).withColumn("main", F.max(F.struct("n", "root")).over(bucket)["root"])
+    apart = apart.withColumn("least", F.min("root").over(bucket)).withColumn("largest", F.max("root").over(bucket)).filter("least <> largest")
+    x = apart.filter("root <> main").select("key", F.col("fp").alias("xf"), F.col("root").alias("xr"))
+    y = apart.select(F.col("key").alias("y_key"), F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
+    on = (F.col("key") == F.col("y_key")) & (F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xf") < F.col("yf"))) & near("xf", "yf")
+    return _merge(roots, x.join(y, on).select(F.col("xr").alias("a"), F.col("yr").alias("b")))
+
+
+def _merge(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots after joining the components that edges between roots connect."""
+    found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return spill(roots.join(found, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
