@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, rans, simhash, topk, warc
+from . import bpe, hmm, langid, quality, rans, simhash, topk, warc
 from .mixing import mix_sources
 
 
@@ -32,15 +32,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents")).drop("languages")
+
+
 def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_topk, op4_bpe, op5_simhash, op7_rans, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_topk, op4_bpe, op5_simhash, op6_langid, op7_rans, op8_hmm, op9_quality)}
 
 ORACLE: dict[str, str] = {
     "op2_warc": """
