@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hmm, langid, quality, rans, simhash, topk, warc
+from . import bpe, hmm, langid, quality, rans, simhash, suffix, topk, warc
 from .mixing import mix_sources
 
 
@@ -48,7 +48,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_topk, op4_bpe, op5_simhash, op6_langid, op7_rans, op8_hmm, op9_quality)}
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.find_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_topk, op4_bpe, op5_simhash, op6_langid, op7_rans, op8_hmm, op9_quality, op10_suffix)}
 
 ORACLE: dict[str, str] = {
     "op2_warc": """
