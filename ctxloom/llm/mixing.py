@@ -104,7 +104,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     is a row like others (rows alike in source, size and id may exchange their copies). Size 0 takes
     nothing. An empty table gives an empty result. Other columns are not read.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return _mix(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), weights, cap)
+
+
+def _mix(sized: DataFrame, weights: tuple[float, ...], cap: int) -> DataFrame:
     sized = spill(sized.withColumn("key", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))), "mix-sized")
     hist = spill(sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = spill(source_targets(hist, weights, float(cap)), "mix-targets")
@@ -123,3 +126,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     return rows.join(targets.select("key", "source_size", "target"), "key").select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies"
     )
+
+
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken. Columns are those of docs.
+
+    Rows are known by two 64-bit hashes over all their columns, so ids may be null or repeat; rows alike in
+    every column are taken together.
+    """
+    row = F.concat_ws(":", F.xxhash64(*docs.columns), F.xxhash64(F.lit("second"), *docs.columns))
+    keyed = docs.withColumn("__row", row)
+    times = mix_sources(keyed, weights, cap, id_col="__row").groupBy("doc_id").agg(F.sum("copies").alias("__times")).filter("__times > 0")
+    times = spill(times.withColumnRenamed("doc_id", "__row"), "mix-times")
+    taken = keyed.dropDuplicates(["__row"]).join(times, "__row")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
