@@ -11,7 +11,7 @@ n_words uint32 code words.
 """
 from __future__ import annotations
 
-import re
+import json
 import struct
 import uuid
 import zlib
@@ -111,42 +111,103 @@ def unpack_block(coder: Coder, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.n
 class WordCachedEncoder:
     """The tokenizers library over a byte-level BPE file, asked once for each new word.
 
-    No pre-token of such a file's pattern crosses from a non-space into a lone space, so a text without
-    neighbouring white space is the join of its words' encodings; any other text is encoded whole.
+    By the pattern of such files no pre-token reaches over a lone space or line end between other
+    characters, or over a full stop or comma that ends a word after a letter. So a text is the join of its
+    words' encodings, but for texts with neighbouring white space, which are encoded whole. New words are
+    handed over many at a time, with a special token between them to tell their ids apart.
     """
 
-    _RUNS = re.compile(r"\s\s|^\s|\s$")
-
     def __init__(self, path: str, most_cached: int = 300_000):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"] or {}
+        self.by_word = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and bool(spec["added_tokens"])
         self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
-        self.most, self.known, self.older = most_cached, {}, {}
+        self.most, self.known, self.older, self.starts = most_cached, {}, {}, {}
+        if self.by_word:
+            self.mark, self.mark_id = next(iter(self.special.items()))
+            self.tails = dict(zip(("", ".", ","), [b"", *self._whole([".", ","])]))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, texts: list[str], lead: str) -> list[bytes]:
+        """Encodings of lead + text; none holds a special token."""
+        out, width, between = [], np.dtype(self.dtype).itemsize, self.mark + lead
+        for at in range(0, len(texts), 2000):
+            ids = np.array(self.lib.encode_batch_fast([lead + between.join(texts[at : at + 2000])], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(ids == self.mark_id) * width
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *(cut + width).tolist()], [*cut.tolist(), len(raw)])]
+        return out
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        kind = self.dtype
-        return [np.array(e.ids, kind).tobytes() for at in range(0, len(texts), 20_000) for e in self.lib.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> list[str]:
+        """Adds new words to the cache; those that hold line ends are returned, to be dropped after use."""
+        known, older, starts = self.known, self.older, self.starts
+        ask, ask_start, made, brief = {}, {}, [], []
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                known[w] = None
+                continue
+            first, *rest = w.split("\n")
+            if rest:
+                brief.append(w)
+                if any(not x or x[0].isspace() or x[-1].isspace() for x in (first, *rest)):
+                    first, rest = w, []
+            parts = []
+            for i, x in enumerate((first, *rest)):
+                tail = x[-1] if x[-1] in ".," and len(x) > 1 and x[-2].isalpha() else ""
+                base = x[: len(x) - len(tail)]
+                if i:
+                    if base not in starts:
+                        ask_start[base] = None
+                elif base not in known and base not in ask:
+                    if base in older:
+                        known[base] = older[base]
+                    else:
+                        ask[base] = None
+                parts.append((base, tail))
+            made.append((w, parts))
+        known.update(zip(ask, self._ask(list(ask), " ")))
+        starts.update(zip(ask_start, self._ask(list(ask_start), "\n")))
+        for w, parts in made:
+            (base, tail), *rest = parts
+            if rest or tail:
+                known[w] = known[base] + self.tails[tail] + b"".join([starts[x] + self.tails[t] for x, t in rest])
+        return brief
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self._RUNS.search(t) or any(s in t for s in self.special)]
         out: list = [None] * len(texts)
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
-            out[i] = ids
+        if self.by_word:
+            plain = [i for i, t in enumerate(texts) if not ("<" in t and any(s in t for s in self.special))]
+            cut = [texts[i].split(" ") for i in plain]
+            firsts = self._ask([c[0] for c in cut], "") if cut else []
+            used = set().union(*[c[1:] for c in cut])
+            if len(self.known) + len(used) > self.most:
+                self.known, self.older = {}, self.known
+            if len(self.starts) > self.most // 4:
+                self.starts = {}
+            known, older = self.known, self.older
+            missing = [w for w in used if w not in known]
+            if older:
+                known.update([(w, older[w]) for w in missing if w in older])
+                missing = [w for w in missing if w not in known]
+            brief = self._learn(missing)
+            get = known.__getitem__
+            for i, c, first in zip(plain, cut, firsts):
+                if c[0] and not c[0][-1].isspace():
+                    ids = list(map(get, c[1:]))
+                    if None not in ids:
+                        out[i] = first + b"".join(ids)
+            for w in brief:
+                del known[w]
         rest = [i for i, x in enumerate(out) if x is None]
-        cut = [texts[i].split(" ") for i in rest]
-        firsts = self._ask([c[0] for c in cut])
-        used = set().union(*cut)
-        if len(self.known) + len(used) > self.most:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = [w for w in used if w not in known]
-        known.update((w, older[w]) for w in missing if w in older)
-        missing = [w for w in missing if w not in older]
-        known.update(zip(missing, self._ask([" " + w for w in missing])))
-        for i, c, first in zip(rest, cut, firsts):
-            out[i] = first + b"".join([known[w] for w in c[1:]])
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest])):
+            out[i] = ids
         return out
 
 
