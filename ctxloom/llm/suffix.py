@@ -34,8 +34,8 @@ from .warc import _prefix
 
 LENGTH, GRAM = 50, 25
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of text in a block and in one step of numpy work; open cells of a gram from which it is cut up.
-BLOCK, STEP, HOT = 4 << 20, 1 << 18, 4096
+#: Bytes of text in a block, for each part, and in one step of numpy work; open cells of a gram from which it is cut up.
+BLOCK, PART, STEP, HOT = 2 << 20, 4 << 20, 1 << 18, 4096
 
 _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,7 +151,7 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """The manifest (block, path, offset, bytes) of the documents written as compressed Arrow data."""
+    """The manifest (block, path, offset, bytes, text_bytes) of the documents written as compressed Arrow data."""
     text_at, prefix = docs.columns.index(text_col), _prefix(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +170,15 @@ def write_blocks(docs: DataFrame, folder: str, id_col: str, text_col: str) -> Da
                 raw = sink.getvalue()
                 out = out or store.open_output_stream(name, compression=None)
                 out.write(raw)
-                rows.append((no, prefix + name, at, len(raw)))
+                rows.append((no, prefix + name, at, len(raw), int(total[hi - 1] - (total[lo - 1] if lo else 0))))
                 at, no, lo = at + len(raw), no + 1, hi
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["block", "path", "offset", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["block", "path", "offset", "bytes", "text_bytes"])
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.mapInArrow(run, "block long, path string, offset long, bytes long")
+    return docs.mapInArrow(run, "block long, path string, offset long, bytes long, text_bytes long")
 
 
 def _read(path: str, offset: int, size: int) -> bytes:
@@ -191,12 +191,12 @@ def dc3(s: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers by the difference cover {1, 2} modulo 3."""
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.int64) + 1, np.zeros(3, np.int64)])
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int32)
+    t = np.concatenate([s.astype(np.int32) + 1, np.zeros(3, np.int32)])
     bits = int(t.max()).bit_length()
 
     def pack(*cols: np.ndarray) -> np.ndarray:
-        key, used = cols[0], bits
+        key, used = cols[0].astype(np.int64), bits
         for c, width in zip(cols[1:], (bits, bits)):
             if used + width > 62:
                 _, key = np.unique(key, return_inverse=True)
@@ -205,31 +205,34 @@ def dc3(s: np.ndarray) -> np.ndarray:
         return key
 
     # names of the sampled triples; when n % 3 == 1 one empty triple closes the first run
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
+    one = np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32)
+    two = np.arange(2, n, 3, dtype=np.int32)
     at = np.concatenate([one, two])
     _, name = np.unique(pack(t[at], t[at + 1], t[at + 2]), return_inverse=True)
+    name = name.astype(np.int32)
     if name.max() + 1 < len(at):
         order = dc3(name)
     else:
         order = np.argsort(name)
     order = at[order]
-    rank = np.zeros(n + 4, np.int64)
+    del name
+    rank = np.zeros(n + 4, np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     order = order[order < n]
     # the remaining suffixes, by their first letter and the rank of the next
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3, dtype=np.int32)
     wide = int(rank.max()).bit_length()
-    key0 = (t[rest] << wide) | rank[rest + 1]
+    two_of = lambda first, second, width: (first.astype(np.int64) << width) | second
+    key0 = two_of(t[rest], rank[rest + 1], wide)
     rest = rest[np.argsort(key0, kind="stable")]
     key0.sort()
     # merge: how many sampled suffixes precede each of the rest, for either residue
     a = order[order % 3 == 1]
     b = order[order % 3 == 2]
-    before = np.searchsorted((t[a] << wide) | rank[a + 1], key0)
-    _, pair = np.unique(np.concatenate([(t[b] << bits) | t[b + 1], (t[rest] << bits) | t[rest + 1]]), return_inverse=True)
-    before = before + np.searchsorted((pair[: len(b)] << wide) | rank[b + 2], (pair[len(b) :] << wide) | rank[rest + 2])
-    out = np.empty(n, np.int64)
+    before = np.searchsorted(two_of(t[a], rank[a + 1], wide), key0)
+    _, pair = np.unique(np.concatenate([two_of(t[b], t[b + 1], bits), two_of(t[rest], t[rest + 1], bits)]), return_inverse=True)
+    before = before + np.searchsorted(two_of(pair[: len(b)], rank[b + 2], wide), two_of(pair[len(b) :], rank[rest + 2], wide))
+    out = np.empty(n, np.int32)
     place = before + np.arange(len(rest))
     out[place] = rest
     free = np.ones(n, bool)
@@ -240,7 +243,7 @@ def dc3(s: np.ndarray) -> np.ndarray:
 
 def least_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each start, the least owner among all starts whose LENGTH-byte strings are the same."""
-    wanted = np.full(len(data), -1, np.int64)
+    wanted = np.full(len(data), -1, np.int32)
     wanted[starts] = np.arange(len(starts))
     sa = dc3(data)
     picked = wanted[sa]
@@ -354,11 +357,12 @@ def _ramp(count: np.ndarray) -> np.ndarray:
 def _run(docs: DataFrame, id_col: str, text_col: str, emit, schema, hot: int) -> DataFrame:
     """The steps; emit turns a block and its removed bytes into record batches of schema."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    tasks = partitions(spark)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     folder = new_path(spark, "suffix")
     manifest = spill(write_blocks(docs, folder, id_col, text_col), "suffix-manifest")
-    spread = manifest.repartition(max(parts, 1))
+    parts = max(tasks, -(-(manifest.agg(F.sum("text_bytes")).first()[0] or 0) // PART))  # groups of bounded size
+    spread = manifest.select("block", "path", "offset", "bytes").repartition(tasks)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,7 +379,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit, schema, hot: int) ->
 
     verdicts = spread.mapInArrow(hashes, BLOBS).groupBy("part").applyInArrow(lambda t: _verdicts(t, hot), BLOBS)
     verdicts = spill(_gather(verdicts, "codes"), "suffix-codes")
-    known = manifest.join(verdicts, "block", "left").select("block", "path", "offset", "bytes", "codes").repartition(max(parts, 1))
+    known = manifest.join(verdicts, "block", "left").select("block", "path", "offset", "bytes", "codes").repartition(tasks)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -402,7 +406,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit, schema, hot: int) ->
 
     low = known.mapInArrow(strings, BLOBS).groupBy("part").applyInArrow(_compare, BLOBS)
     low = spill(_gather(low, "low"), "suffix-low")
-    known = manifest.join(verdicts, "block", "left").join(low, "block", "left").select("block", "path", "offset", "bytes", "codes", "low").repartition(max(parts, 1))
+    known = manifest.join(verdicts, "block", "left").join(low, "block", "left").select("block", "path", "offset", "bytes", "codes", "low").repartition(tasks)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
