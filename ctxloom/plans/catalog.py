@@ -1,2 +1,524 @@
-"""The query catalogue."""
-QUERIES = {}
+"""The query catalogue: each entry takes (spark, sf_dir) and returns a DataFrame over whole tables."""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import tokenizers
+from ..functions.ids import content_hash, hex_of
+from ..operators import ann, reduce, retrievers, traces
+from ..operators.packer import Packer
+from ..operators.pager import Pager, Plan, Policy
+from ..sources import fixtures as fx
+from ..sources import tables as st
+from ..sources.tables import Tables
+from .models import BUDGET_TABLES, SECTIONS, ModelProfile, ModelRegistry, SectionBudgets, section_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+NOW_MS = 1767225600000
+
+# A bench and a test profile; word-level counts are exact in both engines.
+_TEST_PROFILES = (("page-4k", 4500, 400, 100), ("page-8k", 8500, 400, 100), ("chat-300", 400, 80, 20), ("chat-60", 90, 20, 10), ("wide", 4_000_000, 0, 0))
+
+
+def profiles(spark: SparkSession) -> DataFrame:
+    registry = ModelRegistry(defaults=False)
+    for p in _TEST_PROFILES:
+        registry.register(ModelProfile(*p))
+    return registry.table(spark)
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def requests(sessions: DataFrame, model: str, task: str = "", required=None) -> DataFrame:
+    """A request for each row of sessions(session_id)."""
+    return sessions.select("session_id").distinct().select(
+        F.col("session_id").alias("request_id"), "session_id", F.lit(task).alias("task"), F.lit(model).alias("model"), (F.array().cast("array<string>") if required is None else required).alias("required")
+    )
+
+
+def _doc_tables(spark: SparkSession, sf_dir: str, session: str = "source", edges: bool = False, parents: bool = False) -> Tables:
+    return fx.plain_tables(fx.documents(spark, sf_dir, session, parents), fx.edges(spark, sf_dir) if edges else None)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Tables:
+    return st.put(fx.empty_tables(spark), fx.documents(spark, sf_dir))
+
+
+TASK = "the for and with password license work der die que para les dans"
+
+
+# -- store
+@query
+def store_dedup_put(spark, sf_dir):
+    return _stored(spark, sf_dir).blocks.select("block_id", "kind", "content_hash")
+
+
+@query
+def store_membership(spark, sf_dir):
+    return _stored(spark, sf_dir).session_blocks.select("session_id", "block_id")
+
+
+@query
+def store_get(spark, sf_dir):
+    t = _doc_tables(spark, sf_dir)
+    return st.get(t, f"{fx.EPOCH + 42 * 1000:012x}{42:020x}").select("block_id", "kind", "content_hash", "created_at_ms")
+
+
+@query
+def store_list_sessions(spark, sf_dir):
+    return st.list_sessions(fx.plain_tables(fx.conversations(spark, sf_dir)))
+
+
+@query
+def store_list_session(spark, sf_dir):
+    return st.list_session(fx.plain_tables(fx.conversations(spark, sf_dir)), f"{7:032x}")
+
+
+@query
+def store_lookup_hash(spark, sf_dir):
+    asked = fx.table(spark, sf_dir, "documents").select(content_hash(F.col("text").cast("binary")).alias("content_hash"))
+    return st.lookup_hash(_stored(spark, sf_dir), asked)
+
+
+@query
+def store_delete_cascade(spark, sf_dir):
+    t = _doc_tables(spark, sf_dir, edges=True)
+    gone = fx.table(spark, sf_dir, "documents").filter("doc_id % 7 = 0").select(fx.doc_block(F.col("doc_id")).alias("block_id"))
+    t = st.delete(t, gone)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+    return n(t.blocks, "blocks").unionByName(n(t.session_blocks, "session_blocks")).unionByName(n(t.edges, "edges")).unionByName(n(t.hash_index, "hash_index"))
+
+
+@query
+def store_purge_session(spark, sf_dir):
+    t = _stored(spark, sf_dir)
+    gone = spark.createDataFrame([("src1",), ("src5",)], "s string").select(F.md5("s").alias("session_id"))
+    after, removed = st.purge_sessions(t, gone)
+    left = after.blocks.agg(F.count(F.lit(1)).alias("removed")).select(F.lit("blocks left").alias("session_id"), "removed")
+    return removed.unionByName(left)
+
+
+def _faulty(spark, sf_dir) -> Tables:
+    """doc_id divisible by 97: stored hash altered; by 89: no index entry; by 83: block gone, membership left."""
+    d = fx.documents(spark, sf_dir)
+    bad = d.withColumn("content_hash", F.when(F.col("seq") % 97 == 0, F.sha2(F.concat(F.lit("x"), F.col("seq").cast("string")).cast("binary"), 256)).otherwise(F.col("content_hash")))
+    kept = bad.filter("seq % 83 <> 0")
+    index = kept.filter("seq % 89 <> 0").groupBy("content_hash").agg(F.min("block_id").alias("block_id"))
+    return Tables(kept.drop("session_id", "seq"), d.select("session_id", "block_id"), spark.createDataFrame([], "from_id string, to_id string, kind string"), index)
+
+
+@query
+def store_verify(spark, sf_dir):
+    return st.verify(_faulty(spark, sf_dir))
+
+
+@query
+def store_verify_rows(spark, sf_dir):
+    return st.verify_rows(_faulty(spark, sf_dir))
+
+
+@query
+def store_repair_index(spark, sf_dir):
+    fixed, _ = st.repair(_faulty(spark, sf_dir))
+    return fixed.hash_index
+
+
+@query
+def edges_out(spark, sf_dir):
+    return st.edges_from(_doc_tables(spark, sf_dir, edges=True))
+
+
+@query
+def edges_in(spark, sf_dir):
+    hubs = fx.table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(fx.doc_block(F.col("doc_id")).alias("block_id"))
+    return st.edges_to(_doc_tables(spark, sf_dir, edges=True), hubs)
+
+
+@query
+def edge_idempotent(spark, sf_dir):
+    t = _doc_tables(spark, sf_dir, edges=True)
+    return st.put_edges(t, fx.edges(spark, sf_dir)).edges
+
+
+# -- models, tokens, budgets
+@query
+def model_input_budget(spark, sf_dir):
+    return ModelRegistry().table(spark).select("name", "tokenizer", "supports_system_role", "input_budget")
+
+
+@query
+def token_count_wordlevel(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", tokenizers.word_level().count(F.col("text")).alias("tokens"))
+
+
+@query
+def token_counts_stored(spark, sf_dir):
+    t = tokenizers.with_token_counts(_stored(spark, sf_dir).blocks, tokenizers.word_level())
+    return t.select("block_id", F.element_at("token_counts", "word-level").alias("tokens"))
+
+
+@query
+def token_count_bpe(spark, sf_dir):
+    import public_tokenizers as files
+
+    d = fx.table(spark, sf_dir, "documents")
+    rank = tokenizers.tiktoken_ranks("byte_bpe_50k", files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+    once = d.select("text").distinct().withColumn("tokens", rank.count(F.col("text")))
+    return d.select("doc_id", "text").join(once, "text").select("doc_id", "tokens")
+
+
+@query
+def budget_allocation(spark, sf_dir):
+    models = ModelRegistry().table(spark).select("name", "input_budget")
+    out = None
+    for table, fractions in BUDGET_TABLES.items():
+        b = SectionBudgets(dict(fractions))
+        for s in SECTIONS:
+            rows = models.select("name", F.lit(table).alias("budget_table"), F.lit(s).alias("section"), b.allocation(s, F.col("input_budget")).alias("tokens"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# -- retrieval
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("request_id", "block_id", F.round(F.col("score").cast("double"), 6).alias("score"), "source")
+
+
+def _chat(spark, sf_dir) -> tuple[DataFrame, Tables]:
+    c = fx.conversations(spark, sf_dir)
+    return requests(c, "chat-300", TASK), fx.plain_tables(c)
+
+
+def _docs(spark, sf_dir) -> tuple[DataFrame, Tables]:
+    d = fx.documents(spark, sf_dir)
+    return requests(d, "page-4k", TASK), fx.plain_tables(d)
+
+
+@query
+def retrieve_session(spark, sf_dir):
+    return _scores(retrievers.Session(limit=3)(*_chat(spark, sf_dir)))
+
+
+@query
+def retrieve_recency_linear(spark, sf_dir):
+    return _scores(retrievers.Recency()(*_chat(spark, sf_dir)))
+
+
+@query
+def retrieve_recency_halflife(spark, sf_dir):
+    return _scores(retrievers.Recency(half_life_s=120.0)(*_chat(spark, sf_dir)))
+
+
+@query
+def retrieve_lexical(spark, sf_dir):
+    return _scores(retrievers.Lexical()(*_docs(spark, sf_dir)))
+
+
+@query
+def retrieve_bm25(spark, sf_dir):
+    return _scores(retrievers.Bm25()(*_docs(spark, sf_dir)))
+
+
+@query
+def retrieve_pinned(spark, sf_dir):
+    return _scores(retrievers.Pinned((f"{1:032x}", f"{2:032x}", f"{3:032x}"), limit=2)(*_chat(spark, sf_dir)))
+
+
+@query
+def cross_session_facts(spark, sf_dir):
+    asks, t = _chat(spark, sf_dir)
+    return _scores(retrievers.Shared(f"{0:032x}", score=0.75)(asks, t))
+
+
+def _vector_requests(spark, sf_dir) -> tuple[DataFrame, Tables, DataFrame]:
+    v = fx.embeddings(spark, sf_dir)
+    first = v.groupBy("session_id").agg(F.min_by("vector", "vec_id").alias("task_vector"))
+    asks = first.select(F.col("session_id").alias("request_id"), "session_id", F.lit("x").alias("task"), "task_vector")
+    cache = v.select(F.lit("toy").alias("embedder"), "content_hash", F.lit(64).alias("dim"), "vector", F.lit(1).cast("long").alias("version"))
+    t = Tables(v.select("block_id", "content_hash"), v.select("session_id", "block_id"), None, v.select("content_hash", "block_id"))
+    return asks, t, cache
+
+
+@query
+def retrieve_ann_exact(spark, sf_dir):
+    asks, t, cache = _vector_requests(spark, sf_dir)
+    out = ann.AnnExact(cache, "toy", limit=10)(asks, t)
+    return out.select("request_id", "block_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query
+def retrieve_ann_lsh(spark, sf_dir):
+    v = fx.embeddings(spark, sf_dir)
+    asks = v.filter("vec_id % 50 = 0").select(F.col("block_id").alias("query_id"), "session_id", "vector")
+    return ann.nearest_lsh(asks, v.select("session_id", F.col("block_id").alias("point_id"), "vector"), 64, 5)
+
+
+@query
+def embedding_cache_join(spark, sf_dir):
+    v = fx.embeddings(spark, sf_dir)
+    cache = v.filter("vec_id % 3 <> 0").select(F.lit("toy").alias("embedder"), "content_hash", F.lit(64).alias("dim"), "vector", (F.col("vec_id") % 2).alias("version"))
+    cache = cache.unionByName(cache.withColumn("version", F.col("version") + 1).withColumn("vector", F.transform("vector", lambda x: x * F.lit(2.0).cast("float"))))
+    got = v.select("block_id", "content_hash").join(ann.latest(cache).select("content_hash", "vector"), "content_hash", "left")
+    return got.select("block_id", F.col("vector").isNotNull().alias("hit"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
+
+
+@query
+def merge_max(spark, sf_dir):
+    asks, t = _docs(spark, sf_dir)
+    out = retrievers.merge(asks, t, [retrievers.Recency(), retrievers.Lexical(), retrievers.Session(0.25)])
+    return out.select("request_id", "block_id", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+# -- paging
+DOC_PAGER = Pager(retrievers=(retrievers.Recency(),))
+
+
+@query
+def rank_candidates(spark, sf_dir):
+    asks, t = _docs(spark, sf_dir)
+    bound, _ = DOC_PAGER.bind(asks, t, profiles(spark))
+    c = DOC_PAGER.candidates(bound, t)
+    rank = F.row_number().over(Window.partitionBy("request_id", "section").orderBy(F.desc("eff"), F.desc("score"), F.desc("block_id")))
+    return c.select("request_id", "section", rank.alias("rank"), "block_id", "tokens")
+
+
+def _page_docs(spark, sf_dir, pager: Pager = DOC_PAGER, model: str = "page-4k", **kw) -> tuple[DataFrame, Tables, Plan]:
+    d = fx.documents(spark, sf_dir, **kw)
+    t = fx.plain_tables(d)
+    asks = requests(d, model)
+    return asks, t, pager.page(asks, t, profiles(spark))
+
+
+def _page_chat(spark, sf_dir, model: str = "chat-300", task: str = "what next") -> tuple[DataFrame, Tables, Plan]:
+    c = fx.conversations(spark, sf_dir)
+    t, asks = fx.plain_tables(c), requests(c, model, task)
+    return asks, t, Pager(retrievers=(retrievers.Recency(),)).page(asks, t, profiles(spark))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query
+def page_required(spark, sf_dir):
+    c = fx.conversations(spark, sf_dir)
+    last = F.concat(hex_of(F.lit(fx.EPOCH) + F.conv(F.col("session_id"), 16, 10).cast("long") * 3600000, 12), hex_of(F.conv(F.col("session_id"), 16, 10).cast("long") * 1000, 20))
+    asks = requests(c, "chat-60").withColumn("required", F.array(last))
+    plan = Pager(retrievers=()).page(asks, fx.plain_tables(c), profiles(spark))
+    return plan.summary
+
+
+@query
+def page_system_fill(spark, sf_dir):
+    _, t, plan = _page_chat(spark, sf_dir)
+    kinds = t.blocks.select("block_id", "kind")
+    return plan.selected.join(kinds, "block_id").filter("kind = 'System'").select("request_id", "block_id", "pos")
+
+
+@query
+def page_chat_selected(spark, sf_dir):
+    return _rounded(_page_chat(spark, sf_dir)[2].selected)
+
+
+@query
+def page_selected(spark, sf_dir):
+    return _rounded(_page_docs(spark, sf_dir)[2].selected)
+
+
+@query
+def page_omitted(spark, sf_dir):
+    return _page_docs(spark, sf_dir)[2].omitted.select("request_id", "block_id", "reason")
+
+
+@query
+def page_estimated_tokens(spark, sf_dir):
+    return _page_docs(spark, sf_dir)[2].summary.select("request_id", "estimated_tokens")
+
+
+@query
+def page_redundancy(spark, sf_dir):
+    pager = DOC_PAGER.with_policy(Policy(redundancy=0.5))
+    plan = _page_docs(spark, sf_dir, pager, "page-8k", session="lang")[2]
+    picked = plan.selected.select("request_id", "block_id", F.lit("Selected").alias("outcome"))
+    return picked.unionByName(plan.omitted.select("request_id", "block_id", F.col("reason").alias("outcome")))
+
+
+@query
+def page_summary_fallback(spark, sf_dir):
+    """Every fifth document gets a short summary block in its session."""
+    d = fx.documents(spark, sf_dir)
+    ts = F.lit(fx.EPOCH) + (F.col("seq") + 10_000_000) * 1000
+    s = d.filter("seq % 5 = 0").withColumn("provenance", F.col("provenance").withField("parents", F.array("block_id"))).withColumn("block_id", F.concat(hex_of(ts, 12), hex_of(F.col("seq") + 10_000_000, 20)))
+    s = s.withColumn("kind", F.lit("Summary")).withColumn("body", F.concat(F.lit("summary of block "), F.col("seq").cast("string")).cast("binary")).withColumn("content_hash", content_hash(F.col("body")))
+    every = d.unionByName(s)
+    t, asks = fx.plain_tables(every), requests(d, "page-4k")
+    plan = DOC_PAGER.with_policy(Policy(summary_fallback=True)).page(asks, t, profiles(spark))
+    picked = plan.selected.select("request_id", "block_id", F.lit("Selected").alias("outcome"))
+    return picked.unionByName(plan.omitted.select("request_id", "block_id", F.col("reason").alias("outcome")))
+
+
+@query
+def page_include_parents(spark, sf_dir):
+    """A budget wide enough for all, so that the order of the walk does not matter."""
+    d = fx.documents(spark, sf_dir, parents=True)
+    t = fx.plain_tables(d, fx.edges(spark, sf_dir))
+    last = d.groupBy("session_id").agg(F.array(fx.doc_block(F.max("seq"))).alias("required"))
+    asks = requests(d, "wide").drop("required").join(last, "session_id")
+    pager = Pager(retrievers=()).with_policy(Policy(include_parents=True))
+    return pager.page(asks, t, profiles(spark)).selected.select("request_id", "block_id", "reason")
+
+
+# -- packing
+@query
+def pack_rendered(spark, sf_dir):
+    asks, t, plan = _page_chat(spark, sf_dir)
+    out = Packer().pack(asks, plan.selected, t, profiles(spark))
+    return out.select("request_id", F.sha2(F.col("rendered").cast("binary"), 256).alias("sha256"), F.char_length("rendered").cast("long").alias("chars"), "tokens")
+
+
+@query
+def pack_manifest(spark, sf_dir):
+    _, t, plan = _page_chat(spark, sf_dir)
+    return Packer().manifest(plan.selected, t).select("request_id", "block_id", "section", "tokens", F.col("score").cast("double").alias("score"))
+
+
+@query
+def pack_budget_check(spark, sf_dir):
+    asks, t, plan = _page_chat(spark, sf_dir, "chat-60")
+    return Packer().pack(asks, plan.selected, t, profiles(spark)).select("request_id", "tokens", "input_budget", "error")
+
+
+@query
+def pack_timestamps(spark, sf_dir):
+    asks, t, plan = _page_chat(spark, sf_dir)
+    out = Packer(now_ms=NOW_MS).pack(asks, plan.selected, t, profiles(spark))
+    return out.select("request_id", F.sha2(F.col("rendered").cast("binary"), 256).alias("sha256"))
+
+
+@query
+def pack_chat(spark, sf_dir):
+    asks, t, plan = _page_chat(spark, sf_dir)
+    return Packer().messages(asks, plan.selected, t, profiles(spark)).select("request_id", "idx", "role", "section", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+
+
+@query
+def pack_chat_cache_boundary(spark, sf_dir):
+    asks, t, plan = _page_docs(spark, sf_dir)
+    return Packer().pack_chat(asks, plan.selected, t, profiles(spark))[1].select("request_id", "input_tokens", "cache_boundary")
+
+
+@query
+def pack_multi_model(spark, sf_dir):
+    asks, t, plan = _page_chat(spark, sf_dir)
+    p = profiles(spark)
+    return Packer().pack_for_models(asks, plan.selected, t, p, p.select("name")).select("request_id", "model", "tokens", "input_budget", "error")
+
+
+# -- traces and differences
+def _traces(spark, sf_dir) -> DataFrame:
+    e = fx.table(spark, sf_dir, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    none = F.lit(None)
+    return e.select(
+        hex_of(F.col("event_id"), 32).alias("call_id"), hex_of(F.col("user_id"), 32).alias("session_id"), F.lit("wide").alias("model"), F.array().cast("array<struct<block_id:string,score:double,reason:string>>").alias("selected"), (F.col("event_id") % 1000).alias("estimated_tokens"),
+        F.lit(0).cast("long").alias("prompt_tokens"), F.lit("").alias("prompt_hash"), ms.alias("started_at_ms"), F.lit(0).cast("long").alias("duration_ms"), F.lit("").alias("model_version"), F.lit("word-level").alias("tokenizer_version"), none.cast("string").alias("output"), none.cast("long").alias("output_tokens"), F.lit(1).cast("long").alias("version"),
+    )
+
+
+@query
+def trace_update_output(spark, sf_dir):
+    t = _traces(spark, sf_dir)
+    out = fx.table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(hex_of(F.col("event_id"), 32).alias("call_id"), F.col("event_type").alias("output"), (F.col("event_id") % 17).alias("output_tokens"))
+    return traces.latest(traces.update_output(t, out)).select("call_id", "session_id", "output", "output_tokens", "version")
+
+
+def _two_plans(spark, sf_dir) -> tuple[Plan, Plan]:
+    return _page_docs(spark, sf_dir)[2], _page_docs(spark, sf_dir, model="page-8k")[2]
+
+
+@query
+def trace_diff(spark, sf_dir):
+    a, b = _two_plans(spark, sf_dir)
+    return traces.diff(a.selected, b.selected).select("request_id", "block_id", "change", "reason_prev", "reason_next")
+
+
+@query
+def trace_diff_summary(spark, sf_dir):
+    a, b = _two_plans(spark, sf_dir)
+    tokens = a.summary.select("request_id", F.col("estimated_tokens").alias("prev_tokens")).join(b.summary.select("request_id", F.col("estimated_tokens").alias("next_tokens")), "request_id")
+    return traces.diff_summary(traces.diff(a.selected, b.selected), tokens).select("request_id", "summary", "is_noop")
+
+
+@query
+def trace_diff_consecutive(spark, sf_dir):
+    return traces.consecutive(_traces(spark, sf_dir))
+
+
+# -- reducers and summarizers
+def _outputs(spark, sf_dir) -> DataFrame:
+    c = fx.table(spark, sf_dir, "conversations")
+    return c.select(hex_of(F.col("conv_id") * 1000 + F.col("turn"), 32).alias("call_id"), F.when(F.col("turn") == 3, F.lit("")).otherwise(F.col("text")).alias("output"), (F.lit(NOW_MS) + F.col("turn")).alias("now_ms"), F.when(F.col("turn") % 2 == 0, hex_of(F.col("conv_id"), 32)).alias("state_id"))
+
+
+@query
+def reduce_append(spark, sf_dir):
+    b, e = reduce.append_output(_outputs(spark, sf_dir))
+    links = e.select(F.col("from_id").alias("block_id"), F.col("to_id").alias("parent")).distinct()
+    return b.withColumn("linked", F.size("provenance.parents") > 0).join(links, "block_id", "left").filter("parent is null or parent = provenance.parents[0]").select("call_id", "block_id", "kind", "content_hash", F.when(F.col("linked"), F.col("parent")).alias("parent"))
+
+
+@query
+def reduce_json_events(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("fact", "plan", "summary", "documentchunk", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    head = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)
+    envelope = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("state "), F.col("doc_id").cast("string"))).alias("state"), F.array(F.struct(kind.alias("kind"), head.alias("body"))).alias("events")))
+    out = d.select(hex_of(F.col("doc_id"), 32).alias("call_id"), F.when(F.col("doc_id") % 11 == 0, F.lit("not json")).otherwise(envelope).alias("output"), F.lit(NOW_MS).cast("long").alias("now_ms"), F.lit(None).cast("string").alias("state_id"))
+    blocks, errors = reduce.json_events(out)
+    rows = blocks.select("call_id", "block_id", "kind", F.col("body").cast("string").alias("body"))
+    return rows.unionByName(errors.select("call_id", F.lit(None).cast("string").alias("block_id"), F.col("error").alias("kind"), F.lit(None).cast("string").alias("body")))
+
+
+@query
+def summarize_truncating(spark, sf_dir):
+    c = fx.conversations(spark, sf_dir)
+    return reduce.truncating(c, 80).select("session_id", F.sha2(F.col("summary").cast("binary"), 256).alias("sha256"), F.char_length("summary").cast("long").alias("chars"))
+
+
+@query
+def summarize_last_n(spark, sf_dir):
+    c = reduce.last_n(fx.conversations(spark, sf_dir), 2)
+    return reduce.truncating(c, 20).select("session_id", "summary")
+
+
+@query
+def summarize_noop(spark, sf_dir):
+    return reduce.noop(fx.conversations(spark, sf_dir))
+
+
+@query
+def section_of_blocks(spark, sf_dir):
+    d = fx.documents(spark, sf_dir)
+    return d.groupBy(section_of(F.col("kind")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- streaming, driven to the end over the events table
+@query
+def stream_windowed_counts(spark, sf_dir):
+    from ..streaming.ingest import windowed_counts
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    out = windowed_counts(stream, "ts", "10 minutes", "1 hour", "event_type")
+    name = "ctxloom_windowed_counts"
+    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

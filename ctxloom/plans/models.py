@@ -104,7 +104,7 @@ class ModelRegistry:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(p.name, p.max_context, p.reserved_output, p.safety_margin, p.tokenizer, p.supports_system_role, p.supports_tools) for p in self.profiles()]
-        df = spark.createDataFrame(rows, "model string, max_context long, reserved_output long, safety_margin long, tokenizer string, supports_system_role boolean, supports_tools boolean")
+        df = spark.createDataFrame(rows, "name string, max_context long, reserved_output long, safety_margin long, tokenizer string, supports_system_role boolean, supports_tools boolean")
         return df.withColumn("input_budget", input_budget())
 
 
