@@ -157,7 +157,8 @@ class Pager:
         if not p.include_parents:
             return left.groupBy("request_id").applyInPandas(lambda pdf: fill_request(pdf, None, p, budgets), schema)
         links = self._reachable(rows.select("request_id", "block_id").unionByName(rows.filter("summary_id is not null").select("request_id", F.col("summary_id").alias("block_id"))).unionByName(needed.select("request_id", "block_id")).distinct(), tables)
-        return left.groupBy("request_id").cogroup(links.groupBy("request_id")).applyInPandas(lambda pdf, deps: fill_request(pdf, deps, p, budgets), schema)
+        links = links.withColumnRenamed("request_id", "dep_request")
+        return left.groupBy("request_id").cogroup(links.groupBy("dep_request")).applyInPandas(lambda pdf, deps: fill_request(pdf, deps, p, budgets), schema)
 
     def _reachable(self, seeds: DataFrame, tables: Tables) -> DataFrame:
         """(request_id, from_id, ord, to_id, tokens) of all dependencies reachable from seeds; parents before edges. Tokens are null for missing blocks."""
