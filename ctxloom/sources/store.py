@@ -42,11 +42,13 @@ class ContextStore:
         return self.fs.exists(self._path(f"{self.path}/{name}"))
 
     def _meta(self) -> dict:
-        lines = self.spark.read.text(f"{self.path}/_current").limit(2).collect()
+        stream = self.fs.open(self._path(f"{self.path}/_current"))
         try:
-            return json.loads(lines[0][0])
-        except (ValueError, IndexError) as e:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError as e:
             raise StoreError("the store's pointer can't be read") from e
+        finally:
+            stream.close()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{self.version}/{name}")
