@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,7 +29,7 @@ from .common import new_path, partitions, spill
 from .warc import _prefix
 
 MAGIC, HEAD = b"RNB1", struct.Struct("<4sIIIII")
-BITS, LANES, BLOCK = 20, 1024, 1 << 17
+BITS, LANES, BLOCK = 20, 2048, 1 << 17
 LOW = np.uint64(1 << 31)
 
 
@@ -108,16 +109,23 @@ def unpack_block(coder: Coder, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return coder.decode(n, parts[3], parts[4]), parts[0], parts[1], parts[2]
 
 
-class WordCachedEncoder:
-    """The tokenizers library over a byte-level BPE file, asked once for each new word.
+def ragged_take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + sizes[i]] for i in which, one after another."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class BatchEncoder:
+    """The tokenizers library over a byte-level BPE file, asked once for each distinct word of a batch of texts.
 
     By the pattern of such files no pre-token reaches over a lone space or line end between other
     characters, or over a full stop or comma that ends a word after a letter. So a text is the join of its
-    words' encodings, but for texts with neighbouring white space, which are encoded whole. New words are
-    handed over many at a time, with a special token between them to tell their ids apart.
+    words' encodings, but for texts with neighbouring white space or special tokens, which are encoded
+    whole. Words are handed over many at a time, with a special token between them to tell their ids apart.
     """
 
-    def __init__(self, path: str, most_cached: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -127,133 +135,148 @@ class WordCachedEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
-        self.most, self.known, self.older, self.starts = most_cached, {}, {}, {}
         if self.by_word:
             self.mark, self.mark_id = next(iter(self.special.items()))
-            self.tails = dict(zip(("", ".", ","), [b"", *self._whole([".", ","])]))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            self.tails = {"": -1, ".": self._one("."), ",": self._one(",")}
 
-    def _ask(self, texts: list[str], lead: str) -> list[bytes]:
-        """Encodings of lead + text; none holds a special token."""
-        out, width, between = [], np.dtype(self.dtype).itemsize, self.mark + lead
-        for at in range(0, len(texts), 2000):
-            ids = np.array(self.lib.encode_batch_fast([lead + between.join(texts[at : at + 2000])], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark_id) * width
-            raw = ids.tobytes()
-            out += [raw[x:y] for x, y in zip([0, *(cut + width).tolist()], [*cut.tolist(), len(raw)])]
+    def _one(self, text: str) -> int:
+        (out,) = self.lib.encode(text, add_special_tokens=False).ids
         return out
 
-    def _learn(self, words: list[str]) -> list[str]:
-        """Adds new words to the cache; those that hold line ends are returned, to be dropped after use."""
-        known, older, starts = self.known, self.older, self.starts
-        ask, ask_start, made, brief = {}, {}, [], []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, numbers of ids); no text holds a special token."""
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 2000):
+            some = texts[at : at + 2000]
+            ids = np.array(self.lib.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(ids == self.mark_id)
+            sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+            flat.append(ids[ids != self.mark_id])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, numbers of ids, sound) of distinct words that follow a space, which is left out, or begin with a line end."""
+        bases: dict[str, int] = {}
+        base, tail, sound = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64), np.ones(len(words), bool)
+        for i, w in enumerate(words):
+            inner = w[1:] if w[:1] == "\n" else w
+            if not inner or inner[0].isspace() or inner[-1].isspace():
+                sound[i] = False
                 continue
-            first, *rest = w.split("\n")
-            if rest:
-                brief.append(w)
-                if any(not x or x[0].isspace() or x[-1].isspace() for x in (first, *rest)):
-                    first, rest = w, []
-            parts = []
-            for i, x in enumerate((first, *rest)):
-                tail = x[-1] if x[-1] in ".," and len(x) > 1 and x[-2].isalpha() else ""
-                base = x[: len(x) - len(tail)]
-                if i:
-                    if base not in starts:
-                        ask_start[base] = None
-                elif base not in known and base not in ask:
-                    if base in older:
-                        known[base] = older[base]
-                    else:
-                        ask[base] = None
-                parts.append((base, tail))
-            made.append((w, parts))
-        known.update(zip(ask, self._ask(list(ask), " ")))
-        starts.update(zip(ask_start, self._ask(list(ask_start), "\n")))
-        for w, parts in made:
-            (base, tail), *rest = parts
-            if rest or tail:
-                known[w] = known[base] + self.tails[tail] + b"".join([starts[x] + self.tails[t] for x, t in rest])
-        return brief
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        if self.by_word:
-            plain = [i for i, t in enumerate(texts) if not ("<" in t and any(s in t for s in self.special))]
-            cut = [texts[i].split(" ") for i in plain]
-            firsts = self._ask([c[0] for c in cut], "") if cut else []
-            used = set().union(*[c[1:] for c in cut])
-            if len(self.known) + len(used) > self.most:
-                self.known, self.older = {}, self.known
-            if len(self.starts) > self.most // 4:
-                self.starts = {}
-            known, older = self.known, self.older
-            missing = [w for w in used if w not in known]
-            if older:
-                known.update([(w, older[w]) for w in missing if w in older])
-                missing = [w for w in missing if w not in known]
-            brief = self._learn(missing)
-            get = known.__getitem__
-            for i, c, first in zip(plain, cut, firsts):
-                if c[0] and not c[0][-1].isspace():
-                    ids = list(map(get, c[1:]))
-                    if None not in ids:
-                        out[i] = first + b"".join(ids)
-            for w in brief:
-                del known[w]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest])):
-            out[i] = ids
-        return out
-
-
-_loaded: dict[str, WordCachedEncoder] = {}
+            end = inner[-1]
+            if end in ".," and len(inner) > 1 and inner[-2].isalpha():
+                tail[i] = self.tails[end]
+                w = w[:-1]
+            base[i] = bases.setdefault(w if w[0] == "\n" else " " + w, len(bases))
+        flat, sizes = self._ask(list(bases))
+        if not len(sizes):
+            return flat, np.zeros(len(words), np.int64), sound
+        starts = np.cumsum(sizes) - sizes
+        own = np.where(sound, sizes[base], 0)
+        total = own + (tail >= 0)
+        to = np.cumsum(total)
+        out = np.empty(int(to[-1]), self.dtype)
+        body = np.ones(len(out), bool)
+        body[to[tail >= 0] - 1] = False
+        out[~body] = tail[tail >= 0]
+        out[body] = ragged_take(flat, starts, sizes, base[sound])
+        return out, total, sound
+
+    def compile(self, texts: pa.Array) -> Batch:
+        n = len(texts)
+        plain = np.full(n, bool(self.by_word))
+        for s in self.special:
+            plain &= ~np.asarray(pc.match_substring(texts, s))
+        rows = np.flatnonzero(plain)
+        # a line end becomes the first character of the word after it
+        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)), "\n", " \n"), " ")
+        offsets = np.asarray(lists.offsets)
+        offsets = offsets - offsets[0]
+        words = lists.flatten()
+        leads = np.zeros(len(words), bool)
+        leads[offsets[:-1]] = True
+        firsts = words.filter(pa.array(leads)).to_pylist()
+        coded = words.filter(pa.array(~leads)).dictionary_encode()
+        index = np.asarray(coded.indices, np.int64)
+        flat, sizes, sound = self._distinct(coded.dictionary.to_pylist())
+        unsound = np.zeros(len(words), bool)
+        unsound[~leads] = ~sound[index]
+        bad = np.zeros(len(rows), bool)
+        if len(words):
+            bad = np.logical_or.reduceat(unsound, offsets[:-1])
+        bad |= np.array([bool(f) and (f[-1].isspace() or f[0].isspace()) for f in firsts], bool) if firsts else bad
+        first_flat, first_sizes = self._ask([f if not x else "" for f, x in zip(firsts, bad)]) if firsts else self._whole([])
+        alone = np.concatenate([np.flatnonzero(~plain), rows[bad]])
+        whole_flat, whole_sizes = self._whole(texts.take(pa.array(alone)).to_pylist())
+        # entries: distinct words, then first words, then whole texts
+        seq = np.empty(len(words), np.int64)
+        seq[~leads] = index
+        seq[leads] = len(sizes) + np.arange(len(rows))
+        keep = np.repeat(~bad, np.diff(offsets))
+        of = np.repeat(rows, np.diff(offsets))[keep]
+        seq = np.concatenate([seq[keep], len(sizes) + len(first_sizes) + np.arange(len(alone))])
+        of = np.concatenate([of, alone])
+        if len(alone):
+            order = np.argsort(of, kind="stable")
+            seq, of = seq[order], of[order]
+        return Batch(np.concatenate([flat, first_flat, whole_flat]), np.concatenate([sizes, first_sizes, whole_sizes]), seq, np.searchsorted(of, np.arange(n + 1)))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        batch = self.compile(pa.array(texts, pa.string()))
+        ends = np.cumsum(batch.counts)
+        return [x.tolist() for x in np.split(batch.tokens(0, len(texts)), ends[:-1])] if texts else []
+
+
+class Batch:
+    """Texts as runs of entries: entries' ids one after another, their numbers, and each text's entries."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, seq: np.ndarray, offsets: np.ndarray):
+        self.flat, self.sizes, self.seq, self.offsets = flat, sizes, seq, offsets
+        self.starts = np.cumsum(sizes) - sizes
+        upto = np.concatenate([[0], np.cumsum(sizes[seq])])
+        self.counts = upto[offsets[1:]] - upto[offsets[:-1]]
+
+    def tokens(self, a: int, b: int) -> np.ndarray:
+        return ragged_take(self.flat, self.starts, self.sizes, self.seq[self.offsets[a] : self.offsets[b]])
+
+
+_loaded: dict[str, BatchEncoder] = {}
 
 
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
-    """(part, block, doc_ids, nulls, sizes, tokens): blocks of whole documents in ascending id order over (part, block)."""
+    """(part, block, n, doc_ids, nulls, sizes, tokens, hist, width): blocks of whole documents in ascending id order over (part, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
-            _loaded[path] = WordCachedEncoder(path)
+            _loaded[path] = BatchEncoder(path)
         enc, part, no = _loaded[path], TaskContext.get().partitionId(), 0
-        end = enc.dtype(end_id).tobytes()
-        ids, null, sizes, toks, held = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            wide = np.frombuffer(b"".join(toks), enc.dtype)
-            cols = [np.array(ids, np.int64), np.array(null, np.uint8), np.array(sizes, np.uint32), wide]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([no], pa.int64()), pa.array([held], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.array([enc.dtype().itemsize], pa.int32())], names)
-
         for b in batches:
-            size = np.nan_to_num(np.asarray(pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False), float)).cumsum()
-            at = 0
+            ids = b.column(0)
+            null, ids = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
+            got = enc.compile(b.column(1))
+            upto, at, hist = np.cumsum(got.counts + 1), 0, np.zeros(0, np.int64)
             while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), "right")))
-                keys = b.column(0).slice(at, to - at).to_pylist()
-                for key, got in zip(keys, enc.encode([t or "" for t in b.column(1).slice(at, to - at).to_pylist()])):
-                    ids.append(key or 0)
-                    null.append(key is None)
-                    toks.append(got + end)
-                    sizes.append(len(toks[-1]) // len(end))
-                    held += sizes[-1]
-                    if held >= block:
-                        yield flush()
-                        ids, null, sizes, toks, held, no = [], [], [], [], 0, no + 1
-                at = to
-        if ids:
-            yield flush()
-
-    import pyarrow.compute  # noqa: F401
-
-    names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "width"]
+                base = upto[at - 1] if at else 0
+                to = min(b.num_rows, max(at + 1, int(np.searchsorted(upto, base + block, "left")) + 1))
+                sizes = got.counts[at:to] + 1
+                ends = np.cumsum(sizes)
+                toks = np.insert(got.tokens(at, to), ends - 1 - np.arange(len(ends)), enc.dtype(end_id))
+                n = np.bincount(toks, minlength=len(hist))
+                n[: len(hist)] += hist
+                hist = n
+                seen = np.flatnonzero(hist) if to == b.num_rows else []  # a batch's counts go with its last block
+                cols = [ids[at:to], null[at:to].astype(np.uint8), sizes.astype(np.uint32), toks, np.array([seen, hist[seen]], np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([no], pa.int64()), pa.array([len(toks)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.array([enc.dtype().itemsize], pa.int32())], names)
+                at, no = to, no + 1
+
+    names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "hist", "width"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return rows.mapInArrow(run, "part long, block long, n long, doc_ids binary, nulls binary, sizes binary, tokens binary, width int")
+    return rows.mapInArrow(run, "part long, block long, n long, doc_ids binary, nulls binary, sizes binary, tokens binary, hist binary, width int")
 
 
 def _kind(width: int):
@@ -264,17 +287,12 @@ def count_tokens(blocks: DataFrame) -> np.ndarray:
     """Counts of all token ids; their number is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in batches:
-            for raw, width in zip(b.column(0), b.column(1)):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), _kind(width.as_py())))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[: len(got)] += got
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
-
-    rows = blocks.select("tokens", "width").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+            for raw in b.column(0):
+                token, n = np.frombuffer(raw.as_buffer(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
+
+    rows = blocks.select("hist").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r.token for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r.token] = r.n
@@ -293,7 +311,7 @@ def write_files(blocks: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
         name = f"{root}/{uuid.uuid4().hex}.rans"
         for b in batches:
             for r in range(b.num_rows):
-                part, no, n, ids, null, sizes, toks, width = (c[r] for c in b.columns)
+                part, no, n, ids, null, sizes, toks, _, width = (c[r] for c in b.columns)
                 raw = pack_block(coder, np.frombuffer(toks.as_buffer(), _kind(width.as_py())), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(null.as_buffer(), np.uint8), np.frombuffer(sizes.as_buffer(), np.uint32))
                 out = out or store.open_output_stream(name, compression=None)
                 out.write(raw)
@@ -303,7 +321,7 @@ def write_files(blocks: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "offset", "bytes", "part", "block", "n"])
 
-    return blocks.mapInArrow(run, "path string, offset long, bytes long, part long, block long, n long")
+    return blocks.withColumn("hist", F.lit(None).cast("binary")).mapInArrow(run, "path string, offset long, bytes long, part long, block long, n long")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
