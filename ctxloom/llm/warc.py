@@ -99,8 +99,8 @@ class _Stream:
                 self.z = zlib.decompressobj(47)
             got = self.z.decompress(self.raw, self.piece * 4)
             self.raw = self.z.unconsumed_tail
-            if self.z.eof:
-                self.raw, self.z = self.z.unused_data + self.raw, None
+            if self.z.eof:  # what follows the member may also still stand in unconsumed_tail
+                self.raw, self.z = self.z.unused_data, None
             if got:
                 self.buf += got
                 return True
