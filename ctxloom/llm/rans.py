@@ -117,7 +117,7 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which:
 
 
 class BatchEncoder:
-    """The tokenizers library over a byte-level BPE file, asked once for each distinct word of a batch of texts.
+    """The tokenizers library over a byte-level BPE file, asked for the distinct words of a batch of texts that it was not asked for lately.
 
     By the pattern of such files no pre-token reaches over a lone space or line end between other
     characters, or over a full stop or comma that ends a word after a letter. So a text is the join of its
@@ -125,9 +125,10 @@ class BatchEncoder:
     whole. Words are handed over many at a time, with a special token between them to tell their ids apart.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_cached: int = 200_000):
         from tokenizers import Tokenizer
 
+        self.most, self.known, self.older = most_cached, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -154,6 +155,21 @@ class BatchEncoder:
             flat.append(ids[ids != self.mark_id])
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def _recall(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _ask, through a cache that drops what has not been used since it was last full."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        got = [known.get(t) or older.get(t) for t in texts]
+        missing = [i for i, x in enumerate(got) if x is None]
+        flat, sizes = self._ask([texts[i] for i in missing])
+        ends = (np.cumsum(sizes) * flat.itemsize).tolist()
+        raw = flat.tobytes()
+        for i, a, b in zip(missing, [0, *ends], ends):
+            got[i] = raw[a:b]
+        known.update(zip(texts, got))
+        return np.frombuffer(b"".join(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got)) // flat.itemsize
+
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array([len(x) for x in ids], np.int64)
@@ -172,7 +188,7 @@ class BatchEncoder:
                 tail[i] = self.tails[end]
                 w = w[:-1]
             base[i] = bases.setdefault(w if w[0] == "\n" else " " + w, len(bases))
-        flat, sizes = self._ask(list(bases))
+        flat, sizes = self._recall(list(bases))
         if not len(sizes):
             return flat, np.zeros(len(words), np.int64), sound
         starts = np.cumsum(sizes) - sizes
