@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,13 @@ def partitions(spark: SparkSession) -> int:
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of an id's text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
+
+
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system; workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)

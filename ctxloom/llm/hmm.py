@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, spill
+from .common import crc_mod, spill, trim
 
 #: Frequent words that are symbols, their greatest length in bytes; hidden states; passes; words in a training stretch.
 HEAD, HEAD_BYTES, STATES, PASSES, STRETCH = 60_000, 64, 8, 5, 256
@@ -42,6 +42,8 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([seen[k] for k in part], pa.int64())], ["word", "n"])
+        del seen, keys
+        trim()
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, spill
+from .common import new_path, partitions, spill, trim
 from .warc import _prefix
 
 MAGIC, HEAD = b"RNB1", struct.Struct("<4sIIIII")
@@ -288,6 +288,8 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
                 cols = [ids[at:to], null[at:to].astype(np.uint8), sizes.astype(np.uint32), toks, np.array([seen, hist[seen]], np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([no], pa.int64()), pa.array([len(toks)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols), pa.array([enc.dtype().itemsize], pa.int32())], names)
                 at, no = to, no + 1
+            del got
+            trim()
 
     names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "hist", "width"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))

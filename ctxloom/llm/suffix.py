@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, spill
+from .common import new_path, partitions, spill, trim
 from .warc import _prefix
 
 LENGTH, GRAM = 50, 25
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a block, for each part, and in one step of numpy work; open cells of a gram from which it is cut up.
-BLOCK, PART, STEP, HOT = 2 << 20, 4 << 20, 1 << 18, 4096
+BLOCK, PART, STEP, HOT = 2 << 20, 2 << 20, 1 << 18, 4096
 
 _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -293,6 +293,8 @@ def _verdicts(t: pa.Table, hot: int) -> pa.Table:
     code = np.where(doc > least, 1, np.where(contents > hot, 3, np.where(contents > 1, 2, 0))).astype(np.uint8)
     back = np.empty_like(code)
     back[order] = code
+    del order, gram, whole, doc, new, new_gram, least, group, contents
+    trim()
     cut = np.cumsum([len(g[0]) for g in got])[:-1]
     return pa.table({"block": t.column("block"), "part": t.column("part"), "blob": pa.array([c.tobytes() for c in np.split(back, cut)], pa.binary())})
 
@@ -306,6 +308,7 @@ def _compare(t: pa.Table) -> pa.Table:
     first = np.cumsum(size) - size
     starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
     low = least_owner(data, starts, np.repeat(owner, count)) if len(starts) else np.zeros(0, np.int64)
+    trim()
     cut = np.cumsum([int(g[1].sum(dtype=np.int64)) for g in got])[:-1]
     return pa.table({"block": t.column("block"), "part": t.column("part"), "blob": pa.array([c.tobytes() for c in np.split(low, cut)], pa.binary())})
 
@@ -374,8 +377,11 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit, schema, hot: int) ->
                         owner = block.doc[at]
                         edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                         rows.append((no, k, _blob((block.gram[at] >> np.uint64(32)).astype(np.uint32), block.whole[at], block.id[owner[edge]], np.diff(np.append(edge, len(at))).astype(np.uint32))))
+                del block
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "part", "blob"])
+                del rows
+                trim()
 
     verdicts = spread.mapInArrow(hashes, BLOBS).groupBy("part").applyInArrow(lambda t: _verdicts(t, hot), BLOBS)
     verdicts = spill(_gather(verdicts, "codes"), "suffix-codes")
@@ -401,8 +407,11 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit, schema, hot: int) ->
                         if len(numbers):
                             text = b"".join([block.data[f : f + LENGTH].tobytes() for f in at.tolist()])
                             rows.append((no, parts + k, _blob(least[numbers], np.ones(len(numbers), np.uint8), np.frombuffer(text, np.uint8))))
+                del block
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["block", "part", "blob"])
+                del rows
+                trim()
 
     low = known.mapInArrow(strings, BLOBS).groupBy("part").applyInArrow(_compare, BLOBS)
     low = spill(_gather(low, "low"), "suffix-low")
@@ -413,6 +422,8 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit, schema, hot: int) ->
             for _, path, offset, size, found, low in zip(*(b.column(i).to_pylist() for i in range(6))):
                 block = Block(_read(path, offset, size), id_at, text_at)
                 yield emit(block, _removed(block, _codes(block, found, parts), low, parts))
+                del block
+                trim()
 
     return known.mapInArrow(finish, schema)
 
