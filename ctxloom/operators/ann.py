@@ -94,3 +94,32 @@ def nearest_lsh(queries: DataFrame, points: DataFrame, dim: int, k: int, bands:
     scored = pairs.select("query_id", "point_id", cosine(F.col("qv"), F.col("pv")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class AnnLsh:
+    """Approximate cosine: only blocks of the session that share a band of sign bits with the request are scored.
+
+    index is a table from build_index; it serves what was indexed until it is built again. Zero scores stay.
+    """
+
+    index: DataFrame
+    dim: int
+    bands: int = 12
+    bits: int = 6
+    limit: int = RETRIEVAL_LIMIT
+    name: str = "ann-lsh"
+
+    def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
+        asks = requests.select("request_id", "session_id", "task_vector").filter(F.col("task_vector").isNotNull())
+        keyed = signatures(asks, "task_vector", self.dim, self.bands, self.bits)
+        pairs = keyed.join(self.index, ["session_id", "__key"]).dropDuplicates(["request_id", "block_id"])
+        rows = pairs.select("request_id", "block_id", f32(cosine(F.col("task_vector"), F.col("vector"))).alias("score"))
+        return _best(rows, self.limit, F.desc("score"), F.col("block_id")).withColumn("source", F.lit(self.name))
+
+
+def build_index(tables: Tables, cache: DataFrame, embedder: str, dim: int, bands: int = 12, bits: int = 6) -> DataFrame:
+    """(session_id, block_id, vector, __key) of every cached block; write it partitioned by session for reuse."""
+    vectors = latest(cache.filter(F.col("embedder") == embedder)).select("content_hash", "vector")
+    rows = tables.session_blocks.join(tables.blocks.select("block_id", "content_hash"), "block_id").join(vectors, "content_hash").select("session_id", "block_id", "vector")
+    return signatures(rows, "vector", dim, bands, bits)

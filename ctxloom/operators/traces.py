@@ -61,3 +61,19 @@ def consecutive(traces: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("started_at_ms", "call_id")
     out = traces.select("session_id", "call_id", F.lag("call_id").over(w).alias("prev_call_id"), (F.col("estimated_tokens") - F.lag("estimated_tokens").over(w)).alias("token_delta"))
     return out.filter(F.col("prev_call_id").isNotNull())
+
+
+def from_plans(requests: DataFrame, selected: DataFrame, summary: DataFrame, prompts: DataFrame, tokenizer: str, started_at_ms: int, duration_ms: int = 0) -> DataFrame:
+    """Trace rows for planned and rendered requests(request_id, session_id, model), the request id being the call id.
+
+    prompts(request_id, rendered, tokens); requests with an error have none. The array of a request's
+    selections is bounded by its budget.
+    """
+    picked = selected.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "block_id", F.col("score").cast("double").alias("score"), "reason"))).alias("s"))
+    rows = requests.select("request_id", "session_id", "model").join(summary.filter("error is null"), "request_id").join(prompts.select("request_id", "rendered", "tokens"), "request_id").join(picked, "request_id", "left")
+    chosen = F.coalesce(F.transform("s", lambda x: F.struct(x["block_id"].alias("block_id"), x["score"].alias("score"), x["reason"].alias("reason"))), F.array().cast("array<struct<block_id:string,score:double,reason:string>>"))
+    whole = lambda x: F.lit(x).cast("long")
+    return rows.select(
+        F.col("request_id").alias("call_id"), "session_id", "model", chosen.alias("selected"), "estimated_tokens", F.col("tokens").cast("long").alias("prompt_tokens"), F.sha2(F.col("rendered").cast("binary"), 256).alias("prompt_hash"),
+        whole(started_at_ms).alias("started_at_ms"), whole(duration_ms).alias("duration_ms"), F.lit("").alias("model_version"), F.lit(tokenizer).alias("tokenizer_version"), F.lit(None).cast("string").alias("output"), whole(None).alias("output_tokens"), whole(1).alias("version"),
+    )

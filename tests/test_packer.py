@@ -80,3 +80,20 @@ def test_diff(spark):
     assert {r.block_id: r.change for r in old.collect()} == {"1": "removed", "2": "kept", "3": "added"}
     same = diff(plan([("1", "Pinned")]), plan([("1", "Pinned")]))
     assert diff_summary(same, spark.createDataFrame([("r", 5, 3)], "request_id string, prev_tokens long, next_tokens long")).first()["summary"] == "+0 -0 ~0 (-2 tokens)"
+
+
+def test_traces_of_many_requests(spark):
+    from helpers import blocks
+
+    from ctxloom.operators.pager import Pager
+    from ctxloom.operators.traces import from_plans, latest
+    from ctxloom.sources import fixtures as fx
+    from ctxloom.sources.schemas import TRACES
+
+    t = fx.plain_tables(blocks(spark, [(1, 1, 1, "Fact", "a b"), (2, 2, 2, "Fact", "c")]))
+    q, p = asks(spark, [1, 2, 3], 100, "t"), profiles(spark, 100)
+    plan = Pager().page(q, t, p)
+    rows = from_plans(q, plan.selected, plan.summary, Packer().pack(q, plan.selected, t, p), "word-level", 5)
+    assert [(f.name, f.dataType) for f in rows.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], TRACES).schema]
+    got = {r.call_id[-1]: (len(r.selected), r.estimated_tokens) for r in latest(rows).collect()}
+    assert got == {"1": (1, 2), "2": (1, 1), "3": (0, 0)}

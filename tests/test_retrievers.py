@@ -115,3 +115,31 @@ def test_recency_does_not_read_bodies(spark, tmp_path):
     disk = replace(t, blocks=spark.read.parquet(str(tmp_path / "b")), session_blocks=spark.read.parquet(str(tmp_path / "m")))
     plan = retrievers.Recency()(asks(spark, [1], 9), disk)._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan and "WindowGroupLimit" in plan
+
+
+def test_ann_lsh_retriever(spark):
+    t = tables(spark, [(1, 1, 1, "Fact", "alpha block"), (1, 2, 2, "Fact", "beta block"), (2, 3, 3, "Fact", "alpha other")])
+    toy = ann.Embedder("toy", 4, embed)
+    empty = spark.createDataFrame([], "embedder string, content_hash string, dim int, vector array<float>, version bigint")
+    index = ann.build_index(t, ann.embed_missing(t.blocks, empty, toy, 1), "toy", 4)
+    q = asks(spark, [1], 9, "anything").withColumn("task_vector", toy.column()(F.col("task")))
+    assert found(ann.AnnLsh(index, 4)(q, t))[0] == (make_block_id(1, 1), 1.0)
+
+
+def test_remote_services():
+    from ctxloom.operators import remote
+
+    sent = []
+
+    def send(body):
+        sent.append(body)
+        return {"data": [{"index": i, "embedding": [i, 0]} for i in reversed(range(len(body["input"])))]}
+
+    e = remote.remote_embedder("r", "m", 2, send)
+    assert e.embed_batch(["a", "b"]) == [[0.0, 0.0], [1.0, 0.0]] and e.embed_batch([]) == [] and len(sent) == 1
+    with pytest.raises(remote.RemoteError):
+        remote.read_embeddings({"data": [{"index": 1, "embedding": [1]}]}, 1)
+    ask = remote.remote_summarizer("m", lambda body: {"content": [{"type": "text", "text": body["messages"][0]["content"].upper()}]})
+    assert ask("x") == "X" and ask("") == ""
+    with pytest.raises(remote.RemoteError):
+        remote.read_summary({"content": []})
