@@ -117,18 +117,18 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which:
 
 
 class BatchEncoder:
-    """The tokenizers library over a byte-level BPE file, asked for the distinct words of a batch of texts that it was not asked for lately.
+    """The tokenizers library over a byte-level BPE file, asked once for each distinct word of a batch of texts.
 
     By the pattern of such files no pre-token reaches over a lone space or line end between other
     characters, or over a full stop or comma that ends a word after a letter. So a text is the join of its
     words' encodings, but for texts with neighbouring white space or special tokens, which are encoded
-    whole. Words are handed over many at a time, with a special token between them to tell their ids apart.
+    whole. Words are handed over many at a time, with a line end or a special token between them to tell
+    their ids apart.
     """
 
-    def __init__(self, path: str, most_cached: int = 200_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.most, self.known, self.older = most_cached, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -138,68 +138,57 @@ class BatchEncoder:
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
         if self.by_word:
             self.mark, self.mark_id = next(iter(self.special.items()))
-            self.tails = {"": -1, ".": self._one("."), ",": self._one(",")}
+            self.stop, self.comma, self.line = self._one("."), self._one(","), self._one("\n")
 
     def _one(self, text: str) -> int:
         (out,) = self.lib.encode(text, add_special_tokens=False).ids
         return out
 
-    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, numbers of ids); no text holds a special token."""
+    def _ask(self, texts: list[str], spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, numbers of ids); no text holds a special token, and spaced ones, which begin with a space, no line end."""
+        mark, mark_id = ("\n", self.line) if spaced else (self.mark, self.mark_id)
         flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
-        for at in range(0, len(texts), 2000):
-            some = texts[at : at + 2000]
-            ids = np.array(self.lib.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(ids == self.mark_id)
+        for at in range(0, len(texts), 5000):
+            ids = np.array(self.lib.encode_batch_fast([mark.join(texts[at : at + 5000])], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(ids == mark_id)
             sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-            flat.append(ids[ids != self.mark_id])
+            flat.append(ids[ids != mark_id])
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def _recall(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As _ask, through a cache that drops what has not been used since it was last full."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        got = [known.get(t) or older.get(t) for t in texts]
-        missing = [i for i, x in enumerate(got) if x is None]
-        flat, sizes = self._ask([texts[i] for i in missing])
-        ends = (np.cumsum(sizes) * flat.itemsize).tolist()
-        raw = flat.tobytes()
-        for i, a, b in zip(missing, [0, *ends], ends):
-            got[i] = raw[a:b]
-        known.update(zip(texts, got))
-        return np.frombuffer(b"".join(got), self.dtype), np.fromiter(map(len, got), np.int64, len(got)) // flat.itemsize
-
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array([len(x) for x in ids], np.int64)
 
-    def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, numbers of ids, sound) of distinct words that follow a space, which is left out, or begin with a line end."""
-        bases: dict[str, int] = {}
-        base, tail, sound = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64), np.ones(len(words), bool)
-        for i, w in enumerate(words):
-            inner = w[1:] if w[:1] == "\n" else w
-            if not inner or inner[0].isspace() or inner[-1].isspace():
-                sound[i] = False
-                continue
-            end = inner[-1]
-            if end in ".," and len(inner) > 1 and inner[-2].isalpha():
-                tail[i] = self.tails[end]
-                w = w[:-1]
-            base[i] = bases.setdefault(w if w[0] == "\n" else " " + w, len(bases))
-        flat, sizes = self._recall(list(bases))
-        if not len(sizes):
-            return flat, np.zeros(len(words), np.int64), sound
-        starts = np.cumsum(sizes) - sizes
-        own = np.where(sound, sizes[base], 0)
-        total = own + (tail >= 0)
+        flag = lambda x: np.asarray(x, bool)
+        starts_line = flag(pc.starts_with(words, "\n"))
+        inner = pc.if_else(pa.array(starts_line), pc.utf8_slice_codeunits(words, 1), words)
+        sound = flag(pc.equal(inner, pc.utf8_trim_whitespace(inner))) & flag(pc.not_equal(inner, ""))
+        comma = flag(pc.ends_with(words, ","))
+        ended = np.flatnonzero((comma | flag(pc.ends_with(words, "."))) & sound)
+        ended = ended[flag(pc.utf8_is_alpha(pc.utf8_slice_codeunits(inner.take(pa.array(ended)), -2, -1)))]
+        ended = np.bincount(ended, minlength=len(words)).astype(bool)
+        base = pc.if_else(pa.array(ended), pc.utf8_slice_codeunits(words, 0, -1), words)
+        base = pc.if_else(pa.array(starts_line), base, pc.binary_join_element_wise(" ", base, ""))
+        coded = base.filter(pa.array(sound)).dictionary_encode()
+        bases = coded.dictionary
+        at_line = flag(pc.starts_with(bases, "\n"))
+        flat, sizes = self._ask(bases.filter(pa.array(~at_line)).to_pylist(), spaced=True)
+        line_flat, line_sizes = self._ask(bases.filter(pa.array(at_line)).to_pylist())
+        flat, own_sizes = np.concatenate([flat, line_flat]), np.concatenate([sizes, line_sizes])
+        number = np.empty(len(bases), np.int64)
+        number[~at_line] = np.arange(len(sizes))
+        number[at_line] = len(sizes) + np.arange(len(line_sizes))
+        which = number[np.asarray(coded.indices, np.int64)]
+        total = ended.astype(np.int64)
+        total[sound] += own_sizes[which]
         to = np.cumsum(total)
-        out = np.empty(int(to[-1]), self.dtype)
+        out = np.empty(int(to[-1]) if len(to) else 0, self.dtype)
         body = np.ones(len(out), bool)
-        body[to[tail >= 0] - 1] = False
-        out[~body] = tail[tail >= 0]
-        out[body] = ragged_take(flat, starts, sizes, base[sound])
+        body[to[ended] - 1] = False
+        out[~body] = np.where(comma[ended], self.comma, self.stop)
+        out[body] = ragged_take(flat, np.cumsum(own_sizes) - own_sizes, own_sizes, which)
         return out, total, sound
 
     def compile(self, texts: pa.Array) -> Batch:
@@ -218,7 +207,7 @@ class BatchEncoder:
         firsts = words.filter(pa.array(leads)).to_pylist()
         coded = words.filter(pa.array(~leads)).dictionary_encode()
         index = np.asarray(coded.indices, np.int64)
-        flat, sizes, sound = self._distinct(coded.dictionary.to_pylist())
+        flat, sizes, sound = self._distinct(coded.dictionary)
         unsound = np.zeros(len(words), bool)
         unsound[~leads] = ~sound[index]
         bad = np.zeros(len(rows), bool)
@@ -293,7 +282,8 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 
     names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "hist", "width"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # half as many ranges as usual: the longer a batch, the fewer words of it are new
+    rows = rows.repartitionByRange(max(1, partitions(docs.sparkSession) // 2), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return rows.mapInArrow(run, "part long, block long, n long, doc_ids binary, nulls binary, sizes binary, tokens binary, hist binary, width int")
 
 
@@ -379,7 +369,7 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_i
     repeat an id follow each other, ordered by a hash of the text. An empty table gives an empty result.
     Other columns are not read. path must name the tokenizer's file on the executors.
     """
-    blocks = spill(token_blocks(docs, path, end_id, id_col, text_col), "rans-tokens")
+    blocks = spill(token_blocks(docs, path, end_id, id_col, text_col), "rans-tokens", "lz4")
     freq = frequencies(count_tokens(blocks))
     folder = new_path(docs.sparkSession, "rans")
     manifest = spill(write_files(blocks, freq, folder), "rans-manifest")
