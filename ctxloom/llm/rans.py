@@ -206,7 +206,7 @@ class BatchEncoder:
         leads[offsets[:-1]] = True
         firsts = words.filter(pa.array(leads)).to_pylist()
         coded = words.filter(pa.array(~leads)).dictionary_encode()
-        index = np.asarray(coded.indices, np.int64)
+        index = np.asarray(coded.indices)
         flat, sizes, sound = self._distinct(coded.dictionary)
         unsound = np.zeros(len(words), bool)
         unsound[~leads] = ~sound[index]
@@ -217,18 +217,21 @@ class BatchEncoder:
         first_flat, first_sizes = self._ask([f if not x else "" for f, x in zip(firsts, bad)]) if firsts else self._whole([])
         alone = np.concatenate([np.flatnonzero(~plain), rows[bad]])
         whole_flat, whole_sizes = self._whole(texts.take(pa.array(alone)).to_pylist())
-        # entries: distinct words, then first words, then whole texts
-        seq = np.empty(len(words), np.int64)
+        # entries: distinct words, then first words, then whole texts; each text's entries in order
+        seq = np.empty(len(words), np.int32)
         seq[~leads] = index
         seq[leads] = len(sizes) + np.arange(len(rows))
-        keep = np.repeat(~bad, np.diff(offsets))
-        of = np.repeat(rows, np.diff(offsets))[keep]
-        seq = np.concatenate([seq[keep], len(sizes) + len(first_sizes) + np.arange(len(alone))])
-        of = np.concatenate([of, alone])
+        counts = np.ones(n, np.int64)
+        counts[rows[~bad]] = np.diff(offsets)[~bad]
+        starts = np.concatenate([[0], np.cumsum(counts)])
         if len(alone):
-            order = np.argsort(of, kind="stable")
-            seq, of = seq[order], of[order]
-        return Batch(np.concatenate([flat, first_flat, whole_flat]), np.concatenate([sizes, first_sizes, whole_sizes]), seq, np.searchsorted(of, np.arange(n + 1)))
+            alone_at = np.zeros(starts[-1], bool)
+            alone_at[starts[np.sort(alone)]] = True
+            mixed = np.empty(starts[-1], np.int32)
+            mixed[~alone_at] = seq[np.repeat(~bad, np.diff(offsets))]
+            mixed[alone_at] = len(sizes) + len(first_sizes) + np.argsort(alone, kind="stable")
+            seq = mixed
+        return Batch(np.concatenate([flat, first_flat, whole_flat]), np.concatenate([sizes, first_sizes, whole_sizes]), seq, starts)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         batch = self.compile(pa.array(texts, pa.string()))
