@@ -136,8 +136,11 @@ def _sum_blobs(blobs: DataFrame, parts: int, fan: int = 64) -> np.ndarray:
         parts = -(-parts // fan)
         if parts <= 1:
             break
-    rows = sorted(blobs.select("piece", "data").collect())
-    return np.concatenate([np.frombuffer(r.data, np.float64) for r in rows]) if rows else np.zeros(0)
+    total: dict[int, np.ndarray] = {}
+    for r in blobs.select("piece", "data").collect():  # one row a piece
+        part = np.frombuffer(r.data, np.float64)
+        total[r.piece] = total[r.piece] + part if r.piece in total else part
+    return np.concatenate([total[k] for k in sorted(total)]) if total else np.zeros(0)
 
 
 def _pass(model: Hmm, coded: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
