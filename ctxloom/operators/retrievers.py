@@ -108,8 +108,10 @@ class Bm25:
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
         asks = requests.select("request_id", "session_id", F.sort_array(F.array_distinct(terms(F.coalesce("task", F.lit("")), self.min_word_len))).alias("asked")).filter(F.size("asked") > 0)
         docs = _texts(asks, tables).select("session_id", "block_id", terms(F.col("text"), self.min_word_len).alias("words")).withColumn("dl", F.size("words")).filter("dl > 0")
-        rows = asks.join(docs, "session_id").select("request_id", "block_id", "dl", "asked", F.transform("asked", lambda t: F.size(F.filter("words", lambda w: w == t))).alias("tf"))
-        rows = rows.select("request_id", "block_id", "dl", "asked", "tf")
+        # the query's words of a document first, then their counts: the long array is walked once
+        rows = asks.join(docs, "session_id").select("request_id", "block_id", "dl", "asked", F.filter("words", lambda w: F.array_contains("asked", w)).alias("hits"))
+        rows = rows.select("request_id", "block_id", "dl", "asked", F.transform("asked", lambda t: F.size(F.filter("hits", lambda w: w == t))).alias("tf"))
+        rows = rows.repartition("request_id")  # one narrow exchange, which the three uses below share
         stats = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least("dl", F.lit(65535))).alias("avgdl"))
         hits = rows.select("request_id", F.explode(F.arrays_zip("asked", "tf")).alias("h")).filter("h.tf > 0")
         df = hits.groupBy("request_id", F.col("h.asked").alias("term")).agg(F.count(F.lit(1)).alias("df"))
