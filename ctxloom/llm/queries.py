@@ -68,4 +68,5 @@ ORACLE: dict[str, str] = {
         select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 5
     """,
     "op9_quality": quality.ORACLE,
+    "op10_suffix": suffix.ORACLE,
 }

@@ -469,3 +469,22 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names)
 
     return _run(docs, "doc_id", "text", emit, docs.schema, hot)
+
+
+ORACLE = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b, strlen(coalesce(text, ''))::bigint as n from documents),
+w as (select doc_id, i, b[i:i + 49] as g from (select doc_id, b, unnest(range(1, greatest(n - 48, 1))) as i from d)),
+f as (select g, min(doc_id) as first from w group by g),
+hit as (select doc_id, i from w join f using (g) where first < doc_id),
+s as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hit),
+t as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as span from s),
+spans as (select doc_id, span, min(i) as a, max(i) + 49 as z from t group by all),
+cut as (select doc_id, span, coalesce(lag(z) over (partition by doc_id order by span), 0) as before, a, z from spans),
+pieces as (select c.doc_id, span, hex(b[before + 1:a - 1]) as h from cut c join d using (doc_id) where a - 1 > before
+  union all select doc_id, 1000000000, hex(b[z + 1:n]) from (select doc_id, max(z) as z from spans group by doc_id) join d using (doc_id) where z < n),
+kept as (select doc_id, string_agg(h, '' order by span) as h from pieces group by doc_id),
+sums as (select doc_id, sum(z - a + 1)::bigint as n_removed, count(*)::bigint as n_spans from spans group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  case when n_removed is null then sha256(b) else sha256(unhex(coalesce(k.h, ''))) end as kept_sha256
+from d left join sums using (doc_id) left join kept k using (doc_id)
+"""
