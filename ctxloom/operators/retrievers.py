@@ -26,7 +26,8 @@ def _clamp(score: Column) -> Column:
 
 
 def _best(df: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """The first limit rows of each request; a rank filter that Spark also applies before the shuffle."""
+    """The first limit rows of each request. Spark also applies the filter before the shuffle, for limits up to its
+    spark.sql.optimizer.windowGroupLimitThreshold."""
     w = Window.partitionBy("request_id").orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= limit).drop("__rank")
 

@@ -113,7 +113,7 @@ def test_recency_does_not_read_bodies(spark, tmp_path):
     from dataclasses import replace
 
     disk = replace(t, blocks=spark.read.parquet(str(tmp_path / "b")), session_blocks=spark.read.parquet(str(tmp_path / "m")))
-    plan = retrievers.Recency()(asks(spark, [1], 9), disk)._jdf.queryExecution().executedPlan().toString()
+    plan = retrievers.Recency(limit=500)(asks(spark, [1], 9), disk)._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan and "WindowGroupLimit" in plan
 
 
