@@ -83,11 +83,15 @@ class TokenizerRegistry:
         return sorted(self.by_id)
 
 
-def count_blocks(blocks: DataFrame, tokenizer: Tokenizer, live: bool = False) -> DataFrame:
+def count_blocks(blocks: DataFrame, tokenizer: Tokenizer, live: bool = False, lenient: bool = False) -> DataFrame:
     """Adds tokens: the stored count for the tokenizer unless live, else the count of the body. Bodies that are
-    not UTF-8 are an error. Equal bodies are counted once when the tokenizer leaves the JVM."""
+    not UTF-8 are an error, or have no tokens if lenient."""
     stored = F.lit(None).cast("long") if live else F.try_element_at("token_counts", F.lit(tokenizer.id))
-    return blocks.withColumn("tokens", F.coalesce(stored, tokenizer.count(text.strict_text(F.col("body")))).cast("long"))
+    if lenient:
+        counted = F.when(F.is_valid_utf8(F.col("body").cast("string")), tokenizer.count(text.body_text(F.col("body"))))
+    else:
+        counted = tokenizer.count(text.strict_text(F.col("body")))
+    return blocks.withColumn("tokens", F.coalesce(stored, counted).cast("long"))
 
 
 def with_token_counts(blocks: DataFrame, tokenizer: Tokenizer) -> DataFrame:

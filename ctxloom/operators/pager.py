@@ -91,11 +91,15 @@ class Pager:
         merged = merge(bound.filter("error is null"), tables, self.retrievers)
         needed = bound.select("request_id", F.explode("required").alias("block_id"))
         merged = merged.join(needed, ["request_id", "block_id"], "left_anti")
-        blocks = tables.blocks.select("block_id", "kind", "priority", "body", "token_counts")
-        rows = count_blocks(merged.join(blocks, "block_id"), self.tokenizer)
+        # counted before the join, so that bodies stay out of the shuffle
+        wordy = [word_set(body_text(F.col("body"))).alias("words")] if self.policy.redundancy is not None else []
+        blocks = count_blocks(tables.blocks.select("block_id", "kind", "priority", "body", "token_counts"), self.tokenizer, lenient=True).select("block_id", "kind", "priority", "tokens", *wordy)
+        rows = merged.join(blocks, "block_id")
+        tokens = F.coalesce("tokens", F.raise_error(F.concat(F.lit("not UTF-8: block "), F.col("block_id"))).cast("long"))
         clamped = f32(F.least(F.greatest(F.col("priority"), f32(F.lit(0.0))), f32(F.lit(1.0))))
         score = f32(F.col("score") + f32(f32(F.lit(self.policy.priority_weight)) * clamped))
-        return rows.select("request_id", "block_id", "kind", section_of(F.col("kind")).alias("section"), "tokens", score.alias("score"), *(["body"] if self.policy.redundancy is not None else [])).withColumn("eff", ratio32(F.col("score"), F.greatest(F.col("tokens"), F.lit(1))))
+        rows = rows.select("request_id", "block_id", "kind", section_of(F.col("kind")).alias("section"), tokens.alias("tokens"), score.alias("score"), *["words"] * len(wordy))
+        return rows.withColumn("eff", ratio32(F.col("score"), F.greatest(F.col("tokens"), F.lit(1))))
 
     def page(self, requests: DataFrame, tables: Tables, profiles: DataFrame) -> Plan:
         """requests(request_id, session_id, task, model, required array<string>[, task_vector])."""
@@ -138,7 +142,7 @@ class Pager:
     # -- the fill, other policies
     def _fold_arrow(self, bound: DataFrame, needed: DataFrame, cands: DataFrame, tables: Tables) -> DataFrame:
         p, budgets = self.policy, {s: self.budgets.share(s) for s in FILLED}
-        words = word_set(body_text(F.col("body"))) if p.redundancy is not None else F.array().cast("array<string>")
+        words = F.col("words") if p.redundancy is not None else F.array().cast("array<string>")
         rows = cands.select("request_id", "block_id", "section", "tokens", "score", "eff", words.alias("words"))
         if p.summary_fallback:
             first = bound.filter("error is null").select("request_id", "session_id").join(tables.session_blocks, "session_id").join(tables.blocks.filter(F.col("kind") == "Summary").select("block_id", F.col("provenance.parents").alias("parents")), "block_id")
