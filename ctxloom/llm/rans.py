@@ -117,7 +117,8 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which:
 
 
 class BatchEncoder:
-    """The tokenizers library over a byte-level BPE file, asked once for each distinct word of a batch of texts.
+    """The tokenizers library over a byte-level BPE file, asked for the distinct words of a batch of texts but those
+    that recent batches had.
 
     By the pattern of such files no pre-token reaches over a lone space or line end between other
     characters, or over a full stop or comma that ends a word after a letter. So a text is the join of its
@@ -126,9 +127,10 @@ class BatchEncoder:
     their ids apart.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_held: int = 700_000):
         from tokenizers import Tokenizer
 
+        self.most = most_held
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -136,6 +138,7 @@ class BatchEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.dtype = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
+        self.held = (pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64))
         if self.by_word:
             self.mark, self.mark_id = next(iter(self.special.items()))
             self.stop, self.comma, self.line = self._one("."), self._one(","), self._one("\n")
@@ -155,6 +158,22 @@ class BatchEncoder:
             flat.append(ids[ids != mark_id])
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def _recall(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of runs, numbers of ids, the run of each text) of distinct texts that begin with a space."""
+        held, flat, sizes = self.held
+        at = pc.index_in(texts, value_set=held)
+        new = np.asarray(at.is_null())
+        fresh = texts.filter(pa.array(new))
+        more, more_sizes = self._ask(fresh.to_pylist(), spaced=True)
+        which = np.asarray(at.fill_null(0)).astype(np.int64)
+        which[new] = len(sizes) + np.arange(len(more_sizes))
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
+        if len(sizes) <= self.most:
+            self.held = (pa.concat_arrays([held, fresh]), flat, sizes)
+        else:
+            self.held = (texts, ragged_take(flat, np.cumsum(sizes) - sizes, sizes, which), sizes[which])
+        return flat, sizes, which
+
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array([len(x) for x in ids], np.int64)
@@ -174,11 +193,11 @@ class BatchEncoder:
         coded = base.filter(pa.array(sound)).dictionary_encode()
         bases = coded.dictionary
         at_line = flag(pc.starts_with(bases, "\n"))
-        flat, sizes = self._ask(bases.filter(pa.array(~at_line)).to_pylist(), spaced=True)
+        flat, sizes, runs = self._recall(bases.filter(pa.array(~at_line)))
         line_flat, line_sizes = self._ask(bases.filter(pa.array(at_line)).to_pylist())
         flat, own_sizes = np.concatenate([flat, line_flat]), np.concatenate([sizes, line_sizes])
         number = np.empty(len(bases), np.int64)
-        number[~at_line] = np.arange(len(sizes))
+        number[~at_line] = runs
         number[at_line] = len(sizes) + np.arange(len(line_sizes))
         which = number[np.asarray(coded.indices, np.int64)]
         total = ended.astype(np.int64)

@@ -335,8 +335,11 @@ def test_rans_encoder():
     rng = random.Random(1)
     texts = ["", " ", "a", " a", "a ", "a  b", "x\ny z", "\na b", "a\n", "a b\n\nc", "x a.\nB, c.\nD", "<|endoftext|>hi", "a b", "a 　", "don't you'll a.\n b"]
     texts += ["".join(rng.choice("ab é1.,'\n  st<|") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    for t, ids in zip(texts, own.encode(texts)):
-        assert ids == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    small = rans.BatchEncoder(BYTE_BPE, most_held=100)
+    for enc, step in ((own, 5000), (own, 400), (small, 300)):  # what is remembered, and what no longer fits
+        for at in range(0, len(texts), step):
+            for t, ids in zip(texts[at : at + step], enc.encode(texts[at : at + step])):
+                assert ids == lib.encode(t, add_special_tokens=False).ids, repr(t)
     assert own.encode([]) == []
 
 
