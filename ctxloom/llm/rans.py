@@ -29,7 +29,7 @@ from .common import new_path, partitions, spill, trim
 from .warc import _prefix
 
 MAGIC, HEAD = b"RNB1", struct.Struct("<4sIIIII")
-BITS, LANES, BLOCK = 20, 2048, 1 << 17
+BITS, LANES, BLOCK = 20, 4096, 1 << 18
 LOW = np.uint64(1 << 31)
 
 
@@ -127,7 +127,7 @@ class BatchEncoder:
     their ids apart.
     """
 
-    def __init__(self, path: str, most_held: int = 700_000):
+    def __init__(self, path: str, most_held: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.most = most_held
@@ -304,8 +304,7 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 
     names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "hist", "width"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    # half as many ranges as usual: the longer a batch, the fewer words of it are new
-    rows = rows.repartitionByRange(max(1, partitions(docs.sparkSession) // 2), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return rows.mapInArrow(run, "part long, block long, n long, doc_ids binary, nulls binary, sizes binary, tokens binary, hist binary, width int")
 
 
