@@ -29,7 +29,9 @@ from .common import new_path, partitions, spill, trim
 from .warc import _prefix
 
 MAGIC, HEAD = b"RNB1", struct.Struct("<4sIIIII")
-BITS, LANES, BLOCK = 20, 4096, 1 << 18
+BITS, LANES, BLOCK = 20, 2048, 1 << 17
+#: Bytes of text that are encoded together.
+PIECE = 12 << 20
 LOW = np.uint64(1 << 31)
 
 
@@ -127,7 +129,7 @@ class BatchEncoder:
     their ids apart.
     """
 
-    def __init__(self, path: str, most_held: int = 1_200_000):
+    def __init__(self, path: str, most_held: int = 800_000):
         from tokenizers import Tokenizer
 
         self.most = most_held
@@ -274,6 +276,14 @@ class Batch:
 _loaded: dict[str, BatchEncoder] = {}
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    upto, lo = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), np.int64)), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PIECE, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """(part, block, n, doc_ids, nulls, sizes, tokens, hist, width): blocks of whole documents in ascending id order over (part, block)."""
 
@@ -281,7 +291,7 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
         if path not in _loaded:
             _loaded[path] = BatchEncoder(path)
         enc, part, no = _loaded[path], TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (piece for batch in batches for piece in _pieces(batch)):
             ids = b.column(0)
             null, ids = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
             got = enc.compile(b.column(1))
@@ -304,7 +314,8 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 
     names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "hist", "width"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # fewer ranges than usual: the more a task encodes, the fewer words of it are new
+    rows = rows.repartitionByRange(max(1, partitions(docs.sparkSession) // 4), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return rows.mapInArrow(run, "part long, block long, n long, doc_ids binary, nulls binary, sizes binary, tokens binary, hist binary, width int")
 
 
