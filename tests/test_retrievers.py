@@ -106,6 +106,43 @@ def test_lsh_recall(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_lsh_recall_on_embeddings(spark):
+    """Against brute force on the driver's own vectors, whose neighbours are far from each other."""
+    import os
+
+    import numpy as np
+    import pytest
+
+    from ctxloom.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    ids, labels, m = np.array([r.vec_id for r in v]), np.array([r.label for r in v]), np.array([r.embedding for r in v], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = np.where((labels == labels[i]) & (ids != ids[i]), m @ m[i], -9)
+        want |= {(int(ids[i]), int(ids[j])) for j in np.argsort(-s)[:5] if s[j] > -9}
+    rows = QUERIES["retrieve_ann_lsh"](spark, sf).collect()
+    got = {(int(r.query_id, 16), int(r.point_id, 16)) for r in rows}
+    assert len(got) == len(rows) and len(got & want) / len(want) >= 0.9
+
+
+def test_exact_fallback_scores_as_cosine(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in rng.standard_normal(8)] for _ in range(60)] + [[0.0] * 8, [], [1.0, 2.0], [1.0, 2.0]]
+    p = spark.createDataFrame([("s", f"p{i:02d}", v) for i, v in enumerate(vectors)], "session_id string, point_id string, vector array<float>")
+    q = p.withColumnRenamed("point_id", "query_id")
+    pairs = q.alias("q").join(p.alias("p"), "session_id").filter("query_id <> point_id").select("query_id", "point_id", ann.cosine(F.col("q.vector"), F.col("p.vector")).alias("score")).collect()
+    for rows in (7, 1024):
+        got = {(r.query_id, r.point_id): r.score for r in ann.nearest_exact(q, p, 64, rows).collect()}
+        assert got == {(r.query_id, r.point_id): r.score for r in pairs}
+
+
 def test_recency_does_not_read_bodies(spark, tmp_path):
     t = tables(spark, FACTS)
     t.blocks.write.parquet(str(tmp_path / "b"))
