@@ -140,6 +140,12 @@ def edges_in(spark, sf_dir):
     return st.edges_to(_doc_tables(spark, sf_dir, edges=True), hubs)
 
 
+@query
+def edges_in_all(spark, sf_dir):
+    """Incoming edges of every block; edges_in asks for some."""
+    return st.edges_to(_doc_tables(spark, sf_dir, edges=True))
+
+
 @query
 def edge_idempotent(spark, sf_dir):
     t = _doc_tables(spark, sf_dir, edges=True)

@@ -126,6 +126,7 @@ ORACLE: dict[str, str] = {
     "store_repair_index": f"with {D}, {FAULT} select stored as content_hash, max(block_id) as block_id from bad group by stored",
     "edges_out": f"with {E} select from_id, to_id, kind, code::int as code from e",
     "edges_in": f"with {E} select to_id, from_id, kind, code::int as code from e where to_id in (select {doc_block('doc_id')} from documents where doc_id % 3 = 0)",
+    "edges_in_all": f"with {E} select to_id, from_id, kind, code::int as code from e",
     "edge_idempotent": f"with {E} select from_id, to_id, kind from e",
     "model_input_budget": "select * from (values " + ", ".join(f"('{p[0]}', '{p[4]}', {str(p[5]).lower()}, {ModelProfile(*p).input_budget}::bigint)" for p in _PROFILES) + ") as t(name, tokenizer, supports_system_role, input_budget)",
     "token_count_wordlevel": f"select doc_id, {tok('text')} as tokens from documents",

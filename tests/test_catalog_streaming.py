@@ -46,6 +46,12 @@ def test_twin(spark, duck, name):
     assert ours == theirs
 
 
+def test_incoming_edges_of_every_block(spark, duck):
+    rows = QUERIES["edges_in_all"](spark, SF).collect()
+    docs = [r[0] for r in duck.execute("select doc_id from documents").fetchall()]
+    assert len(rows) == len(docs) and {int(r.to_id[12:], 16) for r in rows} == {d // 2 for d in docs}
+
+
 def test_no_cartesian_plans(spark):
     for name in ("retrieve_bm25", "retrieve_recency_linear", "merge_max", "store_verify_rows", "edges_in"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
