@@ -480,18 +480,27 @@ def reduce_append(spark, sf_dir):
     return b.withColumn("linked", F.size("provenance.parents") > 0).join(links, "block_id", "left").filter("parent is null or parent = provenance.parents[0]").select("call_id", "block_id", "kind", "content_hash", F.when(F.col("linked"), F.col("parent")).alias("parent"))
 
 
-@query
-def reduce_json_events(spark, sf_dir):
+def _json_events(spark, sf_dir, body) -> DataFrame:
     d = fx.table(spark, sf_dir, "documents")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("fact", "plan", "summary", "documentchunk", "other")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    head = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)
-    envelope = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("state "), F.col("doc_id").cast("string"))).alias("state"), F.array(F.struct(kind.alias("kind"), head.alias("body"))).alias("events")))
+    envelope = F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("state "), F.col("doc_id").cast("string"))).alias("state"), F.array(F.struct(kind.alias("kind"), body.alias("body"))).alias("events")))
     out = d.select(hex_of(F.col("doc_id"), 32).alias("call_id"), F.when(F.col("doc_id") % 11 == 0, F.lit("not json")).otherwise(envelope).alias("output"), F.lit(NOW_MS).cast("long").alias("now_ms"), F.lit(None).cast("string").alias("state_id"))
     blocks, errors = reduce.json_events(out)
     rows = blocks.select("call_id", "block_id", "kind", F.col("body").cast("string").alias("body"))
     return rows.unionByName(errors.select("call_id", F.lit(None).cast("string").alias("block_id"), F.col("error").alias("kind"), F.lit(None).cast("string").alias("body")))
 
 
+@query
+def reduce_json_events(spark, sf_dir):
+    return _json_events(spark, sf_dir, F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40))
+
+
+@query
+def reduce_json_events_whole(spark, sf_dir):
+    """Whole texts as bodies; reduce_json_events has short ones of letters."""
+    return _json_events(spark, sf_dir, F.col("text"))
+
+
 @query
 def summarize_truncating(spark, sf_dir):
     c = fx.conversations(spark, sf_dir)

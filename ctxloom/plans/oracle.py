@@ -214,6 +214,11 @@ ORACLE: dict[str, str] = {
         bl as (select call_id, k as kind, head as body, [1, 2, 3, 4][doc_id % 5 + 1] as mask from ok where head <> '' union all select call_id, 'State', state, 254 from ok where doc_id % 3 = 0)
         select call_id, printf('%012x', {NOW_MS}) || '0000' || printf('%02x', xor(('0x' || substr(sha256(body), 1, 2))::int, mask)) || substr(sha256(body), 3, 14) as block_id, kind, body from bl
         union all select call_id, null, 'InvalidOutput', null from o where doc_id % 11 = 0 or k = 'other'""",
+    "reduce_json_events_whole": f"""with o as (select doc_id, printf('%032x', doc_id) as call_id, text, 'state ' || doc_id as state, ['Fact', 'Plan', 'Summary', 'DocumentChunk', 'other'][doc_id % 5 + 1] as k from documents),
+        ok as (select * from o where doc_id % 11 <> 0 and k <> 'other' and text is not null),
+        bl as (select call_id, k as kind, text as body, [1, 2, 3, 4][doc_id % 5 + 1] as mask from ok where text <> '' union all select call_id, 'State', state, 254 from ok where doc_id % 3 = 0)
+        select call_id, printf('%012x', {NOW_MS}) || '0000' || printf('%02x', xor(('0x' || substr(sha256(body), 1, 2))::int, mask)) || substr(sha256(body), 3, 14) as block_id, kind, body from bl
+        union all select call_id, null, 'InvalidOutput', null from o where doc_id % 11 = 0 or k = 'other' or text is null""",
     "summarize_truncating": f"with {C}, s as (select session_id, string_agg({bullets(80)}, '' order by block_id) as s from c group by session_id) select session_id, sha256(s) as sha256, length(s)::bigint as chars from s",
     "summarize_last_n": f"with {C}, l as (select * from c qualify row_number() over (partition by session_id order by block_id desc) <= 2) select session_id, string_agg({bullets(20)}, '' order by block_id) as summary from l group by session_id",
     "summarize_noop": f"with {C} select session_id, '[summary of ' || count(*) || ' block(s) elided]' as summary from c group by session_id",
