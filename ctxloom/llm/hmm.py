@@ -1,9 +1,10 @@
 """Language-model scores by a hidden Markov model.
 
-Words are counted over all training documents. The most frequent ones (a bounded number, of bounded
-length) are symbols of their own; all other words are one symbol, within which a word has its smoothed
-share by its exact count, looked up by a join. Baum-Welch counts are summed over partitions; a text's
-probability is exact, by the scaled forward recursion over the whole text.
+Words are counted over all training documents, and each of them is a symbol. The emissions of the most
+frequent ones (a bounded number, of bounded length) are broadcast; those of all other words are a
+(word, state) table that is joined to blocks of documents by word, before each Baum-Welch pass and before
+the scores. Baum-Welch counts are summed over partitions and by word; a text's probability is exact, by
+the scaled forward recursion over the whole text.
 """
 from __future__ import annotations
 
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, spill, trim
 
-#: Frequent words that are symbols, their greatest length in bytes; hidden states; passes; words in a training stretch.
-HEAD, HEAD_BYTES, STATES, PASSES, STRETCH = 60_000, 64, 8, 5, 256
-#: Added to each count in the base model and among rare words; weight of the unigram share in each state's emissions.
+#: Frequent words whose emissions are broadcast, their greatest length in bytes; hidden states; passes; words in a training stretch; documents in a block.
+HEAD, HEAD_BYTES, STATES, PASSES, STRETCH, BLOCK = 60_000, 64, 8, 5, 256, 1000
+#: Added to each count in the base model, and the count of an unknown word; weight of the unigram share in each state's emissions.
 ADD, PRIOR = 0.1, 50.0
 
 
@@ -68,6 +69,12 @@ class Hmm:
         move, start = move + 0.1, start + 0.1
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
+    @staticmethod
+    def step(start: np.ndarray, move: np.ndarray, emit: np.ndarray, unigram: np.ndarray, totals: np.ndarray) -> Hmm:
+        """As of, where emit has only some of the symbols and totals are the sums over all."""
+        move, start = move + 0.1, start + 0.1
+        return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), (emit + PRIOR * unigram[:, None]) / (totals + PRIOR))
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each sequence: scaled forward recursion, longest sequences first."""
         out = np.zeros(len(texts))
@@ -143,38 +150,102 @@ def _sum_blobs(blobs: DataFrame, parts: int, fan: int = 64) -> np.ndarray:
     return np.concatenate([total[k] for k in sorted(total)]) if total else np.zeros(0)
 
 
-def _pass(model: Hmm, coded: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Baum-Welch pass over all coded training rows."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+def noise(seeds: np.ndarray, states: int) -> np.ndarray:
+    """exp of a standard normal number for each (seed, state), the same wherever it is computed."""
+    with np.errstate(over="ignore"):
+        x = seeds.view(np.uint64)[:, None] + np.arange(1, 2 * states + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.exp(np.sqrt(-2 * np.log1p(-u[:, :states])) * np.cos(2 * np.pi * u[:, states:]))
+
+
+def _first_counts(tail: DataFrame, states: int) -> DataFrame:
+    """(wid, c0, c1, ...): the counts of the words outside the head, disturbed for each state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(1).to_numpy()[:, None] * noise(b.column(2).to_numpy(), states)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c[:, k], pa.float64()) for k in range(states)]], ["wid", *[f"c{k}" for k in range(states)]])
+
+    return tail.select("wid", "n", F.xxhash64("word")).mapInArrow(run, "wid long, " + ", ".join(f"c{k} double" for k in range(states)))
+
+
+def _blocks(blocks: DataFrame, links: DataFrame, counts: DataFrame, states: int) -> DataFrame:
+    """blocks with (wids, ns, cs): the number, the count (0: not in training) and the expected counts of each of
+    their words outside the head, in the order of their local symbols."""
+    names = [f"c{k}" for k in range(states)]
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("j")
+        c = np.stack([t.column(k).to_numpy() for k in names], 1).astype(np.float32)
+        return pa.table({"of": t.column("block")[:1], "wids": pa.array([t.column("wid").to_numpy().tobytes()], pa.binary()), "ns": pa.array([t.column("n").to_numpy().tobytes()], pa.binary()), "cs": pa.array([c.tobytes()], pa.binary())})
+
+    rows = links.join(counts, "wid", "left").select("block", "j", "wid", "n", *[F.coalesce(k, F.lit(0.0)).cast("float").alias(k) for k in names])
+    packed = rows.groupBy("block").applyInArrow(pack, "of long, wids binary, ns binary, cs binary")
+    return blocks.join(packed, F.col("block") == F.col("of"), "left").select("ids", "sizes", "doc_ids", "held", "wids", "ns", "cs")
+
+
+def _local(model: Hmm, totals: np.ndarray, whole: float, ns: bytes | None, cs: bytes | None) -> tuple[Hmm, np.ndarray]:
+    """The model with a block's other words as further symbols, and their counts."""
+    n = np.frombuffer(ns or b"", np.int64)
+    c = np.frombuffer(cs or b"", np.float32).reshape(len(n), len(totals))
+    emit = (c + PRIOR * np.where(n > 0, n, ADD)[:, None] / whole) / (totals + PRIOR)
+    return Hmm(model.start, model.move, np.concatenate([model.emit, emit])), n
+
+
+def _texts(b: pa.RecordBatch, r: int) -> list[np.ndarray]:
+    sizes = np.frombuffer(b.column(1)[r].as_py(), np.int64)
+    return np.split(np.frombuffer(b.column(0)[r].as_py(), np.uint32), np.cumsum(sizes)[:-1])
+
+
+def _pass(model: Hmm, totals: np.ndarray, whole: float, coded: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """One Baum-Welch pass over the training rows of all blocks: expected counts (start, move, emit of the head) and
+    the table (wid, c0, c1, ...) of all other words."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, totals))
+    names = [f"c{k}" for k in range(states)]
+    columns = ["part", "piece", "data", "wid", *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, totals = shared.value
+        head = len(model.emit)
         total = None
         for b in batches:
-            pieces = []
-            for raw in b.column(0):
-                ids = np.frombuffer(raw.as_buffer(), np.uint16)
-                pieces += [ids[i : i + STRETCH] for i in range(0, len(ids), STRETCH)]
-            pieces.sort(key=len, reverse=True)
-            for at in range(0, len(pieces), 512):
-                some = pieces[at : at + 512]
-                sizes = np.array([len(x) for x in some])
-                obs = np.zeros((sizes[0], len(some)), np.uint16)
-                for k, x in enumerate(some):
-                    obs[: len(x), k] = x
-                got = model.expect(obs, sizes)
-                total = got if total is None else tuple(x + y for x, y in zip(total, got))
+            for r in range(b.num_rows):
+                local, n = _local(model, totals, whole, b.column(5)[r].as_py(), b.column(6)[r].as_py())
+                held = b.column(3)[r].as_py()
+                pieces = [x[i : i + STRETCH] for x, h in zip(_texts(b, r), held) if not h for i in range(0, len(x), STRETCH)]
+                pieces.sort(key=len, reverse=True)
+                rest = np.zeros((len(n), states))
+                for at in range(0, len(pieces), 512):
+                    some = pieces[at : at + 512]
+                    sizes = np.array([len(x) for x in some])
+                    obs = np.zeros((sizes[0], len(some)), np.uint32)
+                    for k, x in enumerate(some):
+                        obs[: len(x), k] = x
+                    start, move, emit = local.expect(obs, sizes)
+                    rest += emit[head:]
+                    got = (start, move, emit[:head])
+                    total = got if total is None else tuple(x + y for x, y in zip(total, got))
+                seen = np.flatnonzero(rest.any(1))
+                if len(seen):
+                    none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                    wids = np.frombuffer(b.column(4)[r].as_py(), np.int64)[seen]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(wids), *[pa.array(rest[seen, k].astype(np.float32)) for k in range(states)]], columns)
         if total is not None:
             flat = np.concatenate([x.ravel() for x in total])
             part = TaskContext.get().partitionId()
             cut = [flat[i : i + (1 << 16)].tobytes() for i in range(0, len(flat), 1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.binary())], ["part", "piece", "data"])
+            none = [pa.nulls(len(cut), t) for t in (pa.int64(), *[pa.float32()] * states)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.binary()), *none], columns)
 
-    blobs = coded.select("ids").mapInArrow(run, "part long, piece long, data binary")
-    flat = _sum_blobs(blobs, coded.rdd.getNumPartitions())
+    out = spill(coded.mapInArrow(run, "part long, piece long, data binary, wid long, " + ", ".join(f"{k} float" for k in names)), "hmm-pass")
+    blobs = out.filter("part is not null").select("part", "piece", "data")
+    flat = _sum_blobs(blobs, int(blobs.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]) + 1)
+    rest = spill(out.filter("wid is not null").groupBy("wid").agg(*[F.sum(k).alias(k) for k in names]), "hmm-emissions")
     if not len(flat):
-        return np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))
-    return flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(-1, states)
+        return np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states)), rest
+    return flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(-1, states), rest
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, head: int = HEAD, states: int = STATES, passes: int = PASSES) -> DataFrame:
@@ -184,8 +255,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts are the end token alone; repeated rows each get their row and count each time. With no
     training row every token is unknown. An empty table gives an empty result. Other columns are not read.
     """
-    if head + 2 > 1 << 16:
-        raise ValueError("symbols are coded in 16 bits")
     spark = docs.sparkSession
     mod = crc_mod(F.col(id_col), folds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (mod == held).alias("held_out"), F.col(text_col).alias("text"))
@@ -200,66 +269,64 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if room < 0:
             break
         least = level
-    top = sorted(short.filter(F.col("level") >= least).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
+    in_head = (F.octet_length("word") <= HEAD_BYTES) & (F.floor(F.log2("n") * 64).cast("int") >= least)
+    top = sorted(counts.filter(in_head).select("word", "n").collect(), key=lambda r: (-r.n, r.word))
+    tail = spill(counts.filter(~in_head).withColumn("wid", F.monotonically_increasing_id()), "hmm-tail")
     n, v = n + trained, v + (trained > 0)
     words = [r.word.encode() for r in top]
-    c = np.array([r.n for r in top] + [0, trained], float)  # the last two: rare words, the end
-    rare, end = len(words), len(words) + 1
-    rare_n, rare_v = n - trained - c[:rare].sum(), v - (trained > 0) - rare
-    rare_total = rare_n + ADD * rare_v + ADD
-    c_obs = c.copy()
-    c_obs[rare] = rare_n + ADD
-    c_obs[end] = max(trained, ADD)
-    unigram = c_obs / c_obs.sum()
-    base_of = np.log10((c + ADD) / (n + ADD * (v + 1)))
-    base_of[rare] = 0.0
+    c = np.array([r.n for r in top] + [trained], float)  # the last one: the end
+    end, first = len(words), len(words) + 1
+    whole = n + ADD + (0 if trained else ADD)  # with an unknown word
+    unigram = np.where(c > 0, c, ADD) / whole
+    base_all = float(np.log10(n + ADD * (v + 1)))
+    base_of = np.log10(c + ADD) - base_all
     shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, base_of))  # at most head words of HEAD_BYTES
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value[0].get
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids, tails, sizes = [], [], []
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                ids, sizes, other = [], [], {}
                 for t in part.column(2):
                     ws = words_of(t.as_py())
-                    got = [get(w, rare) for w in ws]
-                    tails.append(list(Counter([w.decode() for w, i in zip(ws, got) if i == rare]).items()))
-                    got.append(end)
-                    ids.append(np.array(got, np.uint16).tobytes())
-                    sizes.append(len(got))
-                flat = [x for t in tails for x in t]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)), pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([k for _, k in flat], pa.int64())], ["word", "k"]))
-                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + len(ids)), pa.int64()), part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), lists], ["uid", "doc_id", "held_out", "n_tokens", "ids", "tails"])
-                uid += len(ids)
-
-    coded = spill(rows.mapInArrow(code, "uid long, doc_id long, held_out boolean, n_tokens long, ids binary, tails array<struct<word:string,k:long>>"), "hmm-coded")
+                    ids += [i if (i := get(w)) is not None else other.setdefault(w, first + len(other)) for w in ws]
+                    ids.append(end)
+                    sizes.append(len(ws) + 1)
+                row = [uid, np.array(ids, np.uint32).tobytes(), np.array(sizes, np.int64).tobytes(), part.column(0).to_pylist(), part.column(1).to_pylist(), [w.decode() for w in other]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string())))], ["block", "ids", "sizes", "doc_ids", "held", "words"])
+                uid += 1
+
+    coded = spill(rows.mapInArrow(code, "block long, ids binary, sizes binary, doc_ids array<long>, held array<boolean>, words array<string>"), "hmm-coded")
+    links = coded.select("block", F.posexplode("words").alias("j", "word")).join(tail, "word", "left").select("block", "j", F.coalesce("wid", F.lit(-1)).alias("wid"), F.coalesce("n", F.lit(0)).alias("n"))
+    links = spill(links, "hmm-links")
+    blocks = coded.drop("words")
+    rest = spill(_first_counts(tail, states), "hmm-emissions")
+    sums = [F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) for k in range(states)]
     model = Hmm.begin(unigram, states)
-    for _ in range(passes if trained else 0):
-        model = Hmm.of(*_pass(model, coded.filter(~F.col("held_out")), states), unigram)
-    ready = spark.sparkContext.broadcast(model)
+    emit = c[:, None] * np.exp(np.random.default_rng(7).standard_normal((len(c), states)))
+    start, move = model.start, model.move
+    for i in range(passes + 1 if trained else 1):
+        if i:
+            start, move, emit, rest = _pass(model, totals, whole, _blocks(blocks, links, rest, states), states)
+        totals = emit.sum(0) + np.array(rest.agg(*sums).first(), float)
+        model = Hmm.step(start, move, emit, unigram, totals) if i else Hmm(start, move, (emit + PRIOR * unigram[:, None]) / (totals + PRIOR))
+    ready = spark.sparkContext.broadcast((model, totals))
     known_end = int(trained > 0)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base_of = ready.value, shared.value[1]
+        (model, totals), base_of = ready.value, shared.value[1]
         for b in batches:
-            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(4)]
-            got = model.score(texts) / np.log(10)
-            known = [int((x < rare).sum()) + known_end for x in texts]
-            base = [float(base_of[x].sum()) for x in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(known, pa.int64()), pa.array(base), pa.array(got)], ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "got"])
-
-    scored = coded.select("uid", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(forward, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, got double")
-    tails = coded.select("uid", F.explode("tails").alias("t")).select("uid", F.col("t.word").alias("word"), F.col("t.k").alias("k"))
-    tails = tails.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum("k").alias("tail_k"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("k") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ADD))).alias("tail_log"),
-    )
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    base_all, tail_all = float(np.log10(n + ADD * (v + 1))), float(np.log10(rare_total))
-    return scored.join(tails, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("tail_log") - zero("tail_k") * F.lit(base_all)).alias("base_score"), (F.col("got") + zero("tail_log") - zero("tail_k") * F.lit(tail_all)).alias("score"),
-    )
+            for r in range(b.num_rows):
+                local, ns = _local(model, totals, whole, b.column(5)[r].as_py(), b.column(6)[r].as_py())
+                texts = _texts(b, r)
+                is_known = np.concatenate([np.ones(end, bool), [known_end], ns > 0])
+                base_here = np.concatenate([base_of, np.log10(ns + ADD) - base_all])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(b.column(2)[r].as_py(), pa.int64()), pa.array(b.column(3)[r].as_py(), pa.bool_()), pa.array([len(x) for x in texts], pa.int64()),
+                    pa.array([int(is_known[x].sum()) for x in texts], pa.int64()), pa.array([float(base_here[x].sum()) for x in texts]), pa.array(local.score(texts) / np.log(10)),
+                ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = _blocks(blocks, links, rest, states).mapInArrow(forward, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

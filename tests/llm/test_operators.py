@@ -366,6 +366,24 @@ def test_hmm(spark, table, rows, head):
     assert hmm.score_texts(empty(table)).isEmpty()
 
 
+def test_hmm_states_learn_every_word(spark):
+    """Two topics of words none of which is in the head: order within a topic is likelier than a mix of both."""
+    rng = random.Random(4)
+    topic = lambda k: " ".join(f"t{k}w{rng.randint(0, 40)}" for _ in range(60))
+    texts = [topic(i % 2) for i in range(300)]
+    a, b = topic(0).split(), topic(1).split()
+    mixed = [x for pair in zip(a, b) for x in pair]
+    texts += [" ".join(a + b), " ".join(mixed)]
+    ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 10][:300] + [i for i in range(5000, 9000) if not zlib.crc32(str(i).encode()) % 10][:2]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hmm.score_texts(df, head=0, states=2, passes=8).collect()}
+    assert got[ids[-2]] > got[ids[-1]] + 1
+    # the size of the head changes where emissions are kept, and the noise they start from, but nothing is pooled
+    every = {r.doc_id: r.score for r in hmm.score_texts(df, head=1000, states=1, passes=1).collect()}
+    none = {r.doc_id: r.score for r in hmm.score_texts(df, head=0, states=1, passes=1).collect()}
+    assert none == pytest.approx(every, rel=1e-4)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(1)
     m = hmm.Hmm(rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet(np.ones(4), 2).T)
