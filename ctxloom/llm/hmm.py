@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, spill, trim
 
-#: Frequent words whose emissions are broadcast, their greatest length in bytes; hidden states; passes; words in a training stretch; documents in a block.
-HEAD, HEAD_BYTES, STATES, PASSES, STRETCH, BLOCK = 60_000, 64, 8, 5, 256, 1000
+#: Frequent words whose emissions are broadcast, their greatest length in bytes; hidden states; passes; cells of a training batch (more only for one text alone); documents in a block.
+HEAD, HEAD_BYTES, STATES, PASSES, CELLS, BLOCK = 60_000, 64, 8, 5, 1 << 20, 1000
 #: Added to each count in the base model, and the count of an unknown word; weight of the unigram share in each state's emissions.
 ADD, PRIOR = 0.1, 50.0
 
@@ -99,10 +99,10 @@ class Hmm:
         return out
 
     def expect(self, obs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, move, emit) of a block of stretches; obs is time x stretches, longest first."""
+        """Expected counts (start, move, emit) of a batch of texts; obs is time x texts, longest first."""
         steps, lanes = obs.shape
         s = len(self.start)
-        live = np.array([int(np.searchsorted(-sizes, -t, "left")) for t in range(steps)])  # stretches longer than t
+        live = np.array([int(np.searchsorted(-sizes, -t, "left")) for t in range(steps)])  # texts longer than t
         kind = np.float32
         move, e = self.move.astype(kind), self.emit.astype(kind)[obs]
         a, c = np.zeros((steps, lanes, s), kind), np.ones((steps, lanes), kind)
@@ -131,6 +131,19 @@ class Hmm:
         return start, trans * self.move, emit
 
 
+def batches_of(texts: list[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(time x texts, sizes) of whole texts, longest first."""
+    texts = sorted(texts, key=len, reverse=True)
+    at = 0
+    while at < len(texts):
+        some = texts[at : at + max(1, cells // len(texts[at]))]
+        obs = np.zeros((len(some[0]), len(some)), np.uint32)
+        for k, x in enumerate(some):
+            obs[: len(x), k] = x
+        yield obs, np.array([len(x) for x in some])
+        at += len(some)
+
+
 def _sum_blobs(blobs: DataFrame, parts: int, fan: int = 64) -> np.ndarray:
     """Sum of equally long float64 blobs (part, piece, data), by piece, at most fan of them together; the sum is as long as one partition's."""
 
@@ -214,15 +227,8 @@ def _pass(model: Hmm, totals: np.ndarray, whole: float, coded: DataFrame, states
             for r in range(b.num_rows):
                 local, n = _local(model, totals, whole, b.column(5)[r].as_py(), b.column(6)[r].as_py())
                 held = b.column(3)[r].as_py()
-                pieces = [x[i : i + STRETCH] for x, h in zip(_texts(b, r), held) if not h for i in range(0, len(x), STRETCH)]
-                pieces.sort(key=len, reverse=True)
                 rest = np.zeros((len(n), states))
-                for at in range(0, len(pieces), 512):
-                    some = pieces[at : at + 512]
-                    sizes = np.array([len(x) for x in some])
-                    obs = np.zeros((sizes[0], len(some)), np.uint32)
-                    for k, x in enumerate(some):
-                        obs[: len(x), k] = x
+                for obs, sizes in batches_of([x for x, h in zip(_texts(b, r), held) if not h]):
                     start, move, emit = local.expect(obs, sizes)
                     rest += emit[head:]
                     got = (start, move, emit[:head])

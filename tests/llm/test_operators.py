@@ -384,6 +384,18 @@ def test_hmm_states_learn_every_word(spark):
     assert none == pytest.approx(every, rel=1e-4)
 
 
+def test_hmm_learns_from_whole_texts(spark):
+    """A text starts once: batches hold texts whole, and each adds one start and its length less one of moves."""
+    texts = [np.arange(n, dtype=np.uint32) % 5 for n in (1, 700, 3, 2000, 300, 257)]
+    got = [(obs, sizes) for obs, sizes in hmm.batches_of(texts, 2500)]
+    assert sorted(n for _, sizes in got for n in sizes) == sorted(map(len, texts)) and len(got) > 1
+    assert all((obs[:n, k] == np.arange(n) % 5).all() for obs, sizes in got for k, n in enumerate(sizes))
+    m = hmm.Hmm.begin(np.full(5, 0.2), 3)
+    counts = [m.expect(obs, sizes) for obs, sizes in got]
+    assert sum(c[0].sum() for c in counts) == pytest.approx(len(texts), rel=1e-4)
+    assert sum(c[1].sum() for c in counts) == pytest.approx(sum(len(x) - 1 for x in texts), rel=1e-4)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(1)
     m = hmm.Hmm(rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet(np.ones(4), 2).T)
