@@ -1,6 +1,7 @@
 """WARC archives through a chunked record table.
 
-Writing: a page becomes rows (record, chunk number, bytes), so that no record is held whole by a writer;
+Writing: a page becomes rows (record, chunk number, bytes). The row that is cut holds the payload and all
+its chunks, about twice a page's size, at once; the archive's writer then takes one chunk at a time:
 each task streams its rows into one gzip-per-record archive in the shared folder and returns a manifest
 row. Reading: each archive is streamed and yields (record, chunk number, bytes so far, chunk) rows with an
 incremental SHA-1 that is complete on a record's last row. Archives that no manifest row names (of lost
