@@ -1,14 +1,16 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The words of a partition that are new are laid out as one array of symbols with links to their
-neighbours. An index maps each mergeable pair to all its positions in the partition; active ranks are
-applied in ascending order, each to all its positions, and every merge updates the lists of the pairs it
-makes. Where a merge makes a pair of a lower rank than its own, that word is done again by itself in the
-order of the single-word algorithm, so that results are the library's in every case.
-
-Texts are cut at ASCII white space, which no token crosses; the library's own normalizer and
-pre-tokenizer treat what is left of each piece, but for plain Latin pieces, where a pattern of the same
-meaning does.
+Texts are cut at ASCII white space, which no token crosses. Pieces that a worker has met are looked up. The
+words of all new pieces of a group of texts are laid out as one array of symbols with links to their
+neighbours; an index maps each mergeable pair to all its positions in that array, active ranks are applied
+in ascending order, each to all its positions, and every merge updates the lists of the pairs it makes.
+Where a merge makes a pair of a lower rank than its own, that word is done again by itself in the order of
+the single-word algorithm, so that results are the library's in every case. A partition is read in groups
+so that memory stays bounded; one index covers the new words of a group (group_chars of text), or of
+MOST_SYMBOLS where a group has more.
+
+The library's own normalizer and pre-tokenizer treat pieces, but for plain Latin ones, where a pattern of
+the same meaning does.
 """
 from __future__ import annotations
 
@@ -21,12 +23,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts whose normal form is certain: ASCII and precomposed Latin letters.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-į]*")
+#: Symbols of the new words that one index covers.
+MOST_SYMBOLS = 1 << 21
+_NO_IDS = np.zeros(0, np.int32)
 
 
 def byte_symbols() -> list[str]:
@@ -39,7 +45,7 @@ def byte_symbols() -> list[str]:
 class PairIndexBpe:
     """A word-end BPE of the tokenizers library's file format: Split by a pattern, bytes, merges."""
 
-    def __init__(self, path: str, most_cached: int = 250_000):
+    def __init__(self, path: str, most_cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -48,29 +54,37 @@ class PairIndexBpe:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or spec.get("decoder") or spec.get("post_processor"):
             raise ValueError("not a BPE file of the kind this operator reads")
-        self.vocab: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
+        vocab: dict[str, int] = model["vocab"]
+        end = model.get("end_of_word_suffix") or ""
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"]):
-            self.pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.merge_of = {r: (pair, new) for pair, (r, new) in self.pairs.items()}
-        self.token = {i: t for t, i in self.vocab.items()}
+        packed = sorted(((a << 32) | b, r) for (a, b), (r, _) in self.pairs.items()) or [(-1, -1)]
+        self.keys, self.key_rank = np.array(packed, np.int64).T.copy()
+        letters = byte_symbols()
+        self.inner = np.array([vocab.get(c, -1) for c in letters], np.int32)
+        self.final = np.array([vocab.get(c + end, -1) for c in letters], np.int32)
+        self.bytes_of = {ord(c): b for b, c in enumerate(letters)}
+        self.token = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
+        self.id_text, self.token_text = {i: f" {i}" for i in self.token}, {i: f" {t}" for i, t in self.token.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-        self.letters = dict(enumerate(byte_symbols()))
-        self.bytes_of = {ord(s): b for b, s in self.letters.items()}
-        self.most, self.older = most_cached, {}
-        self.known = {" " + t: (str(i), t, (i,)) for t, i in self.special.items()}
+        # what is known: pieces between white space, and words; and what was known before the last time it was too much
+        self.most, self.with_ids = most_cached, True
+        self.known, self.old_known = {}, {}
+        self.words, self.old_words = self._start(), {}
 
     # -- merges
-    def _symbols(self, word: str) -> list[int]:
-        got = [self.vocab.get(c) for c in word[:-1]] + [self.vocab.get(word[-1] + self.end)]
-        return [x for x in got if x is not None]
+    def _symbols(self, word: bytes) -> list[int]:
+        got = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        got[-1:] = [int(self.final[word[-1]])]
+        return [x for x in got if x >= 0]
 
-    def _alone(self, word: str) -> list[int]:
+    def _alone(self, word: bytes) -> list[int]:
         """One word, least rank first and leftmost first."""
         sym = self._symbols(word)
         n = len(sym)
@@ -92,26 +106,33 @@ class PairIndexBpe:
                     heapq.heappush(heap, (self.pairs[p][0], at))
         return [x for x in sym if x >= 0]
 
-    def merge(self, words: list[str]) -> list[list[int]]:
+    def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word, through one pair occurrence index over all of them."""
-        sym: list[int] = []
-        word_of: list[int] = []
-        starts = [0]
-        for w, word in enumerate(words):
-            got = self._symbols(word)
-            sym += got
-            word_of += [w] * len(got)
-            starts.append(len(sym))
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s, e in zip(starts, starts[1:]):
-            if e > s:
-                prv[s], nxt[e - 1] = -1, -1
-        pairs, index = self.pairs, {}
-        for i in range(n - 1):
-            if nxt[i] > 0 and (p := pairs.get((sym[i], sym[i + 1]))):
-                index.setdefault(p[0], []).append(i)
-        active, again = list(index), set()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        if not len(flat):
+            return [[] for _ in words]
+        first = self.inner[flat]
+        first[ends - 1] = self.final[flat[ends - 1]]
+        if (first < 0).any():  # a byte that the vocabulary lacks has no symbol
+            return [self._alone(w) for w in words]
+        n = len(first)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[ends - 1], prv[ends - sizes] = -1, -1
+        # the index: the positions of each pair that merges, by rank
+        at = np.flatnonzero(nxt > 0)
+        key = (first[at].astype(np.int64) << 32) | first[at + 1]
+        spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        real = self.keys[spot] == key
+        at, rank = at[real], self.key_rank[spot[real]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else []
+        index = {int(rank[e]): x.tolist() for e, x in zip(edge, np.split(at, edge[1:]))}
+        sym, nxt, prv = first.tolist(), nxt.tolist(), prv.tolist()
+        pairs, again = self.pairs, set()
+        active = list(index)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
@@ -130,7 +151,7 @@ class PairIndexBpe:
                     prv[k] = i
                     if p := pairs.get((new, sym[k])):
                         if p[0] <= rank:
-                            again.add(word_of[i])
+                            again.add(i)
                         elif p[0] in index:
                             index[p[0]].append(i)
                         else:
@@ -138,74 +159,105 @@ class PairIndexBpe:
                             heapq.heappush(active, p[0])
                 if h >= 0 and (p := pairs.get((sym[h], new))):
                     if p[0] <= rank:
-                        again.add(word_of[i])
+                        again.add(i)
                     elif p[0] in index:
                         index[p[0]].append(h)
                     else:
                         index[p[0]] = [h]
                         heapq.heappush(active, p[0])
-        out = [[x for x in sym[s:e] if x >= 0] for s, e in zip(starts, starts[1:])]
-        for w in again:
+        done = np.array(sym)
+        stay = done >= 0
+        cut = np.concatenate([[0], np.cumsum(stay)[ends - 1]]).tolist()
+        tokens = done[stay].tolist()
+        out = [tokens[a:b] for a, b in zip(cut, cut[1:])]
+        for w in {int(np.searchsorted(ends, i, "right")) for i in again}:
             out[w] = self._alone(words[w])
         return out
 
     # -- text
-    def _words(self, text: str) -> list[str]:
-        """The pre-tokens of a text."""
-        if _PLAIN.fullmatch(text):
-            return self.pattern.findall(text.lower())
-        out: list[str] = []
-        for piece in text.encode().split():
-            part = piece.decode()
-            if _PLAIN.fullmatch(part):
-                out += self.pattern.findall(part.lower())
-            else:
-                got = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part))
-                out += [w.translate(self.bytes_of).encode("latin-1").decode() for w, _ in got]
-        return out
+    def _words(self, part: str) -> list[str]:
+        """The pre-tokens of a piece without white space or special tokens."""
+        if _PLAIN.fullmatch(part):
+            return self.pattern.findall(part.lower())
+        got = self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(part))
+        return [w.translate(self.bytes_of).encode("latin-1").decode() for w, _ in got]
 
-    def learn(self, words: list[str]) -> None:
-        """Adds words to the cache of (ids as text, tokens as text, ids). When it is full, only the words used
-        since it was last full stay."""
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            for w, ids in zip(part, self.merge([w.encode().decode("latin-1").translate(self.letters) for w in part])):
-                self.known[w] = (" ".join(map(str, ids)), self.decode(ids), tuple(ids))
+    def _parts(self, part: str) -> list[str]:
+        """Pre-tokens of a piece; the special tokens' strings, marked by a leading space, are parts of their own."""
+        if part.isascii() and part.isalpha():
+            return [part.lower()]
+        if self.cut and "<|" in part and self.cut.search(part):
+            out: list[str] = []
+            for i, x in enumerate(self.cut.split(part)):
+                out += [" " + x] if i % 2 else self._words(x) if x else []
+            return out
+        return self._words(part)
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode without a decoder: tokens joined by a space."""
         return " ".join([self.token[i] for i in ids])
 
-    def _parts(self, text: str) -> list[str]:
-        """Pre-tokens of a text; the special tokens' strings, marked by a leading space, are parts of their own."""
-        if self.cut and "<|" in text and self.cut.search(text):
-            out: list[str] = []
-            for i, part in enumerate(self.cut.split(text)):
-                out += [" " + part] if i % 2 else self._words(part)
-            return out
-        return self._words(text)
-
-    def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[int, str, str, list]]:
-        """(number of tokens, ids as text, decoded text, ids by word) of each text."""
-        cut = [self._parts(t or "") for t in texts]
-        used = set().union(*cut)
-        if len(self.known) + len(used) > self.most:
-            self.older = self.known
-            self.known = {" " + t: (str(i), t, (i,)) for t, i in self.special.items()}
-        known, older = self.known, self.older
-        missing = [w for w in used if w not in known]
-        known.update((w, older[w]) for w in missing if w in older)
-        self.learn([w for w in missing if w not in older])
-        for parts in cut:
-            got = [known[w] for w in parts]
-            ids = [g[2] for g in got]
-            yield sum(map(len, ids)), " ".join([g[0] for g in got]), " ".join([g[1] for g in got]), ids
+    def _start(self) -> dict[str, tuple[str, str, int]]:
+        return {" " + t: (f" {i}", f" {t}", 1) for t, i in self.special.items()}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Adds pieces, and words that are new in them, to what is known, each as (ids as text, tokens as text,
+        number of tokens) with a space before every token. Where that would be too many words, only those used
+        since it was last too many stay."""
+        cut = [self._parts(p) for p in pieces]
+        used = set(chain.from_iterable(cut))
+        if len(self.words) + len(used) > self.most:
+            self.old_words, self.words = self.words, self._start()
+        words, old = self.words, self.old_words
+        missing = used.difference(words)
+        words.update((w, old[w]) for w in missing.intersection(old))
+        fresh = list(missing.difference(old))
+        raw = [w.encode() for w in fresh]
+        size = np.cumsum([len(w) for w in raw])
+        at = 0
+        ids, tokens = self.id_text.__getitem__, self.token_text.__getitem__
+        while at < len(fresh):  # as many words in one index as have MOST_SYMBOLS
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + MOST_SYMBOLS, "right")))
+            words.update((w, ("".join(map(ids, x)), "".join(map(tokens, x)), len(x))) for w, x in zip(fresh[at:to], self.merge(raw[at:to])))
+            at = to
+        known = self.known
+        for p, parts in zip(pieces, cut):
+            if len(parts) == 1:
+                known[p] = words[parts[0]]
+            else:
+                got = [words[w] for w in parts]
+                known[p] = "".join([g[0] for g in got]), "".join([g[1] for g in got]), sum([g[2] for g in got])
+
+    def encode_texts(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[int, str, str, np.ndarray]]:
+        """(number of tokens, ids as text, decoded text, ids) of each text."""
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(col):
+            return
+        cut = pc.ascii_split_whitespace(pc.fill_null(col.cast(pa.large_string()), ""))
+        offsets = np.asarray(cut.offsets)
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.known) + len(pieces) > self.most:
+            self.old_known, self.known = self.known, {}
+        known, old = self.known, self.old_known
+        missing = [p for p in pieces if p not in known]
+        known.update((p, old[p]) for p in missing if p in old)
+        self.learn([p for p in missing if p not in old])
+        ids, text, n = zip(*[known[p] for p in pieces])
+        index, offsets = coded.indices, pa.array(offsets - offsets[0], pa.int32())
+        count = np.concatenate([[0], np.cumsum(np.array(n)[np.asarray(index)])])
+        count = np.diff(count[np.asarray(offsets)])
+        empty = pa.scalar("", pa.large_string())
+        whole = lambda x: pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(x, pa.large_string()).take(index)), empty)
+        for k, i, t in zip(count.tolist(), whole(ids), whole(text)):
+            i = i.as_py()[1:]
+            yield k, i, t.as_py()[1:], np.fromstring(i, np.int32, sep=" ") if self.with_ids and k else _NO_IDS
 
 
 _loaded: dict[str, PairIndexBpe] = {}
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = 1 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = 4 << 20) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 and with with_ids the ids.
 
     Null and empty texts have no tokens; rows with null or repeated ids each get their row; a text of any
@@ -217,19 +269,20 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         if path not in _loaded:
             _loaded[path] = PairIndexBpe(path)
         bpe = _loaded[path]
+        bpe.with_ids = with_ids
         for b in batches:
             col, at = b.column(1), 0
-            sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), float)).cumsum()
+            sizes = np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), float)).cumsum()
             while at < b.num_rows:
                 base = sizes[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(sizes, base + group_chars, "right")))
                 n, ids_sha, text_sha, ids = [], [], [], []
-                for k, i, t, by_word in bpe.encode_texts(col.slice(at, to - at).to_pylist()):
+                for k, i, t, numbers in bpe.encode_texts(col.slice(at, to - at)):
                     n.append(k)
                     ids_sha.append(hashlib.sha256(i.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(t.encode()).hexdigest())
                     if with_ids:
-                        ids.append(np.fromiter(chain.from_iterable(by_word), np.int32, k))
+                        ids.append(numbers)
                 out = [b.column(0).slice(at, to - at), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -237,7 +290,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
                 at = to
 
-    import pyarrow.compute  # noqa: F401
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
