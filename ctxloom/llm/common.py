@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[id(sc)]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,23 +47,39 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder name under the shared folder, removed when the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
+def spill_to(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Writes df to path and reads it back: cuts lineage and survives lost executors."""
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    """As spill_to, in a fresh folder under the shared one."""
+    return spill_to(df, new_path(df.sparkSession, tag), codec)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def path_prefix(uri: str) -> str:
+    """Scheme and authority, which pyarrow's paths lack."""
+    m = re.match(r"(\w+):(//[^/]*)?", uri)
+    return "" if not m else "" if m[1] == "file" else f"{m[1]}://" if m[1] in ("s3", "s3a", "gs", "gcs") else m[0]
+
+
+def read_slice(path: str, offset: int, size: int) -> bytes:
+    """Bytes of a file that an executor wrote into the shared folder."""
+    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    with store.open_input_file(name) as f:
+        return f.read_at(size, offset)
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of an id's text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -350,9 +350,9 @@ def brute_base(rows):
     return c, sum(c.values()) + len(train), len(c) + 1, len(train)
 
 
-@pytest.mark.parametrize("head", [5, 60_000])
-def test_hmm(spark, table, rows, head):
-    got = hmm.score_texts(table, head=head, states=3, passes=2).collect()
+@pytest.mark.parametrize("block, pairs", [(1500, 40), (hmm.BLOCK, hmm.PAIRS)])
+def test_hmm(spark, table, rows, block, pairs):
+    got = hmm.score_texts(table, block=block, pairs=pairs, states=3, passes=2).collect()
     every = [r for r in rows]
     train = [(i, t) for i, t, *_ in every if zlib.crc32(str(i or "" if i is None else i).encode()) % 10]
     c = Counter(w for _, t in train for w in words(lower(t)))
@@ -367,7 +367,7 @@ def test_hmm(spark, table, rows, head):
 
 
 def test_hmm_states_learn_every_word(spark):
-    """Two topics of words none of which is in the head: order within a topic is likelier than a mix of both."""
+    """Two topics of words: order within a topic is likelier than a mix of both."""
     rng = random.Random(4)
     topic = lambda k: " ".join(f"t{k}w{rng.randint(0, 40)}" for _ in range(60))
     texts = [topic(i % 2) for i in range(300)]
@@ -376,12 +376,62 @@ def test_hmm_states_learn_every_word(spark):
     texts += [" ".join(a + b), " ".join(mixed)]
     ids = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 10][:300] + [i for i in range(5000, 9000) if not zlib.crc32(str(i).encode()) % 10][:2]
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in hmm.score_texts(df, head=0, states=2, passes=8).collect()}
+    got = {r.doc_id: r.score for r in hmm.score_texts(df, states=2, passes=8).collect()}
     assert got[ids[-2]] > got[ids[-1]] + 1
-    # the size of the head changes where emissions are kept, and the noise they start from, but nothing is pooled
-    every = {r.doc_id: r.score for r in hmm.score_texts(df, head=1000, states=1, passes=1).collect()}
-    none = {r.doc_id: r.score for r in hmm.score_texts(df, head=0, states=1, passes=1).collect()}
-    assert none == pytest.approx(every, rel=1e-4)
+    # how words are dealt to blocks and parts changes nothing
+    cut = {r.doc_id: r.score for r in hmm.score_texts(df.repartition(3), states=2, passes=8, block=3000, pairs=20).collect()}
+    assert cut == pytest.approx(got, rel=1e-3)
+
+
+def slow_hmm(rows, states, passes):
+    """Baum-Welch over the full vocabulary, one text and one word at a time, in double precision."""
+    seq = [[*words(lower(t)), ""] for _, t, *_ in rows]
+    train = [x for x, (i, *_) in zip(seq, rows) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    c = Counter(w for x in train for w in x)
+    n = sum(c.values())
+    share = {w: (z := hmm.noise(np.array([xxhash.xxh64_intdigest(w)], np.uint64), states)[0]) / z.sum() for w in c}
+    start, move = np.full(states, 1 / states), np.full((states, states), 0.05 / (states - 1)) + (0.95 - 0.05 / (states - 1)) * np.eye(states)
+
+    def emit(w):
+        totals = sum(c[x] * share[x] for x in c)
+        return (c[w] * share.get(w, 0) + hmm.PRIOR * (c[w] or hmm.ADD) / (n + hmm.ADD)) / (totals + hmm.PRIOR)
+
+    def forward(x, e):
+        a = [start * e[x[0]]]
+        for w in x[1:]:
+            a.append(a[-1] @ move * e[w])
+        return np.array(a)
+
+    every = {w for x in seq for w in x}
+    for _ in range(passes):
+        e = {w: emit(w) for w in every}
+        s, m, k = np.zeros(states), np.zeros((states, states)), {w: np.zeros(states) for w in c}
+        for x in train:
+            a, b = forward(x, e), [np.ones(states)]
+            for w in x[:0:-1]:
+                b.insert(0, move @ (e[w] * b[0]))
+            p = a[-1].sum()
+            for t, w in enumerate(x):
+                k[w] += a[t] * b[t] / p
+                if t:
+                    m += np.outer(a[t - 1], e[w] * b[t]) * move / p
+            s += a[0] * b[0] / p
+        share = {w: k[w] / c[w] for w in c}
+        start, move = (s + 0.1) / (s + 0.1).sum(), (m + 0.1) / (m + 0.1).sum(1, keepdims=True)
+    e = {w: emit(w) for w in every}
+    return [math.log10(forward(x, e)[-1].sum()) for x in seq]
+
+
+def test_hmm_against_brute_force(spark):
+    """Whole scores, words that occur once included, with words dealt to many blocks and parts, and messages held for a few steps at a time."""
+    rng = random.Random(6)
+    texts = [None, "", "once"] + [" ".join(rng.choice("a b c d e f") + (str(rng.randint(0, 400)) if rng.random() < 0.3 else "") for _ in range(rng.randint(1, 45))) for _ in range(70)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(enumerate(slow_hmm(rows, 3, 3)))
+    for opts in ({}, {"block": 300, "pairs": 30, "cells": 16}):
+        got = {r.doc_id: r.score for r in hmm.score_texts(df, states=3, passes=3, **opts).collect()}
+        assert got == pytest.approx(want, rel=2e-3)
 
 
 def test_hmm_learns_from_whole_texts(spark):
