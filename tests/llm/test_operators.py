@@ -534,10 +534,10 @@ def repeating(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), rows
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix(spark, table, rows, hot):
+@pytest.mark.parametrize("hot, block, part", [(4096, suffix.BLOCK, suffix.PART), (2, suffix.BLOCK, suffix.PART), (4096, 1500, 900), (2, 1500, 900)])
+def test_suffix(spark, table, rows, hot, block, part):
     for df, data in ((table, rows), repeating(spark)):
-        got = Counter(tuple(r) for r in suffix.find_repeats(df, hot=hot).collect())
+        got = Counter(tuple(r) for r in suffix.find_repeats(df, hot=hot, block=block, part=part).collect())
         assert got == brute_repeats(data)
     assert suffix.find_repeats(empty(table)).isEmpty()
 
@@ -557,6 +557,23 @@ def test_difference_cover():
         assert suffix.dc3(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_rows_of_a_block_follow_its_grams():
+    """A block sends one row for each part that its grams fall into, in order, however many parts there are."""
+    grams = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    for parts in (1, 255, 15_000, 1 << 30):
+        where = suffix.deal(grams, parts)
+        sent = suffix.runs(where)
+        assert 0 <= where.min() and where.max() < parts and len(sent) <= min(parts, len(grams))
+        assert [x for _, a, b in sent for x in range(a, b)] == list(range(len(grams))) and all((where[a:b] == p).all() for p, a, b in sent)
+    assert suffix.runs(np.zeros(0, np.int64)) == []
+
+
+def test_same_bytes():
+    data = np.frombuffer(b"x" * 30 + b"abcdefghijk" * 3 + b"abcdefghijk" * 2 + b"abcdefghijK" + b"tail" * 5, np.uint8)
+    got = suffix.same_bytes(suffix._windows(data), np.array([30, 30, 30, 0]), np.array([63, 63, 74, 1]), np.array([33, 32, 22, 29]))
+    assert got.tolist() == [False, True, False, True]
+
+
 def test_least_owner():
     rng = random.Random(8)
     data = np.array([rng.choice(b"ab") for _ in range(50)] * 4 + [rng.randint(97, 99) for _ in range(300)], np.uint8)
