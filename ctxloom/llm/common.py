@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -85,6 +86,12 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what the driver no longer refers to; call it once a spill has cut them off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _libc = ctypes.CDLL(None)
 
 

@@ -11,7 +11,6 @@ by the scaled forward recursion over the whole text.
 """
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 from collections import defaultdict
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, new_path, partitions, path_prefix, read_slice, remove, spill, spill_to, trim
+from .common import crc_mod, forget_shuffles, new_path, partitions, path_prefix, read_slice, remove, spill, spill_to, trim
 
 #: Hidden states; passes; cells of a training batch held at once; bytes of text in a block; words of blocks in a part.
 STATES, PASSES, CELLS, BLOCK, PAIRS = 8, 5, 1 << 20, 48 << 20, 250_000
@@ -409,8 +408,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start, move = start / start.sum(), move / move.sum(1, keepdims=True)
         # what the pass has read and exchanged is no longer needed: let Spark drop its shuffle files too
         remove(spark, last)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        forget_shuffles(spark)
 
     def forward(t: pa.Table) -> pa.Table:
         at, _, _, n, shares = _gather(t, states)

@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, path_prefix, read_slice, spill, trim
+from .common import forget_shuffles, new_path, partitions, path_prefix, read_slice, spill, trim
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a block, for each part of the strings and of the grams, and in one step of numpy work; different cells of a gram from which it is cut up.
-BLOCK, PART, GRAM_PART, STEP, HOT = 8 << 20, 2 << 20, 32 << 20, 1 << 18, 4096
+BLOCK, PART, GRAM_PART, STEP, HOT = 4 << 20, 2 << 20, 32 << 20, 1 << 18, 4096
 
 _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -226,6 +226,19 @@ def _unblob(raw, *kinds) -> list[np.ndarray]:
     return out
 
 
+_zstd = pa.Codec("zstd", 1)
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """As _blob, compressed."""
+    raw = _blob(*arrays)
+    return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
+
+
+def _loosen(raw: pa.Buffer, *kinds) -> list[np.ndarray]:
+    return _unblob(_zstd.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")), *kinds)
+
+
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -279,13 +292,13 @@ class Docs:
 
 
 def contents(docs: Docs) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """A block's cells (gap to the end of the cell before, number of starts, content) with each content's gram and first
-    cell of the least document; the grams in ascending order; and for each twice its contents, and one more if several documents have it."""
+    """A block's cells (gap to the end of the cell before, number of starts, 0 for a new content or else its number from
+    1 on) with each content's gram; the grams in ascending order; and for each twice its contents, and one more if several documents have it."""
     first, count, gram, whole, doc = docs.cells()
     n = len(first)
     if not n:
         none = np.zeros(0, np.uint32)
-        return [none, none.astype(np.uint8), none, none, none], none.astype(np.uint64), none
+        return [none, none.astype(np.uint8), none, none], none.astype(np.uint64), none
     _, rank = np.unique(docs.id, return_inverse=True)
     rank = rank[doc]
     key = _mix(gram * np.uint64(0x9DDFEA08EB382D69) ^ whole)
@@ -296,17 +309,19 @@ def contents(docs: Docs) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     number[seen] = np.arange(len(head))
     content = np.empty(n, np.uint32)
     content[order] = np.repeat(number, np.diff(np.append(head, n)))
-    low = np.minimum.reduceat((rank[order] << 32) | order, head)[seen]
-    high = np.maximum.reduceat(rank[order], head)[seen]
-    lead = low & 0xFFFFFFFF
-    grams, of = np.unique(gram[lead], return_inverse=True)
+    low, high = np.minimum.reduceat(rank[order], head)[seen], np.maximum.reduceat(rank[order], head)[seen]
+    opening = np.minimum.reduceat(order, head)[seen]
+    del key, order, whole
+    grams, of = np.unique(gram[opening], return_inverse=True)
     by = np.argsort(of)
     edge = np.searchsorted(of[by], np.arange(len(grams)))
-    several = np.minimum.reduceat((low >> 32)[by], edge) < np.maximum.reduceat(high[by], edge)
+    several = np.minimum.reduceat(low[by], edge) < np.maximum.reduceat(high[by], edge)
     load = 2 * np.bincount(of, minlength=len(grams)) + several
     gap = first.copy()
     gap[1:] -= first[:-1] + count[:-1]
-    return [gap.astype(np.uint32), count.astype(np.uint8), content, of.astype(np.uint32), lead.astype(np.uint32)], grams, load.astype(np.uint32)
+    content += np.uint32(1)
+    content[opening] = 0
+    return [gap.astype(np.uint32), count.astype(np.uint8), content, of.astype(np.uint32)], grams, load.astype(np.uint32)
 
 
 def deal(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -329,7 +344,7 @@ def write_blocks(docs: DataFrame, folder: str, id_col: str, text_col: str, parts
                 hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + block, "right")))
                 part = pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in b.columns], [str(i) for i in range(b.num_columns)])
                 table, grams, load = contents(Docs(part, id_at, text_at))
-                raw = [_pack(part), _pack(pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in table], ["gap", "count", "content", "gram", "lead"]))]
+                raw = [_pack(part), _pack(pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in table], ["gap", "count", "content", "gram"]))]
                 out = out or store.open_output_stream(name, compression=None)
                 out.write(raw[0])
                 out.write(raw[1])
@@ -376,14 +391,20 @@ def _strings(t: pa.Table, id_at: int, text_at: int, parts: int) -> pa.Table:
     rows = []
     if (codes != -1).any():
         docs = Docs(_unpack(read_slice(path, *at[:2])), id_at, text_at)
-        gap, count, content, of, lead = (np.frombuffer(c[0].as_buffer(), k) for c, k in zip(_unpack(read_slice(path, *at[2:])).columns, (np.uint32, np.uint8, np.uint32, np.uint32, np.uint32)))
+        gap, count, content, of = (np.frombuffer(c[0].as_buffer(), k) for c, k in zip(_unpack(read_slice(path, *at[2:])).columns, (np.uint32, np.uint8, np.uint32, np.uint32)))
         count = count.astype(np.int64)
         first = np.cumsum(gap.astype(np.int64) + count) - count
+        content = np.where(content == 0, np.cumsum(content == 0), content) - 1
+        own = docs.id[np.searchsorted(docs.ends, first, "right")]
         code = codes[of]
-        # cells that meet others, each held against the first of its content
+        # cells that meet others, each held against one of its content of the least document
         mine = np.flatnonzero(code[content] >= 0)
         words = _windows(docs.data)
-        like = lead[content[mine]].astype(np.int64)
+        order = mine[np.lexsort((own[mine], content[mine]))]
+        head = np.concatenate([[True], content[order][1:] != content[order][:-1]])[: len(order)]
+        lead = np.zeros(len(code), np.int64)
+        lead[content[order[head]]] = order[head]
+        like = lead[content[mine]]
         same = (count[mine] == count[like]) & same_bytes(words, first[mine], first[like], count[mine] + LENGTH - 1)
         head = np.where(same, like, mine)
         heads, slot = np.unique(head, return_inverse=True)
@@ -392,11 +413,10 @@ def _strings(t: pa.Table, id_at: int, text_at: int, parts: int) -> pa.Table:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         heads, meet, slot = heads[order], meet[order], place[slot]
-        own = docs.id[np.searchsorted(docs.ends, first, "right")]
         size = count + LENGTH - 1
         for p, x, y in runs(meet):
             h = heads[x:y]
-            rows.append((block, p, _blob(own[h], count[h].astype(np.uint8), docs.data[_spans(first[h], size[h])]), None, None))
+            rows.append((block, p, _squeeze(own[h], count[h].astype(np.uint8), docs.data[_spans(first[h], size[h])]), None, None))
         side = [first[mine].astype(np.uint32), count[mine].astype(np.uint8), slot.astype(np.uint32), (own[mine] > own[heads[slot]]).astype(np.uint8)]
         # cells that are cut up into their strings
         cut = np.flatnonzero(code[content] == -2)
@@ -416,9 +436,9 @@ def _strings(t: pa.Table, id_at: int, text_at: int, parts: int) -> pa.Table:
         place[order] = np.arange(len(order))
         for p, x, y in runs(meet[order]):
             h = order[x:y]
-            rows.append((block, parts + p, _blob(least[h], np.ones(len(h), np.uint8), np.ascontiguousarray(strings[where[h]]).ravel()), None, None))
+            rows.append((block, parts + p, _squeeze(least[h], np.ones(len(h), np.uint8), np.ascontiguousarray(strings[where[h]]).ravel()), None, None))
         side += [starts.astype(np.uint32), place[slot].astype(np.uint32), (owner > least[slot]).astype(np.uint8)]
-        rows.append((block, keeper, _blob(*side), path, at[:2]))
+        rows.append((block, keeper, _squeeze(*side), path, at[:2]))
         del docs, words, strings
     else:
         rows.append((block, keeper, None, path, at[:2]))
@@ -431,7 +451,7 @@ def _compare(t: pa.Table) -> pa.Table:
     part = t.column("part")[0].as_py()
     if part < 0:
         return t
-    got = [_unblob(x.as_buffer(), np.int64, np.uint8, np.uint8) for x in t.column("blob")]
+    got = [_loosen(x.as_buffer(), np.int64, np.uint8, np.uint8) for x in t.column("blob")]
     owner, count, data = (np.concatenate([g[i] for g in got]) for i in range(3))
     count = count.astype(np.int64)
     size = count + LENGTH - 1
@@ -469,7 +489,7 @@ def _removed(t: pa.Table, docs: Docs, parts: int) -> np.ndarray:
     side = t.column("blob")[0]
     gone = np.zeros(len(docs.data) + 1, np.int32)
     if side.is_valid:
-        first, count, slot, sure, starts, at, sure_at = _unblob(side.as_buffer(), np.uint32, np.uint8, np.uint32, np.uint8, np.uint32, np.uint32, np.uint8)
+        first, count, slot, sure, starts, at, sure_at = _loosen(side.as_buffer(), np.uint32, np.uint8, np.uint32, np.uint8, np.uint32, np.uint32, np.uint8)
         first, count, starts = first.astype(np.int64), count.astype(np.int64), starts.astype(np.int64)
         answers = [(p, np.frombuffer(x.as_buffer(), np.bool_)) for p, x in zip(t.column("part").to_pylist()[1:], t.column("blob").slice(1))]
         hit = []
@@ -497,8 +517,12 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit: Callable, schema, ho
     gram_parts, parts = max(tasks, -(-size // (part * (GRAM_PART // PART)))), max(tasks, -(-size // part))
     grams = write_blocks(docs, new_path(spark, "suffix"), id_col, text_col, gram_parts, block)
     codes = spill(grams.groupBy("part").applyInArrow(lambda t: _open_grams(t, hot, parts), ROWS), "suffix-grams")
+    del grams
+    forget_shuffles(spark)
     strings = codes.groupBy("block").applyInArrow(lambda t: _strings(t, id_at, text_at, parts), ROWS)
     found = spill(strings.groupBy("part").applyInArrow(_compare, ROWS), "suffix-strings")
+    del strings
+    forget_shuffles(spark)
 
     def finish(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
