@@ -57,13 +57,13 @@ class Store:
         now = self._now()
         row = (parse_id(session), make_block_id(now, self._rand()), KIND_BY_NAME[kind], bytearray(raw), {}, float(priority), now, now, (source, list(parents), list(labels)), "", 0)
         schema = "session_id string, block_id string, kind string, body binary, token_counts map<string,bigint>, priority float, created_at_ms bigint, updated_at_ms bigint, provenance struct<source:string,parents:array<string>,labels:array<string>>, content_hash string, seq bigint"
-        self.disk.commit(st.put(self.disk.tables, self.spark.createDataFrame([row], schema)))
+        self.disk.put(self.spark.createDataFrame([row], schema))
         wanted = self.spark.createDataFrame([(bytearray(raw),)], "body binary").select(content_hash(F.col("body")).alias("content_hash"))
         return st.lookup_hash(self.disk.tables, wanted).first()["block_id"]
 
     def put_batch(self, blocks: DataFrame) -> None:
         """blocks has the columns of the blocks table, session_id and seq."""
-        self.disk.commit(st.put(self.disk.tables, blocks))
+        self.disk.put(blocks)
 
     def show(self, block_id) -> dict | None:
         row = st.get(self.disk.tables, parse_id(block_id)).first()
@@ -78,13 +78,13 @@ class Store:
     def delete(self, block_id) -> bool:
         ids = self.spark.createDataFrame([(parse_id(block_id),)], "block_id string")
         there = not st.existed(self.disk.tables, ids).isEmpty()
-        self.disk.commit(st.delete(self.disk.tables, ids))
+        self.disk.delete(ids)
         return there
 
     def purge_session(self, session) -> int:
-        after, removed = st.purge_sessions(self.disk.tables, self.spark.createDataFrame([(parse_id(session),)], "session_id string"))
-        n = removed.agg(F.sum("removed")).first()[0] or 0
-        self.disk.commit(after)
+        gone = self.spark.createDataFrame([(parse_id(session),)], "session_id string")
+        n = st.purged(self.disk.tables, gone)[1].agg(F.sum("removed")).first()[0] or 0
+        self.disk.purge(gone)
         return n
 
     def verify(self) -> dict:
@@ -93,7 +93,7 @@ class Store:
     def repair(self) -> list[str]:
         fixed, quarantined = st.repair(self.disk.tables)
         ids = [r[0] for r in quarantined.collect()]
-        self.disk.commit(fixed)
+        self.disk.commit({"hash_index": fixed.hash_index, "session_blocks": fixed.session_blocks})
         return ids
 
     # -- edges
@@ -101,7 +101,7 @@ class Store:
         if kind not in EDGE_BY_NAME:
             raise ContextError(f"unknown edge kind {kind!r}")
         row = self.spark.createDataFrame([(parse_id(source), parse_id(target), EDGE_BY_NAME[kind])], "from_id string, to_id string, kind string")
-        self.disk.commit(st.put_edges(self.disk.tables, row))
+        self.disk.put_edges(row)
 
     def edges_from(self, block_id) -> list[tuple[str, str]]:
         ids = self.spark.createDataFrame([(parse_id(block_id),)], "block_id string")
@@ -118,7 +118,7 @@ class Store:
     def clear_python_retrievers(self) -> None:
         self._python.clear()
 
-    def _bind(self, session, model: str, task: str, required=()):
+    def _bind(self, session, model: str, task: str, required=(), timestamps: bool | None = None):
         profile = self.config.models.get(model)
         if profile is None:
             raise ContextError(f"unknown model {model!r}; known: {', '.join(self.config.models.names())}")
@@ -129,7 +129,7 @@ class Store:
         if self.config.budgets is not None:
             pager = pager.with_budgets(self.config.budgets)
         asks = self.spark.createDataFrame([("0", parse_id(session), task, model, [parse_id(i) for i in required])], "request_id string, session_id string, task string, model string, required array<string>")
-        return pager, Packer(tokenizer, self._now() if self.config.include_timestamps else None, self.config.stable_sections), asks, self.config.models.table(self.spark)
+        return pager, Packer(tokenizer, self._now() if (self.config.include_timestamps if timestamps is None else timestamps) else None, self.config.stable_sections), asks, self.config.models.table(self.spark)
 
     def page(self, session, model: str, task: str = "", required=()) -> PageResult:
         pager, _, asks, profiles = self._bind(session, model, task, required)
@@ -146,16 +146,17 @@ class Store:
     def _selected(self, plan: PageResult) -> DataFrame:
         return self.spark.createDataFrame([("0", i, b) for i, (b, _, _) in enumerate(plan.selected)], "request_id string, pos int, block_id string")
 
-    def pack(self, session, model: str, task: str = "", required=(), chat: bool = False, trace: bool = False) -> PackResult:
-        return self._pack(self.page(session, model, task, required), session, model, task, chat, trace)
+    def pack(self, session, model: str, task: str = "", required=(), chat: bool = False, trace: bool = False, timestamps: bool | None = None) -> PackResult:
+        """timestamps: whether to render them, unless the configuration is to say."""
+        return self._pack(self.page(session, model, task, required), session, model, task, chat, trace, timestamps)
 
-    def pack_with_plan(self, plan: PageResult, session, model: str, task: str = "", chat: bool = False, trace: bool = False) -> PackResult:
+    def pack_with_plan(self, plan: PageResult, session, model: str, task: str = "", chat: bool = False, trace: bool = False, timestamps: bool | None = None) -> PackResult:
         """Renders an earlier plan's blocks for another model; reasons are not carried over."""
         bare = PageResult([(b, 0.0, None) for b, _, _ in plan.selected], [], plan.estimated_tokens)
-        return self._pack(bare, session, model, task, chat, trace)
+        return self._pack(bare, session, model, task, chat, trace, timestamps)
 
-    def _pack(self, plan, session, model, task, chat, trace) -> PackResult:
-        _, packer, asks, profiles = self._bind(session, model, task)
+    def _pack(self, plan, session, model, task, chat, trace, timestamps) -> PackResult:
+        _, packer, asks, profiles = self._bind(session, model, task, (), timestamps)
         selected, t, started = self._selected(plan), self.disk.tables, self._now()
         rendered, messages, boundary = None, None, None
         if chat:
@@ -173,7 +174,7 @@ class Store:
             text = rendered if rendered is not None else "".join(m["content"] for m in messages)
             row = (call, parse_id(session), model, [(b, float(s), r) for b, s, r in plan.selected if r], plan.estimated_tokens, tokens, None, started, self._now() - started, "", packer.tokenizer.id, None, None, 1)
             new = self.spark.createDataFrame([row], TRACES).withColumn("prompt_hash", F.sha2(F.lit(text).cast("binary"), 256))
-            self.disk.commit({"traces": traces.record(self.disk.table("traces"), new)})
+            self.disk.change({"traces": new})
         return PackResult(plan, rendered, messages, tokens, boundary, call)
 
     # -- traces, summaries
@@ -186,7 +187,7 @@ class Store:
         new = self.spark.createDataFrame([(parse_id(call_id), output, output_tokens)], "call_id string, output string, output_tokens long")
         if not traces.unknown_calls(t, new).isEmpty():
             raise traces.UnknownCall(f"no trace of call {call_id}")
-        self.disk.commit({"traces": traces.update_output(t, new)})
+        self.disk.change({"traces": traces.output_rows(t, new)})
 
     def diff(self, prev_call, next_call) -> tuple[list[dict], str]:
         t = traces.latest(self.disk.table("traces"))
@@ -200,17 +201,22 @@ class Store:
         tokens = self.spark.createDataFrame([("0", ra.estimated_tokens, rb.estimated_tokens)], "request_id string, prev_tokens long, next_tokens long")
         return [r.asDict() for r in rows.orderBy("change", "block_id").collect()], traces.diff_summary(rows, tokens).first()["summary"]
 
-    def summarize(self, session, last: int | None = None, max_chars: int = 80, store: bool = False) -> str:
+    def summarize(self, session, last: int | None = None, max_chars: int = 80, store: bool = False, summarizer: str = "truncating", ask=None) -> str:
+        """summarizer: truncating, noop, or external, which gives the prompt to ask(prompt) -> text on an executor."""
+        makers = {"truncating": lambda b: reduce.truncating(b, max_chars), "noop": reduce.noop, "external": lambda b: reduce.external(b, ask)}
+        if summarizer not in makers or (summarizer == "external" and ask is None):
+            raise ContextError(f"no summarizer {summarizer!r}; known: {', '.join(makers)} (external needs ask)")
         t = self.disk.tables
         b = t.session_blocks.filter(F.col("session_id") == parse_id(session)).join(t.blocks, "block_id")
         b = b if last is None else reduce.last_n(b, last)
-        text = reduce.truncating(b, max_chars)
+        text = makers[summarizer](b)
         row = text.first()
         if row is None:
             return ""
         if store:
-            made = reduce.summary_blocks(text, b, "truncating", self._now()).withColumn("seq", F.lit(0).cast("long"))
-            self.disk.commit(st.put(t, made))
+            text = self.spark.createDataFrame([row], text.schema)  # an external answer is asked for once
+            made = reduce.summary_blocks(text, b, summarizer, self._now()).withColumn("seq", F.lit(0).cast("long"))
+            self.disk.put(made)
         return row["summary"]
 
     def list_models(self) -> list[dict]:

@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .api import Store
+from .operators.remote import program, remote_summarizer
 from .plans.config import Config, loads
 
 
@@ -22,7 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     add("put", "session", "kind", "file", ("--priority", {"type": float, "default": 0.0}))
     add("list-models")
     for name in ("page", "pack"):
-        add(name, "session", "model", ("--task", {"default": ""}), ("--required", {"action": "append", "default": []}), ("--json", flag), ("--chat", flag), ("--trace", flag))
+        add(name, "session", "model", ("--task", {"default": ""}), ("--required", {"action": "append", "default": []}), ("--json", flag), ("--chat", flag), ("--trace", flag), ("--prompt-only", flag), ("--timestamps", flag))
     add("trace-show", "call")
     add("trace-diff", "prev", "next")
     add("list-sessions")
@@ -31,18 +32,22 @@ def _parser() -> argparse.ArgumentParser:
     add("purge", ("--block", opt), ("--session", opt), ("--yes", flag))
     add("show", "block", ("--json", flag))
     add("add-edge", "source", "target", "kind")
-    add("edges", "block")
-    add("summarize", "session", ("--last", {"type": int, "default": None}), ("--store-summary", flag))
+    add("edges", "block", ("--incoming", flag), ("--outgoing", flag))
+    add("summarize", "session", ("--last", {"type": int, "default": None}), ("--store-summary", flag), ("--summarizer", {"choices": ["truncating", "noop", "external"], "default": "truncating"}), ("--max-chars", {"type": int, "default": 80}),
+        ("--command", {"dest": "ask", "default": None, "help": "external: a program that reads a request body as JSON and writes the answer's"}), ("--model", {"default": ""}), ("--max-tokens", {"type": int, "default": 1024}))
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     a = _parser().parse_args(argv)
     out = out or sys.stdout
-    say = lambda *x: print(*x, file=out)
+    say = lambda *x, **k: print(*x, file=out, **k)
     if a.command in ("repair", "purge") and not a.yes:
         say(f"{a.command} changes the store; repeat with --yes")
         return 2
+    if a.command == "summarize" and (a.summarizer == "external") != bool(a.ask and a.model):
+        say("an external summarizer needs --command and --model, and no other takes them")
+        return 2
     if a.command == "purge" and (a.block is None) == (a.session is None):
         say("purge needs exactly one of --block and --session")
         return 2
@@ -70,9 +75,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
                 for b, score, reason in p.omitted:
                     say("-", b, f"{score:.4f}", reason)
         case "pack":
-            r = s.pack(a.session, a.model, a.task, a.required, chat=a.chat, trace=a.trace)
-            say(json.dumps({"messages": r.messages, "cache_boundary": r.cache_boundary, "input_tokens": r.tokens}) if a.chat else r.rendered)
-            if r.call_id:
+            r = s.pack(a.session, a.model, a.task, a.required, chat=a.chat, trace=a.trace, timestamps=True if a.timestamps else None)
+            if a.chat:
+                say(json.dumps({"messages": r.messages, "cache_boundary": r.cache_boundary, "input_tokens": r.tokens}))
+            elif a.prompt_only:
+                say(r.rendered, end="")
+            elif a.json:
+                say(json.dumps({"rendered": r.rendered, "input_tokens": r.tokens, "selected": r.plan.selected, "omitted": r.plan.omitted}))
+            else:
+                say(r.rendered)
+                say(f"[{len(r.plan.selected)} block(s), {len(r.plan.omitted)} left out, {r.tokens} tokens]")
+            if r.call_id and not a.prompt_only:
                 say("call", r.call_id)
         case "trace-show":
             say(json.dumps(s.trace(a.call), default=str))
@@ -105,12 +118,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         case "add-edge":
             s.add_edge(a.source, a.target, a.kind)
         case "edges":
-            for kind, to in s.edges_from(a.block):
+            for kind, to in s.edges_from(a.block) if a.outgoing or not a.incoming else ():
                 say("->", kind, to)
-            for kind, source in s.edges_to(a.block):
+            for kind, source in s.edges_to(a.block) if a.incoming or not a.outgoing else ():
                 say("<-", kind, source)
         case "summarize":
-            say(s.summarize(a.session, a.last, store=a.store_summary))
+            ask = remote_summarizer(a.model, program(a.ask), a.max_tokens) if a.ask else None
+            say(s.summarize(a.session, a.last, a.max_chars, a.store_summary, a.summarizer, ask))
     return 0
 
 

@@ -1,7 +1,7 @@
 """Text expressions of the engine, all of them built-in functions."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A reference tokenizer that needs no file: runs of word characters, or of other marks.
@@ -23,12 +23,23 @@ def word_level_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_LEVEL)), F.lit(0)).cast("long")
 
 
+#: What stands between terms.
+BETWEEN = r"[^\p{IsAlphabetic}\p{N}]+"
+
+
 def terms(text: Column, least_bytes: int) -> Column:
     """Lower-cased runs of letters and digits of at least that many bytes, measured before lower-casing."""
-    parts = F.filter(F.split(text, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: (F.octet_length(w) >= least_bytes) & (w != ""))
+    parts = F.filter(F.split(text, BETWEEN), lambda w: (F.octet_length(w) >= least_bytes) & (w != ""))
     return F.transform(parts, F.lower)
 
 
+def each_term(df: DataFrame, column: str, least_bytes: int) -> DataFrame:
+    """terms() as rows, in place of the column: term, beside the other columns."""
+    rest = [c for c in df.columns if c != column]
+    rows = df.select(*rest, F.explode(F.split(column, BETWEEN)).alias("term")).filter((F.octet_length("term") >= least_bytes) & (F.col("term") != ""))
+    return rows.withColumn("term", F.lower("term"))
+
+
 def word_set(text: Column) -> Column:
     """Distinct lower-cased words between white space; empty for null."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")

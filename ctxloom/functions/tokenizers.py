@@ -19,6 +19,7 @@ class UnknownTokenizer(LookupError):
 class Tokenizer:
     id: str
     count: Callable[[Column], Column]  # of a text column
+    python: bool = False  # whether counting leaves the JVM
 
 
 def word_level(id: str = "word-level") -> Tokenizer:
@@ -40,32 +41,60 @@ def hugging_face(id: str, path: str) -> Tokenizer:
         enc = _loaded[path].encode_batch_fast(s.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([len(e.ids) for e in enc], dtype="int64")
 
-    return Tokenizer(id, count)
+    return Tokenizer(id, count, True)
 
 
-def tiktoken_ranks(id: str, path: str, pattern: str) -> Tokenizer:
-    """A rank file; strings of special tokens are ordinary text."""
+def _tiktoken(id: str, key: str, load: Callable[[], object]) -> Tokenizer:
+    """Strings of special tokens are ordinary text; an encoding is loaded once in each worker."""
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        if path not in _loaded:
-            import base64
+        if key not in _loaded:
+            _loaded[key] = load()
+        return pd.Series([len(x) for x in _loaded[key].encode_ordinary_batch(s.fillna("").tolist(), num_threads=1)], dtype="int64")
+
+    return Tokenizer(id, count, True)
+
+
+def tiktoken_ranks(id: str, path: str, pattern: str) -> Tokenizer:
+    """A rank file and the pattern that cuts texts."""
+
+    def load():
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding(id, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return _tiktoken(id, path, load)
+
+
+def tiktoken_named(id: str) -> Tokenizer:
+    """An encoding that the tiktoken package knows by name; it reads its file from its cache folder or the network,
+    and where neither has it, counting is an error."""
+
+    def load():
+        import tiktoken
+
+        try:
+            return tiktoken.get_encoding(id)
+        except Exception as e:
+            raise RuntimeError(f"tokenizer {id!r}: its file could not be read; name one in the configuration ([[tiktoken]] id, path, pattern)") from e
 
-            import tiktoken
+    return _tiktoken(id, f"named:{id}", load)
 
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            _loaded[path] = tiktoken.Encoding(id, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return pd.Series([len(x) for x in _loaded[path].encode_ordinary_batch(s.fillna("").tolist(), num_threads=1)], dtype="int64")
 
-    return Tokenizer(id, count)
+# Encodings that are registered from the start.
+NAMED = ("cl100k_base", "o200k_base")
 
 
 @dataclass
 class TokenizerRegistry:
     """A later registration under an id replaces the earlier one."""
 
-    by_id: dict[str, Tokenizer] = field(default_factory=lambda: {"word-level": word_level()})
+    by_id: dict[str, Tokenizer] = field(default_factory=lambda: {t.id: t for t in (word_level(), *map(tiktoken_named, NAMED))})
 
     def register(self, tokenizer: Tokenizer) -> TokenizerRegistry:
         self.by_id[tokenizer.id] = tokenizer
@@ -85,13 +114,17 @@ class TokenizerRegistry:
 
 def count_blocks(blocks: DataFrame, tokenizer: Tokenizer, live: bool = False, lenient: bool = False) -> DataFrame:
     """Adds tokens: the stored count for the tokenizer unless live, else the count of the body. Bodies that are
-    not UTF-8 are an error, or have no tokens if lenient."""
+    not UTF-8 are an error, or have no tokens if lenient. A tokenizer that leaves the JVM is sent the rows alone
+    that have no stored count."""
     stored = F.lit(None).cast("long") if live else F.try_element_at("token_counts", F.lit(tokenizer.id))
     if lenient:
         counted = F.when(F.is_valid_utf8(F.col("body").cast("string")), tokenizer.count(text.body_text(F.col("body"))))
     else:
         counted = tokenizer.count(text.strict_text(F.col("body")))
-    return blocks.withColumn("tokens", F.coalesce(stored, counted).cast("long"))
+    if live or not tokenizer.python:
+        return blocks.withColumn("tokens", F.coalesce(stored, counted).cast("long"))
+    had, lacked = blocks.filter(stored.isNotNull()), blocks.filter(stored.isNull())
+    return had.withColumn("tokens", stored.cast("long")).unionByName(lacked.withColumn("tokens", counted.cast("long")))
 
 
 def with_token_counts(blocks: DataFrame, tokenizer: Tokenizer) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import body_text, f32, ratio32, word_set
 from ..functions.tokenizers import Tokenizer, count_blocks, word_level
-from ..plans.models import SECTIONS, SectionBudgets, section_of
-from ..sources.tables import Tables, edges_from
+from ..plans.models import SECTIONS, SectionBudgets, edge_code, section_of
+from ..sources.scratch import shared_dir
+from ..sources.tables import Tables, among
 from .retrievers import Recency, Retriever, merge
 
 FILLED = ("State", "Plan", "Retrieved", "Tools", "Recent", "Background")
@@ -91,9 +92,10 @@ class Pager:
         merged = merge(bound.filter("error is null"), tables, self.retrievers)
         needed = bound.select("request_id", F.explode("required").alias("block_id"))
         merged = merged.join(needed, ["request_id", "block_id"], "left_anti")
-        # counted before the join, so that bodies stay out of the shuffle
+        # bodies of candidates alone are counted, each once for all requests
         wordy = [word_set(body_text(F.col("body"))).alias("words")] if self.policy.redundancy is not None else []
-        blocks = count_blocks(tables.blocks.select("block_id", "kind", "priority", "body", "token_counts"), self.tokenizer, lenient=True).select("block_id", "kind", "priority", "tokens", *wordy)
+        blocks = among(tables.blocks.select("block_id", "kind", "priority", "body", "token_counts"), merged, "block_id")
+        blocks = count_blocks(blocks, self.tokenizer, lenient=True).select("block_id", "kind", "priority", "tokens", *wordy)
         rows = merged.join(blocks, "block_id")
         tokens = F.coalesce("tokens", F.raise_error(F.concat(F.lit("not UTF-8: block "), F.col("block_id"))).cast("long"))
         clamped = f32(F.least(F.greatest(F.col("priority"), f32(F.lit(0.0))), f32(F.lit(1.0))))
@@ -147,7 +149,8 @@ class Pager:
         if p.summary_fallback:
             first = bound.filter("error is null").select("request_id", "session_id").join(tables.session_blocks, "session_id").join(tables.blocks.filter(F.col("kind") == "Summary").select("block_id", F.col("provenance.parents").alias("parents")), "block_id")
             first = first.select("request_id", F.explode("parents").alias("parent"), "block_id").groupBy("request_id", "parent").agg(F.min("block_id").alias("summary_id"))
-            sized = count_blocks(tables.blocks.filter(F.col("kind") == "Summary"), self.tokenizer).select(F.col("block_id").alias("summary_id"), F.col("tokens").alias("summary_tokens"))
+            mine = among(tables.blocks.select("block_id", "body", "token_counts"), first.select(F.col("summary_id").alias("block_id")), "block_id")
+            sized = count_blocks(mine, self.tokenizer).select(F.col("block_id").alias("summary_id"), F.col("tokens").alias("summary_tokens"))
             first = first.join(sized, "summary_id").select("request_id", F.col("parent").alias("block_id"), "summary_id", "summary_tokens")
             rows = rows.join(first, ["request_id", "block_id"], "left")
         else:
@@ -165,28 +168,29 @@ class Pager:
         return left.groupBy("request_id").cogroup(links.groupBy("dep_request")).applyInPandas(lambda pdf, deps: fill_request(pdf, deps, p, budgets), schema)
 
     def _reachable(self, seeds: DataFrame, tables: Tables) -> DataFrame:
-        """(request_id, from_id, ord, to_id, tokens) of all dependencies reachable from seeds; parents before edges. Tokens are null for missing blocks."""
-        parents = tables.blocks.select(F.col("block_id").alias("from_id"), F.posexplode("provenance.parents").alias("ord", "to_id"))
-        typed = edges_from(tables).select("from_id", (F.lit(1_000_000) + F.row_number().over(Window.partitionBy("from_id").orderBy("code", "to_id"))).cast("int").alias("ord"), "to_id")
-        links = parents.select("from_id", F.col("ord").cast("int").alias("ord"), "to_id").unionByName(typed)
-        links = links.join(tables.blocks.select(F.col("block_id").alias("from_id")), "from_id", "left_semi")
+        """(request_id, from_id, part, code, to_id, tokens) of all dependencies reachable from seeds, in the order part
+        (parents before edges), code, to_id. Tokens are null for missing blocks."""
+        parents = tables.blocks.select(F.col("block_id").alias("from_id"), F.lit(0).alias("part"), F.posexplode("provenance.parents").alias("code", "to_id"))
+        there = tables.blocks.select(F.col("block_id").alias("from_id"))
+        typed = tables.edges.join(there, "from_id", "left_semi").select("from_id", F.lit(1).alias("part"), edge_code(F.col("kind")).alias("code"), "to_id")
+        shared_dir(seeds.sparkSession)  # where checkpoints go
+        links = parents.unionByName(typed).checkpoint()
         reached = _closure(seeds, links)
-        sized = count_blocks(tables.blocks.select("block_id", "body", "token_counts"), self.tokenizer).select(F.col("block_id").alias("to_id"), "tokens")
-        return reached.join(links, "from_id").join(sized, "to_id", "left").select("request_id", "from_id", "ord", "to_id", "tokens")
+        rows = reached.join(links, "from_id")
+        mine = among(tables.blocks.select("block_id", "body", "token_counts"), rows.select(F.col("to_id").alias("block_id")), "block_id")
+        sized = count_blocks(mine, self.tokenizer).select(F.col("block_id").alias("to_id"), "tokens")
+        return rows.join(sized, "to_id", "left").select("request_id", "from_id", "part", "code", "to_id", "tokens")
 
 
 def _closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """Breadth-first closure; each round is checkpointed where a checkpoint folder is set, else cached."""
-    sc = seeds.sparkSession.sparkContext
-    keep = (lambda df: df.checkpoint()) if sc._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
-    hop = links.select("from_id", F.col("to_id").alias("block_id")).distinct()
-    known = keep(seeds.distinct())
-    front = known
+    """Breadth-first closure; each round joins the blocks that the last one found, and is checkpointed."""
+    known = front = seeds.distinct().checkpoint()
     while True:
-        front = keep(front.withColumnRenamed("block_id", "from_id").join(hop, "from_id").select("request_id", "block_id").distinct().join(known, ["request_id", "block_id"], "left_anti"))
+        hop = front.withColumnRenamed("block_id", "from_id").join(links.select("from_id", "to_id"), "from_id")
+        front = hop.select("request_id", F.col("to_id").alias("block_id")).distinct().join(known, ["request_id", "block_id"], "left_anti").checkpoint()
         if front.isEmpty():
             return known.withColumnRenamed("block_id", "from_id")
-        known = keep(known.unionByName(front))
+        known = known.unionByName(front)
 
 
 def fill_request(pdf: pd.DataFrame, deps: pd.DataFrame | None, policy: Policy, budgets: dict) -> pd.DataFrame:
@@ -235,7 +239,7 @@ def fill_request(pdf: pd.DataFrame, deps: pd.DataFrame | None, policy: Policy, b
                 note(section, r.block_id, r.score, r.tokens, False, "Budget")
     if policy.include_parents and deps is not None:
         of: dict[str, list] = {}
-        for d in deps.sort_values(["from_id", "ord"]).itertuples(index=False):
+        for d in deps.sort_values(["from_id", "part", "code", "to_id"]).itertuples(index=False):
             of.setdefault(d.from_id, []).append(d.to_id)
             size[d.to_id] = d.tokens
         front = [*(head["required"] if head["required"] is not None else ()), *[o[3] for o in out if o[6]]]

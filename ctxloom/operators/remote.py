@@ -47,6 +47,22 @@ def read_summary(response: dict) -> str:
     return text
 
 
-def remote_summarizer(model: str, send: Service) -> Callable[[str], str]:
+def remote_summarizer(model: str, send: Service, max_tokens: int = 1024) -> Callable[[str], str]:
     """A callable for reduce.external."""
-    return lambda prompt: read_summary(send(summary_request(model, prompt))) if prompt else ""
+    return lambda prompt: read_summary(send(summary_request(model, prompt, max_tokens=max_tokens))) if prompt else ""
+
+
+def program(command: str) -> Service:
+    """A service by a program that reads the request as JSON from its input and writes the response as JSON."""
+
+    def send(body: dict) -> dict:
+        import json
+        import shlex
+        import subprocess
+
+        done = subprocess.run(shlex.split(command), input=json.dumps(body).encode(), capture_output=True)
+        if done.returncode:
+            raise RemoteError(f"{command}: exit {done.returncode}: {done.stderr.decode(errors='replace')[:500]}")
+        return json.loads(done.stdout)
+
+    return send

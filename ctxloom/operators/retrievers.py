@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import timestamp_ms
-from ..functions.text import body_text, f32, ratio32, terms
+from ..functions.text import body_text, each_term, f32, ratio32, terms
 from ..plans.models import RETRIEVAL_LIMIT
 from ..sources.tables import Tables
 
@@ -26,8 +26,11 @@ def _clamp(score: Column) -> Column:
 
 
 def _best(df: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """The first limit rows of each request. Spark also applies the filter before the shuffle, for limits up to its
-    spark.sql.optimizer.windowGroupLimitThreshold."""
+    """The first limit rows of each request. Spark also cuts each partition to them before the shuffle, for limits up to
+    a threshold, which is raised to this one."""
+    conf, key = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(key)) < limit:
+        conf.set(key, str(limit))
     w = Window.partitionBy("request_id").orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= limit).drop("__rank")
 
@@ -92,12 +95,17 @@ class Lexical:
         return _best(rows, self.limit, F.desc("score"), F.col("block_id")).withColumn("source", F.lit(self.name))
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has no more than rows: counted first, up to that many."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @dataclass(frozen=True)
 class Bm25:
     """Okapi over the session, the query as a set of terms, divided by the best score of the request.
 
-    Only the query's terms are counted, in arrays beside their document, so that no row is made for a
-    document's other words. Sums run in term order in double precision.
+    Words are counted by block and term where the term is one of the session's queries, by block alone where it
+    is not, before anything is shuffled. Sums run in term order in double precision.
     """
 
     k1: float = 1.2
@@ -108,22 +116,24 @@ class Bm25:
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
         asks = requests.select("request_id", "session_id", F.sort_array(F.array_distinct(terms(F.coalesce("task", F.lit("")), self.min_word_len))).alias("asked")).filter(F.size("asked") > 0)
-        docs = _texts(asks, tables).select("session_id", "block_id", terms(F.col("text"), self.min_word_len).alias("words")).withColumn("dl", F.size("words")).filter("dl > 0")
-        # the query's words of a document first, then their counts: the long array is walked once
-        rows = asks.join(docs, "session_id").select("request_id", "block_id", "dl", "asked", F.filter("words", lambda w: F.array_contains("asked", w)).alias("hits"))
-        rows = rows.select("request_id", "block_id", "dl", "asked", F.transform("asked", lambda t: F.size(F.filter("hits", lambda w: w == t))).alias("tf"))
-        rows = rows.repartition("request_id")  # one narrow exchange, which the three uses below share
-        stats = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least("dl", F.lit(65535))).alias("avgdl"))
-        hits = rows.select("request_id", F.explode(F.arrays_zip("asked", "tf")).alias("h")).filter("h.tf > 0")
-        df = hits.groupBy("request_id", F.col("h.asked").alias("term")).agg(F.count(F.lit(1)).alias("df"))
-        df = df.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))  # one entry for each term of the query
-        rows = rows.filter(F.exists("tf", lambda x: x > 0)).join(stats, "request_id").join(df, "request_id")
+        words = each_term(_texts(asks, tables), "text", self.min_word_len)
+        hits = small(asks.select("session_id", F.explode("asked").alias("term")).distinct().withColumn("asked", F.lit(True)))
+        counts = words.join(hits, ["session_id", "term"], "left").groupBy("session_id", "block_id", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+        # a map has one entry at most for each term of the session's queries
+        entry = F.when(F.col("term").isNotNull(), F.struct("term", "n"))
+        docs = counts.groupBy("session_id", "block_id").agg(F.sum("n").alias("dl"), F.map_from_entries(F.collect_list(entry)).alias("tf"))
+        # by session, in one aggregate: blocks and their mean length under no term, blocks that have it under each term
+        every = docs.select("session_id", F.least("dl", F.lit(65535)).alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.map_keys("tf"))).alias("term"))
+        every = every.groupBy("session_id", "term").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        whole = F.col("term").isNull()
+        stats = every.groupBy("session_id").agg(F.max(F.when(whole, F.col("n"))).alias("n"), F.max(F.when(whole, F.col("avgdl"))).alias("avgdl"), F.map_from_entries(F.collect_list(entry)).alias("df"))
+        rows = asks.join(docs.filter(F.size("tf") > 0), "session_id").join(stats, "session_id")
         idf = lambda t: F.log((F.col("n") - F.element_at("df", t) + 0.5) / (F.element_at("df", t) + 0.5) + 1.0)
         length = self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl"))
-        parts = F.zip_with("asked", "tf", lambda t, f: F.when(f > 0, idf(t) * f * (self.k1 + 1) / (f + length)).otherwise(0.0))
-        raw = rows.select("request_id", "block_id", F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("raw")).filter("raw > 0")
-        top = F.max("raw").over(Window.partitionBy("request_id"))
-        scored = raw.select("request_id", "block_id", _clamp(F.col("raw") / top).alias("score"))
+        part = lambda t, f: F.when(f > 0, idf(t) * f * (self.k1 + 1) / (f + length)).otherwise(0.0)
+        raw = F.aggregate("asked", F.lit(0.0), lambda s, t: s + part(t, F.try_element_at("tf", t)))
+        raw = rows.select("request_id", "block_id", raw.alias("raw")).filter("raw > 0")
+        scored = raw.join(raw.groupBy("request_id").agg(F.max("raw").alias("top")), "request_id").select("request_id", "block_id", _clamp(F.col("raw") / F.col("top")).alias("score"))
         return _best(scored, self.limit, F.desc("score"), F.col("block_id")).withColumn("source", F.lit(self.name))
 
 

@@ -20,14 +20,20 @@ def latest(traces: DataFrame) -> DataFrame:
     return last.select("call_id", *[F.col(f"t.{c}").alias(c) for c in rest]).select(*traces.columns)
 
 
-def update_output(traces: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Appends a version with output and output_tokens for each row of outputs(call_id, output, output_tokens).
+def output_rows(traces: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The next version, with output and output_tokens, of each call of outputs(call_id, output, output_tokens).
 
-    Unknown calls are not added: see unknown_calls.
+    Unknown calls have none: see unknown_calls.
     """
     new = outputs.select("call_id", F.col("output").alias("__o"), F.col("output_tokens").cast("long").alias("__n"))
-    fresh = latest(traces).join(new, "call_id").withColumn("output", F.col("__o")).withColumn("output_tokens", F.col("__n")).withColumn("version", F.col("version") + 1)
-    return traces.unionByName(fresh.select(*traces.columns))
+    mine = latest(traces.join(new.select("call_id"), "call_id", "left_semi"))
+    fresh = mine.join(new, "call_id").withColumn("output", F.col("__o")).withColumn("output_tokens", F.col("__n")).withColumn("version", F.col("version") + 1)
+    return fresh.select(*traces.columns)
+
+
+def update_output(traces: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Appends output_rows."""
+    return traces.unionByName(output_rows(traces, outputs))
 
 
 def unknown_calls(traces: DataFrame, outputs: DataFrame) -> DataFrame:

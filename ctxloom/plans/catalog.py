@@ -59,11 +59,29 @@ def store_dedup_put(spark, sf_dir):
     return _stored(spark, sf_dir).blocks.select("block_id", "kind", "content_hash")
 
 
+@query
+def store_put_existing(spark, sf_dir):
+    """Every document arrives where those with even ids are stored already."""
+    d = fx.documents(spark, sf_dir)
+    there = st.put(fx.empty_tables(spark), d.filter("seq % 2 = 0"))
+    return st.put(there, d).blocks.select("block_id", "kind", "content_hash")
+
+
 @query
 def store_membership(spark, sf_dir):
     return _stored(spark, sf_dir).session_blocks.select("session_id", "block_id")
 
 
+@query
+def source_table(spark, sf_dir):
+    """Blocks from a table of any shape."""
+    from ..sources.readers import from_table
+
+    c = fx.table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    b = from_table(c, hex_of(F.col("conv_id"), 32), "user-message", "text", F.lit(fx.EPOCH) + F.col("turn"), "key")
+    return b.select("session_id", "kind", "content_hash", "created_at_ms", F.substring("block_id", 1, 12).alias("time"), F.col("provenance.source").alias("source"))
+
+
 @query
 def store_get(spark, sf_dir):
     t = _doc_tables(spark, sf_dir)
@@ -136,13 +154,7 @@ def edges_out(spark, sf_dir):
 
 @query
 def edges_in(spark, sf_dir):
-    hubs = fx.table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(fx.doc_block(F.col("doc_id")).alias("block_id"))
-    return st.edges_to(_doc_tables(spark, sf_dir, edges=True), hubs)
-
-
-@query
-def edges_in_all(spark, sf_dir):
-    """Incoming edges of every block; edges_in asks for some."""
+    """Incoming edges of every block."""
     return st.edges_to(_doc_tables(spark, sf_dir, edges=True))
 
 
@@ -176,8 +188,7 @@ def token_count_bpe(spark, sf_dir):
 
     d = fx.table(spark, sf_dir, "documents")
     rank = tokenizers.tiktoken_ranks("byte_bpe_50k", files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
-    once = d.select("text").distinct().withColumn("tokens", rank.count(F.col("text")))
-    return d.select("doc_id", "text").join(once, "text").select("doc_id", "tokens")
+    return d.select("doc_id", rank.count(F.col("text")).alias("tokens"))
 
 
 @query
@@ -232,6 +243,50 @@ def retrieve_bm25(spark, sf_dir):
     return _scores(retrievers.Bm25()(*_docs(spark, sf_dir)))
 
 
+@query
+def retrieve_empty_query(spark, sf_dir):
+    """A task without a term that is long enough finds nothing."""
+    asks, t = _docs(spark, sf_dir)
+    asks = asks.withColumn("task", F.lit("a ! ?"))
+    return _scores(retrievers.Lexical()(asks, t).unionByName(retrievers.Bm25()(asks, t)))
+
+
+@query
+def retrieve_not_utf8(spark, sf_dir):
+    """Every tenth body has a byte that is not UTF-8: those blocks are passed over."""
+    d = fx.documents(spark, sf_dir)
+    bad = F.concat(F.lit(bytearray(b"\xff")), F.col("body"))
+    d = d.withColumn("body", F.when(F.col("seq") % 10 == 0, bad).otherwise(F.col("body")))
+    return _scores(retrievers.Lexical()(requests(d, "page-4k", TASK), fx.plain_tables(d)))
+
+
+class _Opening:
+    """A retriever of one's own: the first block of the conversation."""
+
+    name = "opening"
+
+    def retrieve(self, session: int, task: str, limit: int) -> list[tuple[str, float]]:
+        return [(f"{fx.EPOCH + session * 3600000:012X}{session * 1000:020x}", 1.5 if session % 2 else 0.25)]
+
+
+@query
+def retrieve_own(spark, sf_dir):
+    return _scores(retrievers.PythonRetriever(_Opening())(*_chat(spark, sf_dir)))
+
+
+@query
+def retrieve_configured(spark, sf_dir):
+    """Retrievers by name, from TOML."""
+    from .config import loads
+
+    made = loads('[[retriever]]\nkind = "session"\nscore = 0.75\nlimit = 2\n[[retriever]]\nkind = "recency"\nhalf_life_secs = 60.0\nlimit = 1').retrievers
+    asks, t = _chat(spark, sf_dir)
+    out = made[0](asks, t)
+    for r in made[1:]:
+        out = out.unionByName(r(asks, t).select(*out.columns))
+    return _scores(out)
+
+
 @query
 def retrieve_pinned(spark, sf_dir):
     return _scores(retrievers.Pinned((f"{1:032x}", f"{2:032x}", f"{3:032x}"), limit=2)(*_chat(spark, sf_dir)))
@@ -275,6 +330,21 @@ def embedding_cache_join(spark, sf_dir):
     return got.select("block_id", F.col("vector").isNotNull().alias("hit"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
+@query
+def embed_missing(spark, sf_dir):
+    """A remote service, which answers in any order, is asked for the bodies that the cache lacks."""
+    from ..operators.remote import remote_embedder
+
+    def send(body: dict) -> dict:
+        rows = [{"index": i, "embedding": [float(len(t)), float(t.count(" "))]} for i, t in enumerate(body["input"])]
+        return {"data": rows[::-1]}
+
+    t = _stored(spark, sf_dir)
+    have = t.blocks.filter("kind = 'Plan'").select(F.lit("toy").alias("embedder"), "content_hash", F.lit(2).alias("dim"), F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>").alias("vector"), F.lit(1).cast("long").alias("version"))
+    new = ann.embed_missing(t.blocks, have, remote_embedder("toy", "m", 2, send), 3)
+    return new.select("embedder", "content_hash", "dim", F.col("vector")[0].cast("double").alias("x"), F.col("vector")[1].cast("double").alias("y"), "version")
+
+
 @query
 def merge_max(spark, sf_dir):
     asks, t = _docs(spark, sf_dir)
@@ -321,6 +391,72 @@ def page_required(spark, sf_dir):
     return plan.summary
 
 
+def _opening(session) -> F.Column:
+    """The id of a conversation's first block."""
+    n = F.conv(session, 16, 10).cast("long")
+    return F.concat(hex_of(F.lit(fx.EPOCH) + n * 3600000, 12), hex_of(n * 1000, 20))
+
+
+@query
+def page_required_excluded(spark, sf_dir):
+    """Required blocks that a retriever finds too are selected once."""
+    c = fx.conversations(spark, sf_dir)
+    asks = requests(c, "wide").withColumn("required", F.array(_opening(F.col("session_id"))))
+    plan = Pager(retrievers=(retrievers.Recency(),)).page(asks, fx.plain_tables(c), profiles(spark))
+    return plan.selected.select("request_id", "block_id", "reason")
+
+
+@query
+def page_missing_block(spark, sf_dir):
+    """Candidates that the store does not have are dropped."""
+    asks, t = _chat(spark, sf_dir)
+    there = f"{fx.EPOCH + 7 * 3600000:012x}{7000:020x}"
+    plan = Pager(retrievers=(retrievers.Pinned(("f" * 32, there)),)).page(asks.withColumn("model", F.lit("wide")), t, profiles(spark))
+    return plan.selected.select("request_id", "block_id", "reason").unionByName(plan.omitted.select("request_id", "block_id", "reason"))
+
+
+@query
+def page_errors(spark, sf_dir):
+    """A block that is not there, required blocks over the budget, and a tokenizer that is not the model's."""
+    c = fx.conversations(spark, sf_dir)
+    t, p = fx.plain_tables(c), profiles(spark)
+    cases = {
+        "missing": (Pager(), requests(c, "wide").withColumn("required", F.array(F.lit("f" * 32)))),
+        "over": (Pager(), requests(c, "chat-60").withColumn("required", F.array_repeat(_opening(F.col("session_id")), 9))),
+        "tokenizer": (Pager(tokenizers.word_level("other")), requests(c, "wide")),
+    }
+    out = None
+    for name, (pager, asks) in cases.items():
+        rows = pager.page(asks, t, p).summary.select(F.lit(name).alias("which"), "request_id", "error")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def page_stored_counts(spark, sf_dir):
+    """Every second block has a stored count, which need not be what its body would give."""
+    d = fx.documents(spark, sf_dir)
+    stored = F.create_map(F.lit("word-level"), F.col("seq") % 50 + 1).cast("map<string,bigint>")
+    d = d.withColumn("token_counts", F.when(F.col("seq") % 2 == 0, stored).otherwise(F.col("token_counts")))
+    return _rounded(DOC_PAGER.page(requests(d, "page-4k"), fx.plain_tables(d), profiles(spark)).selected)
+
+
+@query
+def page_section_budgets(spark, sf_dir):
+    pager = DOC_PAGER.with_budgets(SectionBudgets.empty().set("Plan", 0.5).set("State", 0.25).set("Tools", 0.75))
+    return _page_docs(spark, sf_dir, pager)[2].selected.select("request_id", "block_id")
+
+
+@query
+def page_parents_tight(spark, sf_dir):
+    """Every block depends on one other: the walk ends where the budget does."""
+    d = fx.documents(spark, sf_dir, parents=True)
+    last = d.groupBy("session_id").agg(F.array(fx.doc_block(F.max("seq"))).alias("required"))
+    asks = requests(d, "page-4k").drop("required").join(last, "session_id")
+    pager = Pager(retrievers=()).with_policy(Policy(include_parents=True))
+    return pager.page(asks, fx.plain_tables(d, fx.edges(spark, sf_dir)), profiles(spark)).selected.select("request_id", "block_id", "reason")
+
+
 @query
 def page_system_fill(spark, sf_dir):
     _, t, plan = _page_chat(spark, sf_dir)
@@ -414,6 +550,13 @@ def pack_chat(spark, sf_dir):
     return Packer().messages(asks, plan.selected, t, profiles(spark)).select("request_id", "idx", "role", "section", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
 
 
+@query
+def pack_chat_tools(spark, sf_dir):
+    """Documents of all kinds: state, plans, facts and background on the system's side, tool results one by one."""
+    asks, t, plan = _page_docs(spark, sf_dir)
+    return Packer().messages(asks, plan.selected, t, profiles(spark)).select("request_id", "idx", "role", "section", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+
+
 @query
 def pack_chat_cache_boundary(spark, sf_dir):
     asks, t, plan = _page_docs(spark, sf_dir)
@@ -492,13 +635,14 @@ def _json_events(spark, sf_dir, body) -> DataFrame:
 
 @query
 def reduce_json_events(spark, sf_dir):
-    return _json_events(spark, sf_dir, F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40))
+    """Whole texts as bodies."""
+    return _json_events(spark, sf_dir, F.col("text"))
 
 
 @query
-def reduce_json_events_whole(spark, sf_dir):
-    """Whole texts as bodies; reduce_json_events has short ones of letters."""
-    return _json_events(spark, sf_dir, F.col("text"))
+def reduce_identity(spark, sf_dir):
+    b, e = reduce.identity(_outputs(spark, sf_dir))
+    return b.select("call_id", "block_id", "kind").unionByName(e.select(F.col("kind").alias("call_id"), F.col("from_id").alias("block_id"), F.col("to_id").alias("kind")))
 
 
 @query
@@ -518,6 +662,26 @@ def summarize_noop(spark, sf_dir):
     return reduce.noop(fx.conversations(spark, sf_dir))
 
 
+@query
+def summarize_external(spark, sf_dir):
+    """A service that answers with a digest of what it is asked."""
+    def ask(prompt: str) -> str:
+        import hashlib
+
+        return hashlib.sha256(prompt.encode()).hexdigest()
+
+    return reduce.external(fx.conversations(spark, sf_dir), ask)
+
+
+@query
+def summarize_stored(spark, sf_dir):
+    """Summaries as blocks, put into the store beside what they summarize."""
+    c = fx.conversations(spark, sf_dir)
+    made = reduce.summary_blocks(reduce.truncating(c, 40), c, "truncating", NOW_MS).withColumn("seq", F.lit(1 << 40))
+    t = st.put(fx.plain_tables(c), made.select(*c.columns))
+    return t.blocks.filter("kind = 'Summary'").select("block_id", "content_hash", F.size("provenance.parents").alias("parents"), F.get("provenance.parents", F.lit(0)).alias("first"), F.col("provenance.source").alias("source"))
+
+
 @query
 def section_of_blocks(spark, sf_dir):
     d = fx.documents(spark, sf_dir)
@@ -525,15 +689,24 @@ def section_of_blocks(spark, sf_dir):
 
 
 # -- streaming, driven to the end over the events table
+def _events_stream(spark, sf_dir) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
 @query
 def stream_windowed_counts(spark, sf_dir):
-    from ..streaming.ingest import windowed_counts
-
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    out = windowed_counts(stream, "ts", "10 minutes", "1 hour", "event_type")
-    name = "ctxloom_windowed_counts"
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    from ..streaming.ingest import drain, windowed_counts
+
+    out = windowed_counts(_events_stream(spark, sf_dir), "ts", "10 minutes", "1 hour", "event_type")
+    rows = drain(out, "complete")
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(last, "batch", "left_semi").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query
+def stream_running_state(spark, sf_dir):
+    """The state of each key is how many rows it has had."""
+    from ..streaming.ingest import drain, running_state
+
+    out = running_state(_events_stream(spark, sf_dir), "event_type", lambda now, pdf: str(int(now or 0) + len(pdf)))
+    return drain(out, "update").groupBy("event_type").agg(F.max_by("state", "batch").alias("state"))

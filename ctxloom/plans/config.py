@@ -4,7 +4,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
-from ..functions.tokenizers import TokenizerRegistry, hugging_face
+from ..functions.tokenizers import TokenizerRegistry, hugging_face, tiktoken_ranks
 from ..operators import packer, retrievers
 from .models import SECTIONS, ModelProfile, ModelRegistry, SectionBudgets
 
@@ -13,7 +13,7 @@ class ConfigError(ValueError):
     pass
 
 
-_KEYS = {"profile", "hf_tokenizer", "retriever", "section_budgets", "packer", "cache"}
+_KEYS = {"profile", "hf_tokenizer", "tiktoken", "retriever", "section_budgets", "packer", "cache"}
 
 
 @dataclass
@@ -49,6 +49,9 @@ def loads(text: str) -> Config:
     for t in raw.get("hf_tokenizer", ()):
         _need(t, "hf_tokenizer", "id", "path")
         out.tokenizers.register(hugging_face(t["id"], t["path"]))
+    for t in raw.get("tiktoken", ()):
+        _need(t, "tiktoken", "id", "path", "pattern")
+        out.tokenizers.register(tiktoken_ranks(t["id"], t["path"], t["pattern"]))
     made = []
     for r in raw.get("retriever", ()):
         _need(r, "retriever", "kind")

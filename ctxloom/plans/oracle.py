@@ -46,8 +46,9 @@ def ranked(of: str) -> str:
 ranked as (select *, (score / greatest(tokens, 1)::float)::float as eff from scored)"""
 
 
-def fraction(section: str) -> str:
-    return "case " + section + "".join(f" when '{s}' then {BUDGET_TABLES['default'].get(s, 0.0)}" for s in SECTIONS) + " end"
+def fraction(section: str, shares: dict[str, float] | None = None) -> str:
+    shares = BUDGET_TABLES["default"] if shares is None else shares
+    return "case " + section + "".join(f" when '{s}' then {shares.get(s, 0.0)}" for s in SECTIONS) + " end"
 
 
 def fold(start: str, limit: str) -> str:
@@ -55,13 +56,13 @@ def fold(start: str, limit: str) -> str:
     lambda a, x: case when a.used + x.tok <= {limit} then {{'used': a.used + x.tok, 'sel': list_append(a.sel, x.id), 'id': '', 'tok': 0::bigint}} else a end)"""
 
 
-def plan(of: str, budget: int, base: int = 0, tag: str = "") -> str:
+def plan(of: str, budget: int, base: int = 0, tag: str = "", shares: dict[str, float] | None = None) -> str:
     """selected<tag>(request_id, pos, block_id, score) over ranked; base counts the task."""
     order = "case section" + "".join(f" when '{s}' then {i}" for i, s in enumerate(SECTIONS)) + " end"
     return f"""lists{tag} as (select request_id, section, list({{'used': 0::bigint, 'sel': []::varchar[], 'id': block_id, 'tok': tokens}} order by eff desc, score desc, block_id desc) as l from ranked group by all),
 sysf{tag} as (select request_id, section, {fold(str(base), str(budget))} as f from lists{tag} where section = 'System'),
 vari{tag} as (select r.request_id, greatest({budget} - coalesce(f.used, {base}), 0) as var from (select distinct request_id from ranked) r left join sysf{tag} using (request_id)),
-room{tag} as (select request_id, section, l, floor(var::double * ({fraction('section')})::float::double * 1.0::float::double)::bigint as room from lists{tag} join vari{tag} using (request_id) where section <> 'System'),
+room{tag} as (select request_id, section, l, floor(var::double * ({fraction('section', shares)})::float::double * (1.0::float / {max(1.0, sum((shares or {}).values()))}::float)::float::double)::bigint as room from lists{tag} join vari{tag} using (request_id) where section <> 'System'),
 allf{tag} as (select request_id, section, f.sel as sel from sysf{tag} union all select request_id, section, ({fold('0', 'room')}).sel from room{tag}),
 flat{tag} as (select request_id, section, {order} as o, unnest(sel) as block_id, generate_subscripts(sel, 1) as i from allf{tag}),
 selected{tag} as (select request_id, row_number() over (partition by request_id order by o, i) - 1 as pos, block_id, section from flat{tag})"""
@@ -109,6 +110,8 @@ def bullets(chars: int) -> str:
 
 ORACLE: dict[str, str] = {
     "store_dedup_put": f"with {D}, {PUT} select block_id, kind, content_hash from p where block_id = owner",
+    "store_put_existing": f"with {D}, p as (select *, first_value(block_id) over (partition by content_hash order by doc_id % 2, doc_id) as owner from d) select block_id, kind, content_hash from p where block_id = owner",
+    "source_table": f"select printf('%032x', conv_id) as session_id, 'UserMessage' as kind, sha256(text) as content_hash, {EPOCH} + turn as created_at_ms, printf('%012x', {EPOCH} + turn) as time, conv_id || ':' || turn as source from conversations",
     "store_membership": f"with {D}, {PUT} select distinct session_id, owner as block_id from p",
     "store_get": f"with {D} select block_id, kind, content_hash, ts as created_at_ms from d where doc_id = 42",
     "store_list_sessions": f"with {C} select distinct session_id from c",
@@ -125,8 +128,7 @@ ORACLE: dict[str, str] = {
     "store_verify_rows": f"with {D}, {FAULT} select problem, block_id from problems",
     "store_repair_index": f"with {D}, {FAULT} select stored as content_hash, max(block_id) as block_id from bad group by stored",
     "edges_out": f"with {E} select from_id, to_id, kind, code::int as code from e",
-    "edges_in": f"with {E} select to_id, from_id, kind, code::int as code from e where to_id in (select {doc_block('doc_id')} from documents where doc_id % 3 = 0)",
-    "edges_in_all": f"with {E} select to_id, from_id, kind, code::int as code from e",
+    "edges_in": f"with {E} select to_id, from_id, kind, code::int as code from e",
     "edge_idempotent": f"with {E} select from_id, to_id, kind from e",
     "model_input_budget": "select * from (values " + ", ".join(f"('{p[0]}', '{p[4]}', {str(p[5]).lower()}, {ModelProfile(*p).input_budget}::bigint)" for p in _PROFILES) + ") as t(name, tokenizer, supports_system_role, input_budget)",
     "token_count_wordlevel": f"select doc_id, {tok('text')} as tokens from documents",
@@ -145,6 +147,12 @@ ORACLE: dict[str, str] = {
         df as (select session_id, term, count(*) as df from tf where f > 0 group by all),
         raw as (select tf.session_id, block_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) as raw from tf join df using (session_id, term) join st using (session_id) where f > 0 group by all)
         select session_id as request_id, block_id, round((raw / max(raw) over (partition by session_id))::float::double, 6) as score, 'bm25' as source from raw""",
+    "retrieve_empty_query": f"with {C} select session_id as request_id, block_id, 0.0::double as score, 'lexical' as source from c where false",
+    "retrieve_not_utf8": f"with {D}, {LEX} select request_id, block_id, round(score::double, 6) as score, 'lexical' as source from lex where score > 0 and block_id not in (select block_id from d where doc_id % 10 = 0)",
+    "retrieve_own": f"with {C} select distinct session_id as request_id, printf('%012x', {EPOCH} + conv_id * 3600000) || printf('%020x', conv_id * 1000) as block_id, case when conv_id % 2 = 1 then 1.0 else 0.25 end::double as score, 'opening' as source from c",
+    "retrieve_configured": f"""with {C} select session_id as request_id, block_id, 0.75::double as score, 'session' as source from c qualify row_number() over (partition by session_id order by block_id) <= 2
+        union all select session_id, block_id, round(pow(2.0, -((max(ts) over (partition by session_id) - ts)::float / 60000.0::float)::float)::float::double, 6), 'recency' from c qualify row_number() over (partition by session_id order by ts desc, block_id) <= 1""",
+    "embed_missing": f"with {D}, {PUT} select 'toy' as embedder, content_hash, 2::int as dim, length(text)::double as x, (length(text) - length(replace(text, ' ', '')))::double as y, 3::bigint as version from p where block_id = owner and kind <> 'Plan'",
     "retrieve_pinned": f"with {C} select distinct session_id as request_id, unnest([printf('%032x', 1), printf('%032x', 2)]) as block_id, 1.0::double as score, 'pinned' as source from c",
     "cross_session_facts": f"with {C} select r.session_id as request_id, block_id, 0.75::double as score, 'shared' as source from (select distinct session_id from c) r cross join (select block_id from c where conv_id = 0)",
     "retrieve_ann_exact": """with v as (select printf('%032x', label) as session_id, printf('%032x', vec_id) as block_id, vec_id, embedding::double[] as e from embeddings),
@@ -156,6 +164,16 @@ ORACLE: dict[str, str] = {
         select session_id as request_id, block_id, rec as score from rec union all select request_id, block_id, score from lex where score > 0 union all select session_id, block_id, 0.25::float from d) group by all""",
     "rank_candidates": f"with {D}, {ranked('d')} select request_id, section, row_number() over (partition by request_id, section order by eff desc, score desc, block_id desc)::int as rank, block_id, tokens from ranked",
     "page_required": f"with {C} select session_id as request_id, case when tokens <= {BUDGET['chat-60']} then tokens end as estimated_tokens, case when tokens > {BUDGET['chat-60']} then 'RequiredOverBudget' end as error from c where turn = 0",
+    "page_required_excluded": f"with {C} select session_id as request_id, block_id, case when turn = 0 then 'Pinned' else 'HighRelevance' end as reason from c",
+    "page_missing_block": f"with {C} select r.session_id as request_id, block_id, 'HighRelevance' as reason from (select distinct session_id from c) r cross join (select block_id from c where conv_id = 7 and turn = 0)",
+    "page_errors": f"""with {C}, s as (select distinct session_id from c) select 'missing' as which, session_id as request_id, 'RequiredBlockMissing' as error from s union all select 'tokenizer', session_id, 'TokenizerMismatch' from s
+        union all select 'over', session_id, case when 9 * tokens > {BUDGET['chat-60']} then 'RequiredOverBudget' end from c where turn = 0""",
+    "page_stored_counts": f"with {D.replace(tok('text') + ' as tokens', 'case when doc_id % 2 = 0 then doc_id % 50 + 1 else ' + tok('text') + ' end as tokens')}, {ranked('d')}, {plan('d', BUDGET['page-4k'])} select s.request_id, pos::int as pos, s.block_id, round(score::double, 6) as score, 'HighRelevance' as reason from selected s join ranked using (request_id, block_id)",
+    "page_section_budgets": f"with {D}, {ranked('d')}, {plan('d', BUDGET['page-4k'], shares={'Plan': 0.5, 'State': 0.25, 'Tools': 0.75})} select request_id, block_id from selected",
+    "page_parents_tight": f"""with recursive {D}, top as (select session_id, max(doc_id) as top from d group by session_id), size as (select doc_id, tokens from d),
+        reach(request_id, id, total) as (select session_id, top, tokens from top join size on doc_id = top where tokens <= {BUDGET['page-4k']}
+          union all select request_id, id // 2, total + tokens from reach join size on doc_id = id // 2 where id > 0 and total + tokens <= {BUDGET['page-4k']})
+        select request_id, {doc_block('id')} as block_id, case when id = top then 'Pinned' else 'Dependency' end as reason from reach join top on session_id = request_id""",
     "page_system_fill": f"{CHAT} select request_id, block_id, pos::int as pos from selected where section = 'System'",
     "page_chat_selected": f"{CHAT} select s.request_id, pos::int as pos, s.block_id, round(score::double, 6) as score, 'HighRelevance' as reason from selected s join ranked using (request_id, block_id)",
     "page_selected": f"{DOCS} select s.request_id, pos::int as pos, s.block_id, round(score::double, 6) as score, 'HighRelevance' as reason from selected s join ranked using (request_id, block_id)",
@@ -192,6 +210,11 @@ ORACLE: dict[str, str] = {
           union all select s.request_id, 10, s.block_id, case kind when 'AssistantMessage' then 'assistant' else 'user' end, 'Recent', text from selected s join c using (block_id) where s.section = 'Recent'
           union all select distinct request_id, 12, '', 'user', 'Task', 'what next' from ranked)
         select request_id, (row_number() over (partition by request_id order by a, b) - 1)::int as idx, role, section, sha256(content) as sha256 from msgs""",
+    "pack_chat_tools": f"""{DOCS}, msgs as (
+          select s.request_id, case s.section when 'Background' then 1 when 'State' then 2 when 'Plan' then 3 else 4 end as a, '' as b, 'system' as role, s.section, '## ' || s.section || chr(10) || chr(10) || regexp_replace(string_agg(text || chr(10) || chr(10), '' order by s.block_id), '\\s+$', '') as content
+            from selected s join d using (block_id) where s.section <> 'Tools' group by s.request_id, s.section
+          union all select s.request_id, 11, s.block_id, 'tool', 'Tools', text from selected s join d using (block_id) where s.section = 'Tools')
+        select request_id, (row_number() over (partition by request_id order by a, b) - 1)::int as idx, role, section, sha256(content) as sha256 from msgs""",
     "pack_chat_cache_boundary": f"""{DOCS}, msgs as (
           select s.request_id, s.section, '## ' || s.section || chr(10) || chr(10) || regexp_replace(string_agg(text || chr(10) || chr(10), '' order by s.block_id), '\\s+$', '') as content from selected s join d using (block_id) where s.section <> 'Tools' group by s.request_id, s.section
           union all select s.request_id, 'Tools', text from selected s join d using (block_id) where s.section = 'Tools'),
@@ -209,12 +232,7 @@ ORACLE: dict[str, str] = {
     "trace_diff_consecutive": f"with {TRACE} select session_id, call_id, lag(call_id) over w as prev_call_id, estimated - lag(estimated) over w as token_delta from t window w as (partition by session_id order by ms, call_id) qualify prev_call_id is not null",
     "reduce_append": f"""select printf('%032x', conv_id * 1000 + turn) as call_id, printf('%012x', {NOW_MS} + turn) || '0000' || substr(sha256(text), 1, 16) as block_id, 'AssistantMessage' as kind, sha256(text) as content_hash,
         case when turn % 2 = 0 then printf('%032x', conv_id) end as parent from conversations where turn <> 3 and text <> ''""",
-    "reduce_json_events": f"""with o as (select doc_id, printf('%032x', doc_id) as call_id, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40) as head, 'state ' || doc_id as state, ['Fact', 'Plan', 'Summary', 'DocumentChunk', 'other'][doc_id % 5 + 1] as k from documents),
-        ok as (select * from o where doc_id % 11 <> 0 and k <> 'other'),
-        bl as (select call_id, k as kind, head as body, [1, 2, 3, 4][doc_id % 5 + 1] as mask from ok where head <> '' union all select call_id, 'State', state, 254 from ok where doc_id % 3 = 0)
-        select call_id, printf('%012x', {NOW_MS}) || '0000' || printf('%02x', xor(('0x' || substr(sha256(body), 1, 2))::int, mask)) || substr(sha256(body), 3, 14) as block_id, kind, body from bl
-        union all select call_id, null, 'InvalidOutput', null from o where doc_id % 11 = 0 or k = 'other'""",
-    "reduce_json_events_whole": f"""with o as (select doc_id, printf('%032x', doc_id) as call_id, text, 'state ' || doc_id as state, ['Fact', 'Plan', 'Summary', 'DocumentChunk', 'other'][doc_id % 5 + 1] as k from documents),
+    "reduce_json_events": f"""with o as (select doc_id, printf('%032x', doc_id) as call_id, text, 'state ' || doc_id as state, ['Fact', 'Plan', 'Summary', 'DocumentChunk', 'other'][doc_id % 5 + 1] as k from documents),
         ok as (select * from o where doc_id % 11 <> 0 and k <> 'other' and text is not null),
         bl as (select call_id, k as kind, text as body, [1, 2, 3, 4][doc_id % 5 + 1] as mask from ok where text <> '' union all select call_id, 'State', state, 254 from ok where doc_id % 3 = 0)
         select call_id, printf('%012x', {NOW_MS}) || '0000' || printf('%02x', xor(('0x' || substr(sha256(body), 1, 2))::int, mask)) || substr(sha256(body), 3, 14) as block_id, kind, body from bl
@@ -222,6 +240,11 @@ ORACLE: dict[str, str] = {
     "summarize_truncating": f"with {C}, s as (select session_id, string_agg({bullets(80)}, '' order by block_id) as s from c group by session_id) select session_id, sha256(s) as sha256, length(s)::bigint as chars from s",
     "summarize_last_n": f"with {C}, l as (select * from c qualify row_number() over (partition by session_id order by block_id desc) <= 2) select session_id, string_agg({bullets(20)}, '' order by block_id) as summary from l group by session_id",
     "summarize_noop": f"with {C} select session_id, '[summary of ' || count(*) || ' block(s) elided]' as summary from c group by session_id",
+    "reduce_identity": "select '' as call_id, '' as block_id, '' as kind where false",
+    "summarize_external": f"with {C} select session_id, sha256(string_agg('--- block ' || n || ' (' || kind || ') ---' || chr(10) || text || chr(10) || chr(10), '' order by n)) as summary from (select *, row_number() over (partition by session_id order by block_id) as n from c) group by session_id",
+    "summarize_stored": f"""with {C}, s as (select session_id, string_agg({bullets(40)}, '' order by block_id) as s, count(*)::int as parents, min(block_id) as first from c group by session_id)
+        select printf('%012x', {NOW_MS}) || '0000' || substr(sha256(s), 1, 16) as block_id, sha256(s) as content_hash, parents, first, 'summarize:truncating' as source from s qualify row_number() over (partition by s order by block_id) = 1""",
     "section_of_blocks": f"with {D} select section, count(*) as n from d group by section",
+    "stream_running_state": "select event_type, count(*)::varchar as state from events group by event_type",
     "stream_windowed_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by all",
 }

@@ -18,26 +18,38 @@ class Tables:
     hash_index: DataFrame
 
 
-def put(tables: Tables, incoming: DataFrame) -> Tables:
-    """Adds blocks: incoming has the columns of blocks, session_id and seq (the order of arrival).
+def among(big: DataFrame, small: DataFrame, *columns: str) -> DataFrame:
+    """The rows of big whose columns are in small: what is left to join is as small as small."""
+    return big.join(small.select(*columns).distinct(), list(columns), "left_semi")
+
+
+def put_rows(tables: Tables, incoming: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What put adds to each table, and the ids (block_id) of stored blocks that new ones replace.
 
     Of equal bodies the first stays, with its kind, priority and provenance; later ones only join their
     session to it. Aggregates carry ids, not bodies, so a body that a third of all rows share is combined
-    before the shuffle.
+    before the shuffle; stored tables are only reduced to what incoming names.
     """
     rows = incoming.withColumn("content_hash", content_hash(F.col("body")))
-    known = tables.hash_index.select("content_hash", F.col("block_id").alias("old_id"))
+    known = among(tables.hash_index, rows, "content_hash").select("content_hash", F.col("block_id").alias("old_id"))
     first = rows.groupBy("content_hash").agg(F.min(F.struct("seq", "block_id")).alias("f"))
     owner = first.join(known, "content_hash", "left").select("content_hash", F.col("f.seq").alias("first_seq"), "old_id", F.coalesce("old_id", "f.block_id").alias("owner"))
     fresh = owner.filter("old_id is null")
     new = rows.join(fresh.select("content_hash", F.col("first_seq").alias("seq")), ["content_hash", "seq"], "left_semi").dropDuplicates(["content_hash"])
-    links = rows.select("session_id", "content_hash").distinct().join(owner, "content_hash").select("session_id", F.col("owner").alias("block_id"))
-    ids = new.select("block_id")
+    links = rows.select("session_id", "content_hash").distinct().join(owner, "content_hash").select("session_id", F.col("owner").alias("block_id")).distinct()
+    links = links.join(among(tables.session_blocks, links, "session_id", "block_id"), ["session_id", "block_id"], "left_anti")
+    add = {"blocks": new.select(*tables.blocks.columns), "session_blocks": links, "hash_index": fresh.select("content_hash", F.col("owner").alias("block_id"))}
+    return add, among(tables.blocks.select("block_id"), new, "block_id")
+
+
+def put(tables: Tables, incoming: DataFrame) -> Tables:
+    """Adds blocks: incoming has the columns of blocks, session_id and seq (the order of arrival). See put_rows."""
+    add, replaced = put_rows(tables, incoming)
     return replace(
         tables,
-        blocks=tables.blocks.join(ids, "block_id", "left_anti").select(*tables.blocks.columns).unionByName(new.select(*tables.blocks.columns)),
-        session_blocks=tables.session_blocks.unionByName(links).distinct(),
-        hash_index=tables.hash_index.unionByName(fresh.select("content_hash", F.col("owner").alias("block_id"))),
+        blocks=tables.blocks.join(replaced, "block_id", "left_anti").select(*tables.blocks.columns).unionByName(add["blocks"]),
+        session_blocks=tables.session_blocks.unionByName(add["session_blocks"]),
+        hash_index=tables.hash_index.unionByName(add["hash_index"]),
     )
 
 
@@ -58,8 +70,14 @@ def lookup_hash(tables: Tables, hashes: DataFrame) -> DataFrame:
     return tables.hash_index.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
 
 
+def edge_rows(tables: Tables, edges: DataFrame) -> DataFrame:
+    """Those of edges that are not stored, once each."""
+    new = edges.select("from_id", "to_id", "kind").distinct()
+    return new.join(among(tables.edges, new, *new.columns), new.columns, "left_anti")
+
+
 def put_edges(tables: Tables, edges: DataFrame) -> Tables:
-    return replace(tables, edges=tables.edges.unionByName(edges.select("from_id", "to_id", "kind")).distinct())
+    return replace(tables, edges=tables.edges.unionByName(edge_rows(tables, edges)))
 
 
 def edges_from(tables: Tables, ids: DataFrame | None = None) -> DataFrame:
@@ -86,14 +104,20 @@ def existed(tables: Tables, ids: DataFrame) -> DataFrame:
     return ids.select("block_id").distinct().join(there, "block_id", "left_semi")
 
 
-def purge_sessions(tables: Tables, sessions: DataFrame) -> tuple[Tables, DataFrame]:
-    """Drops the sessions' memberships and the blocks that no session keeps; also (session_id, removed)."""
+def purged(tables: Tables, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sessions that are dropped: the blocks (block_id) that no other session keeps, and (session_id, removed)."""
     gone = sessions.select("session_id").distinct()
     removed = tables.session_blocks.join(gone, "session_id", "left_semi")
-    kept = tables.session_blocks.join(gone, "session_id", "left_anti")
-    orphans = removed.select("block_id").distinct().join(kept, "block_id", "left_anti")
-    after = delete(replace(tables, session_blocks=kept.select("session_id", "block_id")), orphans)
-    return after, removed.groupBy("session_id").agg(F.count(F.lit(1)).alias("removed"))
+    ids = removed.select("block_id").distinct()
+    kept = among(tables.session_blocks, ids, "block_id").join(gone, "session_id", "left_anti")
+    return ids.join(kept, "block_id", "left_anti"), removed.groupBy("session_id").agg(F.count(F.lit(1)).alias("removed"))
+
+
+def purge_sessions(tables: Tables, sessions: DataFrame) -> tuple[Tables, DataFrame]:
+    """Drops the sessions' memberships and the blocks that no session keeps; also (session_id, removed)."""
+    orphans, removed = purged(tables, sessions)
+    kept = tables.session_blocks.join(sessions.select("session_id").distinct(), "session_id", "left_anti").select("session_id", "block_id")
+    return delete(replace(tables, session_blocks=kept), orphans), removed
 
 
 def verify_rows(tables: Tables) -> DataFrame:

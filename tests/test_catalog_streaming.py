@@ -47,13 +47,13 @@ def test_twin(spark, duck, name):
 
 
 def test_incoming_edges_of_every_block(spark, duck):
-    rows = QUERIES["edges_in_all"](spark, SF).collect()
+    rows = QUERIES["edges_in"](spark, SF).collect()
     docs = [r[0] for r in duck.execute("select doc_id from documents").fetchall()]
     assert len(rows) == len(docs) and {int(r.to_id[12:], 16) for r in rows} == {d // 2 for d in docs}
 
 
 def test_json_events_carry_whole_texts(spark, duck):
-    got = {int(r.call_id, 16): r.body for r in QUERIES["reduce_json_events_whole"](spark, SF).collect() if r.kind not in ("State", "InvalidOutput")}
+    got = {int(r.call_id, 16): r.body for r in QUERIES["reduce_json_events"](spark, SF).collect() if r.kind not in ("State", "InvalidOutput")}
     want = dict(duck.execute("select doc_id, text from documents where doc_id % 11 <> 0 and doc_id % 5 <> 4 and text <> ''").fetchall())
     assert got == want and any(len(t) > 40 and "\n" in t and not t.isascii() for t in want.values())
 

@@ -58,7 +58,8 @@ def test_cosine(spark):
 def test_registry_and_profiles(spark):
     r = tokenizers.TokenizerRegistry()
     with pytest.raises(tokenizers.UnknownTokenizer):
-        r.require("o200k_base")
+        r.require("llama-3")
+    assert r.ids() == ["cl100k_base", "o200k_base", "word-level"] and r.require("o200k_base").python
     assert ModelProfile("a", 128000, 4000, 1000).input_budget == 123000 and ModelProfile("b", 1000, 4000).input_budget == 0
     m = ModelRegistry().register(ModelProfile("o1", 10, 1))
     assert m.get("o1").input_budget == 9 and len(m.names()) == 10

@@ -138,5 +138,17 @@ def test_cli(spark, tmp_path):
     assert run("verify")[0] == 0
     assert run("repair")[0] == 2 and run("purge", "--yes")[0] == 2
     assert "gpt-4.1 1015552" in run("list-models")[1]
-    assert run("summarize", "1")[1] == "- fact: hello from a file"
+    assert run("summarize", "1")[1] == "- fact: hello from a file" and run("summarize", "1", "--max-chars", "5")[1] == "- fact: hello…"
+    assert run("summarize", "1", "--summarizer", "noop")[1] == "[summary of 1 block(s) elided]" and run("summarize", "1", "--summarizer", "external")[0] == 2
+    (tmp_path / "say.py").write_text("import json, sys; b = json.load(sys.stdin); print(json.dumps({'content': [{'type': 'text', 'text': f\"{b['model']} {b['max_tokens']}\"}]}))")
+    import sys
+
+    assert run("summarize", "1", "--summarizer", "external", "--command", f"{sys.executable} {tmp_path / 'say.py'}", "--model", "m1", "--max-tokens", "9")[1] == "m1 9"
+    (tmp_path / "c.toml").write_text('[[profile]]\nname = "w"\nmax_context = 1000\nreserved_output = 1\ntokenizer = "word-level"\n')
+    code, other = run("put", "1", "fact", str(tmp_path / "c.toml"))
+    run("add-edge", block, other, "supports")
+    assert run("edges", block, "--outgoing")[1] == f"-> Supports {other}" and run("edges", block, "--incoming")[1] == "" and run("edges", other)[1] == f"<- Supports {block}"
+    pack = lambda *more: run("--config", str(tmp_path / "c.toml"), "pack", "1", "w", "--task", "go", *more)[1]
+    assert pack("--prompt-only").startswith("## Task\n\ngo") and not pack("--prompt-only").endswith("tokens]") and pack().endswith("tokens]") and pack("--prompt-only", "--timestamps").startswith("## Task\n\nCurrent time: ")
+    assert run("purge", "--block", other, "--yes")[1] == "True"
     assert run("purge", "--session", "1", "--yes")[1] == "1"

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ctxloom.functions.ids import make_block_id
 from ctxloom.sources import fixtures as fx
 from ctxloom.sources import tables as st
-from ctxloom.sources.store import ContextStore, SchemaMismatch
+from ctxloom.sources.seam import BlockStore, Unsupported
+from ctxloom.sources.store import ContextStore, SchemaMismatch, StoreError
 
 
 def ids(df, col="block_id"):
@@ -83,3 +84,90 @@ def test_snapshots(spark, tmp_path):
         crc.unlink()
     with pytest.raises(SchemaMismatch):
         ContextStore(spark, s.path)
+
+
+def test_a_broken_commit_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    s = ContextStore(spark, path).put(blocks(spark, [(1, 1, 1, "Fact", "a"), (2, 2, 2, "Fact", "b")]))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_write", "_publish"):
+        for change in (lambda x: x.put(blocks(spark, [(1, 3, 3, "Fact", "c")])), lambda x: x.delete(frame(spark, make_block_id(1, 1)))):
+            broken = ContextStore(spark, path)
+            monkeypatch.setattr(broken, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                change(broken)
+            assert ids(ContextStore(spark, path).tables.blocks) == [make_block_id(1, 1), make_block_id(2, 2)]
+    # also between writing a version and naming it
+    class NoRename:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return stop if name == "rename" else getattr(self.fs, name)
+
+    broken = ContextStore(spark, path)
+    broken.fs = NoRename(broken.fs)
+    with pytest.raises(KeyboardInterrupt):
+        broken.put(blocks(spark, [(1, 3, 3, "Fact", "c")]))
+    assert ContextStore(spark, path).tables.blocks.count() == 2
+
+
+def test_only_changes_are_written(spark, tmp_path):
+    path = tmp_path / "s"
+    s = ContextStore(spark, str(path)).put(blocks(spark, [(1, i, i, "Fact", f"text {i}") for i in range(1, 200)]))
+    first = {f: f.stat().st_size for f in path.rglob("*.parquet")}
+    s.put(blocks(spark, [(1, 500, 500, "Fact", "new"), (2, 501, 501, "Fact", "text 7")]))
+    s.put_edges(spark.createDataFrame([(make_block_id(1, 1), make_block_id(2, 2), "Supports")] * 2, "from_id string, to_id string, kind string"))
+    s.delete(frame(spark, make_block_id(3, 3)))
+    new = {f: f.stat().st_size for f in path.rglob("*.parquet") if f not in first}
+    assert all(f.exists() for f in first) and sum(spark.read.parquet(str(f)).count() for f in new if "gone" not in str(f)) == 1 + 2 + 1 + 1
+    t = ContextStore(spark, str(path)).tables
+    assert t.blocks.count() == 199 and t.session_blocks.count() == 200 and t.hash_index.count() == 199 and t.edges.count() == 1
+    s.put_edges(spark.createDataFrame([(make_block_id(1, 1), make_block_id(2, 2), "Supports")], "from_id string, to_id string, kind string"))
+    assert s.tables.edges.count() == 1
+    s.delete(frame(spark, make_block_id(2, 2)))
+    assert s.tables.edges.isEmpty()
+    s.purge(frame(spark, sid(1), name="session_id"))
+    assert ids(s.tables.blocks) == [make_block_id(7, 7)] and s.tables.session_blocks.count() == 1
+    old = ContextStore(spark, str(path))
+    s.compact()
+    assert max(len(p) for p in s.parts.values()) == 1 and ids(s.tables.blocks) == [make_block_id(7, 7)] == ids(old.tables.blocks)
+    assert s.vacuum() and ids(ContextStore(spark, str(path)).tables.blocks) == [make_block_id(7, 7)] and not any(f.exists() for f in first)
+    # a block that was deleted may come back
+    assert s.put(blocks(spark, [(1, 3, 3, "Fact", "text 3")])).tables.blocks.count() == 2
+
+
+def test_folders_that_are_no_store(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "data.txt").write_text("something else")
+    with pytest.raises(StoreError):
+        ContextStore(spark, str(tmp_path / "x"))
+    s = ContextStore(spark, str(tmp_path / "s"))
+    other = ContextStore(spark, s.path)
+    s.put(blocks(spark, [(1, 1, 1, "Fact", "a")]))
+    with pytest.raises(StoreError):  # of two writers the later one fails
+        other.put(blocks(spark, [(1, 2, 2, "Fact", "b")]))
+    (tmp_path / "s" / "_versions" / "v9.json").write_text('{"schema_version": 99, "tables": {}}')
+    with pytest.raises(SchemaMismatch):
+        ContextStore(spark, s.path)
+
+
+def test_a_store_of_ones_own(spark):
+    class Mine(BlockStore):
+        def __init__(self):
+            self.spark, self.rows = spark, blocks(spark, [(1, 1, 1, "Fact", "a"), (1, 2, 2, "Fact", "a")])
+
+        def table(self, name):
+            return self.rows.select("session_id", "block_id") if name == "session_blocks" else self.rows.drop("session_id", "seq")
+
+        def put(self, incoming):
+            raise Unsupported
+
+    m = Mine()
+    assert m.tables.edges.isEmpty() and m.list_sessions().isEmpty() and [r.block_id for r in m.tables.hash_index.collect()] == [make_block_id(1, 1)]
+    for call in (m.delete, m.purge, m.put_edges):
+        with pytest.raises(NotImplementedError):
+            call(None)
