@@ -86,6 +86,23 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def often(counts: DataFrame, key: str, total: int) -> list:
+    """The keys of counts (key, n), which add up to total at most, that have over a thousandth of it and over a
+    thousand: fewer than a thousand keys."""
+    least = max(1000, total // 1000)
+    return [] if total <= least else [r[0] for r in counts.filter(F.col("n") > least).select(key).collect()]
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once; left's rows with a hot key (see often) do not meet in one
+    task, but are joined where they are to a broadcast of right's rows with those keys."""
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    at_once = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
+    return at_once.unionByName(left.filter(~is_hot | F.col(key).isNull()).join(right, key, how))
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of what the driver no longer refers to; call it once a spill has cut them off."""
     gc.collect()

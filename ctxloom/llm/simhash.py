@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint is cut into three segments; of two fingerprints that differ in at most four bits,
 one segment differs in at most one. So each fingerprint is indexed under every segment with one bit
-wild (64 keys), equal keys meet in equality joins, and the full distance is verified. Links inside a
-bucket are found without listing all pairs of a group: in a few rounds every member is held against one
-hub of its bucket, which joins what is dense; then, exactly, the members outside their bucket's largest
-component are held against the rest of the bucket.
+wild (64 keys), equal keys meet in equality joins, and the full distance is verified. Keys that one
+fingerprint alone has are dropped first. Links inside a bucket are found without listing all pairs of a
+group: in a few rounds every member is held against one hub of its bucket, which joins what is dense; then,
+exactly, the members outside their bucket's largest component are held against the rest of the bucket, which
+is cut into blocks of about a thousand. Keys that many rows have (a bucket's, a component's, a fingerprint's)
+are joined to a broadcast of fewer than a thousand rows.
 """
 from __future__ import annotations
 
@@ -15,10 +17,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import join_split, often, spill
 from .graph import components
 
 #: (shift, width) of the three segments.
@@ -62,36 +64,63 @@ def _variants(fp: F.Column) -> F.Column:
     return F.explode(F.array(*keys))
 
 
-def link(nodes: DataFrame, most: int = 4, rounds: int = 3) -> DataFrame:
+def shared_keys(fps: DataFrame) -> DataFrame:
+    """(key, fp) for each key of each distinct fingerprint that another one has too: rows are sorted by key and
+    held against their neighbours, so that a bucket of any size streams through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, twin = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row so far, and whether the one before it has its key
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, fp = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([fp, b.column(1).to_numpy()])
+            same = key[1:] == key[:-1]
+            before, after = np.concatenate([[twin], same]), np.append(same, False)
+            keep = np.flatnonzero((before | after)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(fp[keep])], ["key", "fp"])
+            key, fp, twin = key[-1:], fp[-1:], bool(before[-1])
+        if twin:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"])
+
+    rows = fps.select(_variants(F.col("fp")).alias("key"), "fp")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, fp long")
+
+
+def link(nodes: DataFrame, most: int = 4, rounds: int = 3, block: int = 1000) -> DataFrame:
     """(fp, root) for every distinct fingerprint: the components of all pairs that differ in at most most bits (4 or fewer)."""
     if not 0 <= most <= 4:
         raise ValueError("three segments serve distances up to 4")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
     roots = nodes.select("fp", F.col("fp").alias("root"))
+    keyed = spill(shared_keys(nodes.select("fp")), "simhash-keys")
+    total = keyed.count()
     # each member of a bucket against one hub, another hub each round: a group of copies falls together
     # without a comparison of all its pairs
     for seed in range(rounds):
-        every = roots.select("fp", "root", _variants(F.col("fp")).alias("key"))
+        every = keyed.join(roots, "fp")
         order = F.xxhash64("fp", F.lit(seed)) if seed else F.col("fp")
-        hubs = every.groupBy("key").agg(F.min(F.struct(order.alias("o"), "fp", "root")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        hubs = hubs.select(F.col("key").alias("hub_key"), F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root"))
-        found = every.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("root") != F.col("hub_root")) & near("fp", "hub"))
+        hubs = every.groupBy("key").agg(F.min(F.struct(order.alias("o"), "fp", "root")).alias("hub"), F.count(F.lit(1)).alias("n"))
+        hubs = spill(hubs.select("key", "n", F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root")), "simhash-hubs")
+        found = join_split(every, hubs, "key", often(hubs, "key", total)).filter((F.col("root") != F.col("hub_root")) & near("fp", "hub"))
         roots = _merge(roots, found.select(F.col("root").alias("a"), F.col("hub_root").alias("b")))
     # what is still apart, exactly: members outside their bucket's largest component against the bucket
-    every = roots.select("fp", "root", _variants(F.col("fp")).alias("key"))
-    bucket, part = Window.partitionBy("key"), Window.partitionBy("key", "root")
-    apart = every.withColumn("n", F.count(F.lit(1)).over(part)).withColumn("main", F.max(F.struct("n", "root")).over(bucket)["root"])
-    apart = apart.withColumn("least", F.min("root").over(bucket)).withColumn("largest", F.max("root").over(bucket)).filter("least <> largest")
-    x = apart.filter("root <> main").select("key", F.col("fp").alias("xf"), F.col("root").alias("xr"))
-    y = apart.select(F.col("key").alias("y_key"), F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
-    on = (F.col("key") == F.col("y_key")) & (F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xf") < F.col("yf"))) & near("xf", "yf")
+    every = keyed.join(roots, "fp")
+    sizes = every.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = spill(mixed.select("key", F.col("main.root").alias("main"), "n"), "simhash-mixed")
+    apart = spill(join_split(every, mixed, "key", often(mixed, "key", total)).withColumn("blocks", F.ceil(F.col("n") / block)), "simhash-apart")
+    x = apart.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("xf"), F.col("root").alias("xr"))
+    y = apart.select(F.col("key").alias("y_key"), F.pmod(F.xxhash64("fp"), "blocks").alias("y_block"), F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
+    on = (F.col("key") == F.col("y_key")) & (F.col("block") == F.col("y_block")) & (F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xf") < F.col("yf"))) & near("xf", "yf")
     return _merge(roots, x.join(y, on).select(F.col("xr").alias("a"), F.col("yr").alias("b")))
 
 
 def _merge(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """roots after joining the components that edges between roots connect."""
-    found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return spill(roots.join(found, "root", "left").select("fp", F.coalesce("top", "root").alias("root")), "simhash-roots")
+    found = spill(components(edges).select(F.col("node").alias("root"), F.col("root").alias("top")), "simhash-merge")
+    sizes = roots.join(found.select("root"), "root", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    joined = join_split(roots, found, "root", often(sizes, "root", roots.count()), "left")
+    return spill(joined.select("fp", F.coalesce("top", "root").alias("root")), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,19 +132,24 @@ def near_duplicates(docs: DataFrame, most: int = 4, id_col: str = "doc_id", text
     an empty result. Other columns are not read.
     """
     rows = spill(fingerprints(docs, id_col, text_col), "simhash-rows")
-    nodes = spill(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    rooted = nodes.join(link(nodes, most), "fp")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("component_root"))
+    nodes = spill(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
+    rooted = spill(nodes.join(link(nodes, most), "fp"), "simhash-rooted")
+    ids = spill(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-ids")
+    by_fp = join_split(rooted.select("fp", "root", "copies"), ids.drop("n"), "root", often(ids, "root", rooted.count()))
+    copies = often(nodes.select("fp", F.col("copies").alias("n")), "fp", rows.count())
+    return join_split(rows, by_fp.select("fp", "root", "component_id"), "fp", copies).select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("component_root"))
 
 
 def keep_one(docs: DataFrame, most: int = 4) -> DataFrame:
     """The rows of docs that stay when each group of near-duplicates keeps the one with the least
-    doc_id (null last; then by a hash of the text). Of repeated rows that tie in both, one stays."""
+    doc_id (null last; then by a hash of the text). Of repeated rows that tie in both, one stays.
+
+    Null and wordless texts are one group (and link to fingerprints near zero), as in near_duplicates. An
+    empty table gives an empty result. Columns, their order and types are those of docs, whatever their names."""
     found = near_duplicates(docs, most)
     least = found.groupBy("component_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     keep = spill(least.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")), "simhash-keep")
-    h = F.xxhash64(docs["text"])
-    stay = docs.withColumn("__h", h).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__h") == F.col("keep_hash")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
+    # the columns travel as one struct, so that no name of theirs clashes
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    stay = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_hash")), "left_semi")
+    return stay.dropDuplicates(["id", "h"]).select("row.*")
