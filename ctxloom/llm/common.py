@@ -5,36 +5,21 @@ import atexit
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 #: ASCII white space that separates words.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_RE)
 
-_own: dict[int, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if id(sc) not in _own:
-        _own[id(sc)] = "file://" + tempfile.mkdtemp(prefix="ctxloom-")
-        sc.setCheckpointDir(_own[id(sc)])
-    return _own[id(sc)]
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that is no longer read."""
     try:
@@ -45,10 +30,28 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that operators make inside it when it ends: consume or write their results before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name under the shared folder, removed when the driver's interpreter ends."""
+    """A fresh folder name under the shared folder, removed when the scope ends in which it is made, or else the
+    driver's interpreter."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(remove, spark, path)
     return path
 
 
@@ -81,6 +84,12 @@ def read_slice(path: str, offset: int, size: int) -> bytes:
         return f.read_at(size, offset)
 
 
+def read_all(path: str) -> bytes:
+    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    with store.open_input_file(name) as f:
+        return f.read()
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of an id's text modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

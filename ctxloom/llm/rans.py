@@ -1,10 +1,11 @@
 """Token-ID files coded by a static range asymmetric numeral system.
 
 Documents are put in ascending id order, encoded, and cut into blocks of whole documents. One frequency
-table, counted over all tokens, is shared by all blocks. A block is coded by itself in interleaved lanes
+table, counted over all tokens, is shared by all blocks and stands in a file beside them. A block is coded by itself in interleaved lanes
 and carries a checksum; the manifest holds a checkpoint for every block (file, offset, first token), so
 that any block can be decoded alone, and all of them in parallel.
 
+Table: magic "RNT1", the number of symbols as little-endian uint32, uint32 crc32 of the rest; uint32 frequencies.
 Block: magic "RNB1"; n_docs, n_tokens, n_lanes, n_words as little-endian uint32; uint32 crc32 of the rest;
 n_docs int64 ids, n_docs bytes (1: the id is null), n_docs uint32 token counts; n_lanes uint64 states;
 n_words uint32 code words.
@@ -25,22 +26,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, spill, trim
-from .warc import _prefix
+from .common import new_path, partitions, path_prefix, read_all, read_slice, spill, trim
 
 MAGIC, HEAD = b"RNB1", struct.Struct("<4sIIIII")
+TABLE_MAGIC, TABLE_HEAD = b"RNT1", struct.Struct("<4sII")
 BITS, LANES, BLOCK = 20, 2048, 1 << 17
-#: Bytes of text that are encoded together.
-PIECE = 12 << 20
+#: Bytes of text that are encoded together, and in one range of ids.
+PIECE, RANGE = 12 << 20, 64 << 20
 LOW = np.uint64(1 << 31)
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a sum of 2**BITS; what occurs keeps 1 at least."""
+    """Counts scaled to a sum of 2**BITS; what occurs keeps 1 at least, so that more symbols than that are an error."""
     counts = counts.astype(np.float64)
     if not counts.any():
         return np.zeros(len(counts), np.int64)
     room = 1 << BITS
+    if np.count_nonzero(counts) > room:
+        raise ValueError(f"more than {room} different symbols")
     f = np.where(counts > 0, np.maximum(1, np.floor(counts * (room / counts.sum()))), 0).astype(np.int64)
     order = np.argsort(-counts, kind="stable")
     off, i = room - int(f.sum()), 0
@@ -314,8 +317,9 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
 
     names = ["part", "block", "n", "doc_ids", "nulls", "sizes", "tokens", "hist", "width"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    # fewer ranges than usual: the more a task encodes, the fewer words of it are new
-    rows = rows.repartitionByRange(max(1, partitions(docs.sparkSession) // 4), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # ranges of about RANGE bytes: the more a task encodes, the fewer words of it are new
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    rows = rows.repartitionByRange(max(1, -(-size // RANGE)), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     return rows.mapInArrow(run, "part long, block long, n long, doc_ids binary, nulls binary, sizes binary, tokens binary, hist binary, width int")
 
 
@@ -342,7 +346,7 @@ def count_tokens(blocks: DataFrame) -> np.ndarray:
 def write_files(blocks: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
     """Codes the blocks into one file a task; the manifest (path, offset, bytes, part, block, n)."""
     shared = blocks.sparkSession.sparkContext.broadcast(freq)
-    prefix = _prefix(folder)
+    prefix = path_prefix(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -372,17 +376,33 @@ def with_starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("inner", inner).join(parts.select("part", "before"), "part").withColumn("first", F.col("before") + F.col("inner")).drop("inner", "before")
 
 
-def read_files(manifest: DataFrame, freq: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """Decodes blocks at their checkpoints: doc_id, start, n_tokens, ids_crc32 and with with_ids the ids."""
-    shared = manifest.sparkSession.sparkContext.broadcast(freq)
+def write_table(freq: np.ndarray, folder: str) -> str:
+    """The frequency table as a file; its path."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    body = freq.astype("<u4").tobytes()
+    with store.open_output_stream(f"{root}/table.freq", compression=None) as f:
+        f.write(TABLE_HEAD.pack(TABLE_MAGIC, len(freq), zlib.crc32(body)) + body)
+    return f"{path_prefix(folder)}{root}/table.freq"
+
+
+def read_table(path: str) -> np.ndarray:
+    raw = read_all(path)
+    magic, n, crc = TABLE_HEAD.unpack_from(raw)
+    body = raw[TABLE_HEAD.size :]
+    if magic != TABLE_MAGIC or len(body) != 4 * n or zlib.crc32(body) != crc:
+        raise ValueError("the frequency table is damaged")
+    return np.frombuffer(body, "<u4").astype(np.int64)
+
+
+def read_files(manifest: DataFrame, table: str, with_ids: bool = False) -> DataFrame:
+    """Decodes blocks at their checkpoints by the table beside them: doc_id, start, n_tokens, ids_crc32 and with with_ids the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = Coder(read_table(table))
         for b in batches:
             for path, offset, size, first in zip(*(c.to_pylist() for c in b.columns)):
-                store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-                with store.open_input_file(name) as f:
-                    ids, docs, null, sizes = unpack_block(coder, f.read_at(size, offset))
+                ids, docs, null, sizes = unpack_block(coder, read_slice(path, offset, size))
                 ends = np.cumsum(sizes, dtype=np.int64)
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
                 cols = [pa.array(docs, pa.int64(), mask=null.astype(bool)), pa.array(first + ends - sizes, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())]
@@ -398,11 +418,12 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_i
     """Encodes each text, appends end_id, writes the files and reads them back.
 
     Null text is empty and has the end id alone; null ids come first in order and come back null; rows that
-    repeat an id follow each other, ordered by a hash of the text. An empty table gives an empty result.
-    Other columns are not read. path must name the tokenizer's file on the executors.
+    repeat an id follow each other, ordered by a hash of the text. A block has whole documents: one of any
+    length is a block by itself. An empty table gives an empty result. Other columns are not read. path must name the tokenizer's file on the executors.
     """
     blocks = spill(token_blocks(docs, path, end_id, id_col, text_col), "rans-tokens", "lz4")
     freq = frequencies(count_tokens(blocks))
     folder = new_path(docs.sparkSession, "rans")
+    table = write_table(freq, folder)
     manifest = spill(write_files(blocks, freq, folder), "rans-manifest")
-    return read_files(with_starts(manifest), freq, with_ids)
+    return read_files(with_starts(manifest), table, with_ids)
