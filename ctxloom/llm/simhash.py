@@ -2,12 +2,11 @@
 
 A 64-bit fingerprint is cut into three segments; of two fingerprints that differ in at most four bits,
 one segment differs in at most one. So each fingerprint is indexed under every segment with one bit
-wild (64 keys), equal keys meet in equality joins, and the full distance is verified. Keys that one
-fingerprint alone has are dropped first. Links inside a bucket are found without listing all pairs of a
-group: in a few rounds every member is held against one hub of its bucket, which joins what is dense; then,
-exactly, the members outside their bucket's largest component are held against the rest of the bucket, which
-is cut into blocks of about a thousand. Keys that many rows have (a bucket's, a component's, a fingerprint's)
-are joined to a broadcast of fewer than a thousand rows.
+wild (64 keys), equal keys meet in equality joins, and the full distance is verified. Links inside a
+bucket are found without listing all pairs of a group: every member is held against a few hubs of its
+bucket, which joins what is dense; then, exactly, the members outside their bucket's largest component are
+held against the rest of the bucket. Keys that many rows have (a bucket's, a component's, a fingerprint's) are
+joined to a broadcast of fewer than a thousand rows, and such buckets are cut into blocks.
 """
 from __future__ import annotations
 
@@ -17,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_split, often, spill
@@ -64,55 +63,59 @@ def _variants(fp: F.Column) -> F.Column:
     return F.explode(F.array(*keys))
 
 
-def shared_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp) for each key of each distinct fingerprint that another one has too: rows are sorted by key and
-    held against their neighbours, so that a bucket of any size streams through."""
+def _hot_keys(nodes: DataFrame, part: int = 16) -> list:
+    """Keys that over a thousandth of all variants have, as far as every part-th fingerprint shows: they are joined in
+    another way, with the same result."""
+    some = nodes.filter(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(part)) == 0).select(_variants(F.col("fp")).alias("key"))
+    counts = some.groupBy("key").agg((F.count(F.lit(1)) * part).alias("n"))
+    return often(counts, "key", nodes.count() * 64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, twin = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row so far, and whether the one before it has its key
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, fp = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([fp, b.column(1).to_numpy()])
-            same = key[1:] == key[:-1]
-            before, after = np.concatenate([[twin], same]), np.append(same, False)
-            keep = np.flatnonzero((before | after)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(fp[keep])], ["key", "fp"])
-            key, fp, twin = key[-1:], fp[-1:], bool(before[-1])
-        if twin:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"])
-
-    rows = fps.select(_variants(F.col("fp")).alias("key"), "fp")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, fp long")
-
-
-def link(nodes: DataFrame, most: int = 4, rounds: int = 3, block: int = 1000) -> DataFrame:
+
+def link(nodes: DataFrame, most: int = 4, rounds: int = 3, block: int = 1000, hot: list | None = None) -> DataFrame:
     """(fp, root) for every distinct fingerprint: the components of all pairs that differ in at most most bits (4 or fewer)."""
     if not 0 <= most <= 4:
         raise ValueError("three segments serve distances up to 4")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
+    hot = _hot_keys(nodes) if hot is None else hot
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     roots = nodes.select("fp", F.col("fp").alias("root"))
-    keyed = spill(shared_keys(nodes.select("fp")), "simhash-keys")
-    total = keyed.count()
-    # each member of a bucket against one hub, another hub each round: a group of copies falls together
-    # without a comparison of all its pairs
-    for seed in range(rounds):
-        every = keyed.join(roots, "fp")
-        order = F.xxhash64("fp", F.lit(seed)) if seed else F.col("fp")
-        hubs = every.groupBy("key").agg(F.min(F.struct(order.alias("o"), "fp", "root")).alias("hub"), F.count(F.lit(1)).alias("n"))
-        hubs = spill(hubs.select("key", "n", F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root")), "simhash-hubs")
-        found = join_split(every, hubs, "key", often(hubs, "key", total)).filter((F.col("root") != F.col("hub_root")) & near("fp", "hub"))
-        roots = _merge(roots, found.select(F.col("root").alias("a"), F.col("hub_root").alias("b")))
+    # each member of a bucket against a few hubs: a group of copies falls together without a comparison of all its pairs
+    if rounds:
+        every = nodes.select("fp", _variants(F.col("fp")).alias("key"))
+        names = [f"h{i}" for i in range(rounds)]
+        order = lambda i: F.xxhash64("fp", F.lit(i)) if i else F.col("fp")
+        hubs = every.groupBy("key").agg(*[F.min(F.struct(order(i).alias("o"), "fp"))["fp"].alias(n) for i, n in enumerate(names)], F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", *names)
+        # verified inside the join: chance meetings never become rows; by a merge, as hubs grow with the corpus and are not to be gathered
+        at = lambda left, right: left.join(right.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & _any([(F.col(n) != F.col("fp")) & near("fp", n) for n in names]))
+        found = at(every.filter(~is_hot), hubs.filter(~is_hot).hint("merge")).unionByName(at(every.filter(is_hot), F.broadcast(hubs.filter(is_hot)))) if hot else at(every, hubs.hint("merge"))
+        edges = found.select(F.col("fp").alias("a"), F.explode(F.array(*[F.when((F.col(n) != F.col("fp")) & near("fp", n), F.col(n)) for n in names])).alias("b")).filter("b is not null")
+        roots = _merge(roots, edges)
     # what is still apart, exactly: members outside their bucket's largest component against the bucket
-    every = keyed.join(roots, "fp")
-    sizes = every.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = spill(mixed.select("key", F.col("main.root").alias("main"), "n"), "simhash-mixed")
-    apart = spill(join_split(every, mixed, "key", often(mixed, "key", total)).withColumn("blocks", F.ceil(F.col("n") / block)), "simhash-apart")
-    x = apart.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("xf"), F.col("root").alias("xr"))
-    y = apart.select(F.col("key").alias("y_key"), F.pmod(F.xxhash64("fp"), "blocks").alias("y_block"), F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
-    on = (F.col("key") == F.col("y_key")) & (F.col("block") == F.col("y_block")) & (F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xf") < F.col("yf"))) & near("xf", "yf")
-    return _merge(roots, x.join(y, on).select(F.col("xr").alias("a"), F.col("yr").alias("b")))
+    every = roots.select("fp", "root", _variants(F.col("fp")).alias("key"))
+    bucket, part = Window.partitionBy("key"), Window.partitionBy("key", "root")
+    apart = every.filter(~is_hot).withColumn("n", F.count(F.lit(1)).over(part)).withColumn("main", F.max(F.struct("n", "root")).over(bucket)["root"])
+    apart = apart.withColumn("least", F.min("root").over(bucket)).withColumn("largest", F.max("root").over(bucket)).filter("least <> largest")
+    x = apart.filter("root <> main").select("key", F.col("fp").alias("xf"), F.col("root").alias("xr"))
+    y = apart.select(F.col("key").alias("y_key"), F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
+    on = (F.col("key") == F.col("y_key")) & (F.col("xr") != F.col("yr")) & (F.col("ym") | (F.col("xf") < F.col("yf"))) & near("xf", "yf")
+    edges = x.join(y.hint("merge"), on).select(F.col("xr").alias("a"), F.col("yr").alias("b"))
+    if hot:
+        # the same for hot keys, whose members are counted by root before they meet, and meet in blocks
+        every = every.filter(is_hot)
+        sizes = every.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.ceil(F.sum("m") / block).alias("blocks"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+        apart = every.join(F.broadcast(mixed), "key")
+        x = apart.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("fp").alias("xf"), F.col("root").alias("xr"))
+        y = apart.select(F.col("key").alias("y_key"), F.pmod(F.xxhash64("fp"), "blocks").alias("y_block"), F.col("fp").alias("yf"), F.col("root").alias("yr"), (F.col("root") == F.col("main")).alias("ym"))
+        edges = edges.unionByName(x.join(y, on & (F.col("block") == F.col("y_block"))).select(F.col("xr").alias("a"), F.col("yr").alias("b")))
+    return _merge(roots, edges)
+
+
+def _any(conditions: list) -> F.Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def _merge(roots: DataFrame, edges: DataFrame) -> DataFrame:
