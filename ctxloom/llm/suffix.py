@@ -37,8 +37,8 @@ from .common import forget_shuffles, new_path, partitions, path_prefix, read_sli
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of text in a block, for each part of the strings and of the grams, and in one step of numpy work; different cells of a gram from which it is cut up.
-BLOCK, PART, GRAM_PART, STEP, HOT = 4 << 20, 2 << 20, 32 << 20, 1 << 18, 4096
+#: Bytes of text in a block, for each part of the strings and of the grams, for each task, and in one step of numpy work; different cells of a gram from which it is cut up.
+BLOCK, PART, GRAM_PART, SPREAD, STEP, HOT = 4 << 20, 2 << 20, 32 << 20, 64 << 20, 1 << 18, 4096
 
 _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -516,11 +516,12 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit: Callable, schema, ho
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     gram_parts, parts = max(tasks, -(-size // (part * (GRAM_PART // PART)))), max(tasks, -(-size // part))
     grams = write_blocks(docs, new_path(spark, "suffix"), id_col, text_col, gram_parts, block)
-    codes = spill(grams.groupBy("part").applyInArrow(lambda t: _open_grams(t, hot, parts), ROWS), "suffix-grams")
+    spread = max(tasks, -(-size // SPREAD))  # tasks follow the data, whatever the number of shuffle partitions
+    codes = spill(grams.repartition(spread, "part").groupBy("part").applyInArrow(lambda t: _open_grams(t, hot, parts), ROWS), "suffix-grams")
     del grams
     forget_shuffles(spark)
-    strings = codes.groupBy("block").applyInArrow(lambda t: _strings(t, id_at, text_at, parts), ROWS)
-    found = spill(strings.groupBy("part").applyInArrow(_compare, ROWS), "suffix-strings")
+    strings = codes.repartition(spread, "block").groupBy("block").applyInArrow(lambda t: _strings(t, id_at, text_at, parts), ROWS)
+    found = spill(strings.repartition(spread, "part").groupBy("part").applyInArrow(_compare, ROWS), "suffix-strings")
     del strings
     forget_shuffles(spark)
 
@@ -532,7 +533,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, emit: Callable, schema, ho
         trim()
         return pa.Table.from_batches([out])
 
-    return found.groupBy("block").applyInArrow(finish, schema)
+    return found.repartition(spread, "block").groupBy("block").applyInArrow(finish, schema)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK, part: int = PART) -> DataFrame:
