@@ -262,7 +262,7 @@ def _answers(part: int, blocks: list[int], where: list[np.ndarray], n: np.ndarra
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["block", "part", "n", "shares", "sums", "path"])
 
 
-def first_state(manifest: DataFrame, folder: str, parts: int, states: int) -> DataFrame:
+def first_state(manifest: DataFrame, folder: str, parts: int, states: int, spread: int) -> DataFrame:
     """STATE rows before the first pass: counts over all blocks and shares from noise. Each part keeps a file that says
     which of its words each block's words are."""
     prefix = path_prefix(folder)
@@ -299,16 +299,16 @@ def first_state(manifest: DataFrame, folder: str, parts: int, states: int) -> Da
         return out
 
     dealt = manifest.select("block", "path", "offset", "bytes").repartition(partitions(manifest.sparkSession)).mapInArrow(deal, "block long, part int, words binary, n binary")
-    return dealt.groupBy("part").applyInArrow(count, STATE)
+    return dealt.repartition(spread, "part").groupBy("part").applyInArrow(count, STATE)
 
 
 _KEPT = pa.schema([("block", pa.int64()), ("where", pa.binary()), ("n", pa.binary())])
 
 
-def _by_block(state: DataFrame, manifest: DataFrame) -> DataFrame:
-    """What the parts answered each block, and in a further row with part -1 where the block is."""
+def _by_block(state: DataFrame, manifest: DataFrame, spread: int):
+    """What the parts answered, grouped by block, with a further row of part -1 that says where the block is."""
     at = manifest.select("block", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("shares"), F.struct("path", "offset", "bytes").alias("at"))
-    return state.filter("block is not null").select("block", "part", "n", "shares", F.lit(None).cast("struct<path:string,offset:bigint,bytes:bigint>").alias("at")).unionByName(at)
+    return state.filter("block is not null").select("block", "part", "n", "shares", F.lit(None).cast("struct<path:string,offset:bigint,bytes:bigint>").alias("at")).unionByName(at).repartition(spread, "block").groupBy("block")
 
 
 def _gather(t: pa.Table, states: int) -> tuple[tuple[str, int, int], list[int], list[int], np.ndarray, np.ndarray]:
@@ -321,7 +321,7 @@ def _gather(t: pa.Table, states: int) -> tuple[tuple[str, int, int], list[int],
     return at, t.column("part").to_pylist(), [len(x) for x in n], np.concatenate(n), shares
 
 
-def next_state(state: DataFrame, manifest: DataFrame, start: np.ndarray, move: np.ndarray, totals: np.ndarray, whole: float, cells: int) -> DataFrame:
+def next_state(state: DataFrame, manifest: DataFrame, start: np.ndarray, move: np.ndarray, totals: np.ndarray, whole: float, cells: int, spread: int) -> DataFrame:
     """STATE rows after a Baum-Welch pass over the training texts of all blocks."""
     states = len(start)
 
@@ -364,9 +364,9 @@ def next_state(state: DataFrame, manifest: DataFrame, start: np.ndarray, move: n
         trim()
         return out
 
-    sent = _by_block(state, manifest).groupBy("block").applyInArrow(expect, "part int, block long, shares binary, sums array<double>, path string")
+    sent = _by_block(state, manifest, spread).applyInArrow(expect, "part int, block long, shares binary, sums array<double>, path string")
     kept = state.filter("block is null").select("part", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("shares"), F.lit(None).cast("array<double>").alias("sums"), "path")
-    return sent.unionByName(kept).groupBy("part").applyInArrow(add, STATE)
+    return sent.unionByName(kept).repartition(spread, "part").groupBy("part").applyInArrow(add, STATE)
 
 
 def _sums(state: DataFrame, states: int) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
@@ -392,9 +392,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (mod == held).alias("held_out"), F.col(text_col).alias("text"))
     folder = new_path(spark, "hmm")
     manifest = spill(write_blocks(rows, folder, block), "hmm-manifest")
-    parts = max(1, -(-(manifest.agg(F.sum("words")).first()[0] or 0) // pairs))
+    blocks, many = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    parts = max(1, -(-many // pairs))
+    spread = max(partitions(spark), blocks, parts)  # tasks follow the data, whatever the number of shuffle partitions
     at = new_path(spark, "hmm-state")
-    state = spill_to(first_state(manifest, folder, parts, states), at)
+    state = spill_to(first_state(manifest, folder, parts, states, spread), at)
     totals, n, v, _, _ = _sums(state, states)
     whole = n + ADD + (0 if n else ADD)  # with an unknown word
     base_all = float(np.log10(n + ADD * (v + 1)))
@@ -402,7 +404,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     move = np.full((states, states), 0.05 / max(1, states - 1)) * (1 - np.eye(states)) + (0.95 if states > 1 else 1) * np.eye(states)
     for _ in range(passes if n else 0):
         last, at = at, new_path(spark, "hmm-state")
-        state = spill_to(next_state(state, manifest, start, move, totals, whole, cells), at)
+        state = spill_to(next_state(state, manifest, start, move, totals, whole, cells, spread), at)
         totals, _, _, start, move = _sums(state, states)
         start, move = start + 0.1, move + 0.1
         start, move = start / start.sum(), move / move.sum(1, keepdims=True)
@@ -423,5 +425,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         trim()
         return out
 
-    scored = _by_block(state, manifest).groupBy("block").applyInArrow(forward, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = _by_block(state, manifest, spread).applyInArrow(forward, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
