@@ -21,21 +21,41 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, spill
+from .common import new_path, path_prefix, spill
 
 CHUNK = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def label_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, bytes, refers_to): refers_to is the largest page_id of the records with
+def _once(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether df has no more than rows, so that it may be broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def label_revisits(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = 100_000, salts: int = 16) -> DataFrame:
+    """(page_id, url, payload, digest, bytes, refers_to, again): refers_to is the largest page_id of the records with
     the same payload of at least least bytes, null on that record itself and on all others. Rows that repeat
-    that largest id are each a response; a null id is smaller than any."""
+    that largest id are each a response; a null id is smaller than any. again says that several rows have the id.
+
+    Payloads stay where they are: the table of payloads that repeat, which has none of them, is broadcast if it
+    has no more than most rows. A larger one is joined by digest and one of some salts, so that no payload of
+    many records, and none below least, makes a large group.
+    """
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
+    slim = slim.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), F.when(F.octet_length("payload") >= least, F.sha1("payload")).alias("digest"))
+    keep = spill(slim.filter("digest is not null").groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "keep"), "warc-repeated")
+    ids = spill(slim.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.coalesce("page_id", F.lit(0)).alias("same_id"), F.col("page_id").isNull().alias("same_null"), F.lit(True).alias("again")), "warc-ids")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    keep = base.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = base.join(keep.select("digest", "bytes", "keep"), ["digest", "bytes"], "left")
-    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))).select("page_id", "url", "payload", "digest", "bytes", "refers_to")
+    base = base.join(F.broadcast(ids) if _once(ids, most) else ids, (F.coalesce("page_id", F.lit(0)) == F.col("same_id")) & (F.col("page_id").isNull() == F.col("same_null")), "left")
+    if _once(keep, most):
+        out = base.join(F.broadcast(keep), "digest", "left")
+    else:
+        keep = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        long = base.filter(F.col("bytes") >= least).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        out = long.join(keep, ["digest", "salt"], "left").drop("salt").unionByName(base.filter(F.col("bytes") < least).withColumn("keep", F.lit(None).cast("long")))
+    out = out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    return out.select("page_id", "url", "payload", "digest", "bytes", "refers_to", F.coalesce("again", F.lit(False)).alias("again"))
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -43,12 +63,13 @@ def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     sent = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
     last = F.greatest(F.ceil(F.octet_length("sent") / chunk) - 1, F.lit(0)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("sent"), i * chunk + 1, F.lit(chunk)))
-    return records.withColumn("sent", sent).select("page_id", "url", "digest", "bytes", "refers_to", F.octet_length("sent").alias("sent_bytes"), F.posexplode(pieces).alias("no", "data"))
+    return records.withColumn("sent", sent).select("page_id", "url", "digest", "bytes", "refers_to", "again", F.octet_length("sent").alias("sent_bytes"), F.posexplode(pieces).alias("no", "data"))
 
 
-def _head(page_id, url, digest, size, refers_to, sent) -> bytes:
+def _head(page_id, url, digest, size, refers_to, sent, mark: str) -> bytes:
+    """mark tells apart the records of rows that repeat an id; a revisit names its page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}{mark}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
@@ -63,15 +84,16 @@ def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name, out, gz, n = f"{root}/{uuid.uuid4().hex}.warc.gz", None, None, 0
+        serial = uuid.uuid4().hex
+        name, out, gz, n = f"{root}/{serial}.warc.gz", None, None, 0
         for b in batches:
-            cols = [b.column(i) for i in range(8)]
+            cols = [b.column(i) for i in range(9)]
             for r in range(b.num_rows):
-                page_id, url, digest, size, refers_to, sent, no, data = (c[r].as_py() for c in cols)
+                page_id, url, digest, size, refers_to, again, sent, no, data = (c[r].as_py() for c in cols)
                 out = out or store.open_output_stream(name, compression=None)
                 if no == 0:
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(gz.compress(_head(page_id, url, digest, size, refers_to, sent)))
+                    out.write(gz.compress(_head(page_id, url, digest, size, refers_to, sent, f":{serial}-{n}" if again else "")))
                     left, n = sent, n + 1
                 out.write(gz.compress(data))
                 left -= len(data)
@@ -124,12 +146,16 @@ class _Stream:
         return out
 
 
-def _fields(stream: _Stream) -> dict[str, str]:
-    out = {}
+def _fields(stream: _Stream) -> tuple[dict[str, str], int]:
+    """Header fields up to the empty line, and how many bytes they took."""
+    out, used = {}, 2
     while line := stream.line():
         k, _, v = line.decode().partition(":")
         out[k.strip().lower()] = v.strip()
-    return out
+        used += len(line) + 2
+    if line is None:
+        raise EOFError("archive ends within a record")
+    return out, used
 
 
 def parse(f, chunk: int = CHUNK) -> Iterator[dict]:
@@ -140,16 +166,13 @@ def parse(f, chunk: int = CHUNK) -> Iterator[dict]:
             if line:
                 raise ValueError("not a WARC record")
             continue
-        warc = _fields(s)
-        total, used = int(warc["content-length"]), 0
+        warc, _ = _fields(s)
+        total = int(warc["content-length"])
         status = s.line()
-        http = {}
+        if status is None:
+            raise EOFError("archive ends within a record")
+        http, used = _fields(s)
         used += len(status) + 2
-        while line := s.line():
-            used += len(line) + 2
-            k, _, v = line.decode().partition(":")
-            http[k.strip().lower()] = v.strip()
-        used += 2
         digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
         row = {"record_id": warc["warc-record-id"], "record_type": warc["warc-type"], "refers_to": warc.get("warc-refers-to"), "url": warc.get("warc-target-uri"), "payload_bytes": int(http["content-length"])}
         left, no, so_far, sha = total - used, 0, 0, hashlib.sha1()
@@ -204,17 +227,13 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     payload_digest, record_type, refers_to, chunks.
 
     Null html is an empty payload; a null url has no target header; a null page_id comes back null; rows
-    that repeat are records of their own. An empty table gives an empty result. Other columns are not read.
+    that repeat are records of their own, with record ids of their own. A very long page is written and read
+    in chunks. An empty table gives an empty result. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    manifest = spill(write_archives(label_revisits(pages, least), folder).withColumn("path", F.concat(F.lit(_prefix(folder)), "path")), "warc-manifest")
+    manifest = spill(write_archives(label_revisits(pages, least), folder).withColumn("path", F.concat(F.lit(path_prefix(folder)), "path")), "warc-manifest")
     table = read_archives(manifest.repartition(max(1, spark.sparkContext.defaultParallelism * 2)), data=False)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]*)>', 1) as bigint)")
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]*)[:>]', 1) as bigint)")
     return table.filter(F.col("payload_digest").isNotNull()).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"), (F.col("chunk_no") + 1).alias("chunks"))
 
-
-def _prefix(uri: str) -> str:
-    """Scheme and authority, which pyarrow's paths lack."""
-    m = re.match(r"(\w+):(//[^/]*)?", uri)
-    return "" if not m else "" if m[1] == "file" else f"{m[1]}://" if m[1] in ("s3", "s3a", "gs", "gcs") else m[0]
