@@ -41,9 +41,14 @@ def source_targets(hist: DataFrame, weights: tuple[float, ...], cap: float) -> D
     return src.withColumn("t", target).select("key", "source_size", "least", "docs", F.col("t").cast("double").alias("target"))
 
 
-def tilt(hist: DataFrame, targets: DataFrame, cap: float, steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
+class NotBalanced(ArithmeticError):
+    """The dual was not solved in the steps allowed."""
+
+
+def tilt(hist: DataFrame, targets: DataFrame, cap: float, steps: int = 200, tolerance: float = 1e-7) -> DataFrame:
     """Newton's method on the dual, kept inside a bracket by source; every step is one aggregate over
-    (source, size) bins. Returns key, mean, lam."""
+    (source, size) bins. Returns key, mean, lam. A source is done when its words meet its target, or when its
+    bracket is as narrow as numbers are; not to be done after all steps is an error."""
     mean = F.col("source_size") / F.greatest(F.col("docs"), F.lit(1))
     hi = math.log(cap) * F.col("mean") / F.col("least")
     lo = F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size"))) * F.col("mean") / F.col("least")
@@ -65,16 +70,19 @@ def tilt(hist: DataFrame, targets: DataFrame, cap: float, steps: int = 60, toler
         newton = F.col("lam") - F.col("gap") / F.when(F.col("slope") > 0, F.col("slope"))
         middle = (F.col("lo") + F.col("hi")) / 2
         inside = (newton > F.col("lo")) & (newton < F.col("hi"))
-        err = F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0))
+        narrow = F.col("hi") - F.col("lo") <= 1e-13 * F.greatest(F.abs("lo"), F.abs("hi"))
+        err = F.when(narrow, 0.0).otherwise(F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0)))
         done = err <= tolerance
         state = spill(sums.select("key", "source_size", "target", "mean", "lo", "hi", F.when(done, F.col("lam")).when(inside, newton).otherwise(middle).alias("lam"), err.alias("err")), "mix-state")
         if (state.agg(F.max("err")).first()[0] or 0.0) <= tolerance:
-            break
-    return state.select("key", "mean", "lam")
+            return state.select("key", "mean", "lam")
+    raise NotBalanced(f"after {steps} steps some source is off its target")
 
 
-def round_copies(hist: DataFrame, targets: DataFrame, lam: DataFrame, cap: int, rounds: int = 5) -> DataFrame:
-    """Whole copies for each (source, size) bin."""
+def round_copies(hist: DataFrame, targets: DataFrame, lam: DataFrame, cap: int, rounds: int = 64) -> DataFrame:
+    """Whole copies for each (source, size) bin. The rest of each source's error goes to its longest documents that
+    fit it, round by round until none fits or it is gone; rounds bounds them, and what is left then is less
+    than the shortest document that was moved last."""
     rate = F.coalesce(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap) + 1))), F.lit(float(cap))), F.lit(0.0))
     bins = hist.join(lam, "key", "left").select("key", "size", "n", (F.col("n") * rate).alias("x"), F.floor(F.sqrt("size")).alias("b"))
     # prefix sums in two levels, so that no window holds more than about the square root of a source's sizes
@@ -92,7 +100,9 @@ def round_copies(hist: DataFrame, targets: DataFrame, lam: DataFrame, cap: int,
         room = F.when(F.col("off") > 0, cap * F.col("n") - F.col("k")).otherwise(F.col("k"))
         fit = bins.join(off, "key").filter((F.col("size") > 0) & (F.col("size") <= F.abs("off")) & (room > 0))
         pick = fit.groupBy("key").agg(F.max(F.struct("size", F.least(room, F.floor(F.abs("off") / F.col("size"))).alias("c"), F.signum("off").alias("sign"))).alias("p"))
-        pick = pick.select("key", F.col("p.size").alias("size"), (F.col("p.c") * F.col("p.sign")).cast("long").alias("d"))
+        pick = spill(pick.select("key", F.col("p.size").alias("size"), (F.col("p.c") * F.col("p.sign")).cast("long").alias("d")).filter("d <> 0"), "mix-picks")
+        if pick.isEmpty():
+            break
         bins = spill(bins.join(pick, ["key", "size"], "left").select("key", "size", "n", (F.col("k") + F.coalesce("d", F.lit(0))).alias("k")), "mix-bins")
     return bins
 
@@ -102,7 +112,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
 
     Null text has size 0; a null source is a source of its own, last in order; a null or repeated id
     is a row like others (rows alike in source, size and id may exchange their copies). Size 0 takes
-    nothing. An empty table gives an empty result. Other columns are not read.
+    nothing. Documents of a source and size share its copies evenly, ties by a hash of the id. A text of any
+    length counts by its words alone. An empty table gives an empty result. Other columns are not read.
     """
     return _mix(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), weights, cap)
 
@@ -132,7 +143,8 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int =
     """The mix itself: every row of docs as often as it is taken. Columns are those of docs.
 
     Rows are known by two 64-bit hashes over all their columns, so ids may be null or repeat; rows alike in
-    every column are taken together.
+    every column are taken together. Null and empty texts have no words and are not taken. An empty table gives
+    an empty result. Names of columns may be any but __row, __times and __copy.
     """
     row = F.concat_ws(":", F.xxhash64(*docs.columns), F.xxhash64(F.lit("second"), *docs.columns))
     keyed = docs.withColumn("__row", row)
