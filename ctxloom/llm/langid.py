@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-#: Trigrams fall into this many buckets; the model has one row of them for each language.
-BUCKETS = 1 << 16
+#: Trigrams fall into this many buckets; the model has one row of them for each language, and no more languages than this.
+BUCKETS, MOST_LANGUAGES = 1 << 16, 256
 
 
 @cache
@@ -41,8 +41,13 @@ def trigrams(text: str | None) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.uint16)
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, use: F.Column) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their trigram probabilities (buckets x languages), counted over all rows that use names."""
+class TooManyLanguages(ValueError):
+    """The model of so many language tags is too large to be sent to every executor."""
+
+
+def train(docs: DataFrame, text_col: str, lang_col: str, use: F.Column, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their trigram probabilities (buckets x languages), counted over all rows that use names.
+    More than most languages are an error, found before anything is gathered: tags have to be cleaned first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -55,6 +60,10 @@ def train(docs: DataFrame, text_col: str, lang_col: str, use: F.Column) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     rows = docs.filter(use & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    tags = rows.select("lang").distinct().limit(most + 1).count()
+    if tags > most:
+        raise TooManyLanguages(f"more than {most} different languages")
+    # at most BUCKETS rows for each of most languages
     counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     n = np.zeros((BUCKETS, len(langs)))
@@ -96,9 +105,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """A row for each row of docs: doc_id, held_out, lang_pred, score, languages (those of its mixture).
 
     Learns from text and lang of rows whose lang is not null and whose crc32(doc_id) modulo folds is not
-    held (a null id counts as empty text). lang_pred is the language of the largest proportion, score that
-    proportion; und and 0 for texts that are null or have no letter, or if no language was learned. An empty
-    table gives an empty result. Other columns are not read.
+    held (a null id counts as empty text). lang_pred is the language of the largest proportion, of equal ones
+    the first by name, score that proportion; und and 0 for texts that are null or have no letter, or if no
+    language was learned. A text of any length counts whole, as a table of its trigrams. Repeated rows each get
+    their row and count each time. An empty table gives an empty result. Other columns are not read. More than
+    MOST_LANGUAGES languages are an error.
     """
     mod = crc_mod(F.col(id_col), folds)
     langs, model = train(docs, text_col, lang_col, mod != held)

@@ -122,7 +122,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the text of the lines that stay; n_chars follows the text.
-    Columns, their order and types are those of docs."""
+    Columns, their order and types are those of docs, whatever their names. Null, empty and wordless texts are
+    rejected; a text of any length is judged whole; rows that repeat are judged one by one, and null ids do
+    not matter. An empty table gives an empty result."""
     fields, at = docs.schema, docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
