@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_split, often, spill
+from .common import join_split, often, partitions, spill
 from .graph import components
 
-#: (shift, width) of the three segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (shift, width) of the three segments; fingerprints of a task that indexes them.
+SEGMENTS, SPREAD = ((0, 22), (22, 21), (43, 21)), 100_000
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -77,11 +77,13 @@ def link(nodes: DataFrame, most: int = 4, rounds: int = 3, block: int = 1000, ho
         raise ValueError("three segments serve distances up to 4")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= most
     hot = _hot_keys(nodes) if hot is None else hot
+    # 64 rows come of one: tasks follow the fingerprints, not the few files that they are read from
+    spread = max(partitions(nodes.sparkSession), -(-nodes.count() // SPREAD))
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     roots = nodes.select("fp", F.col("fp").alias("root"))
     # each member of a bucket against a few hubs: a group of copies falls together without a comparison of all its pairs
     if rounds:
-        every = nodes.select("fp", _variants(F.col("fp")).alias("key"))
+        every = nodes.repartition(spread, "fp").select("fp", _variants(F.col("fp")).alias("key"))
         names = [f"h{i}" for i in range(rounds)]
         order = lambda i: F.xxhash64("fp", F.lit(i)) if i else F.col("fp")
         hubs = every.groupBy("key").agg(*[F.min(F.struct(order(i).alias("o"), "fp"))["fp"].alias(n) for i, n in enumerate(names)], F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", *names)
@@ -91,7 +93,7 @@ def link(nodes: DataFrame, most: int = 4, rounds: int = 3, block: int = 1000, ho
         edges = found.select(F.col("fp").alias("a"), F.explode(F.array(*[F.when((F.col(n) != F.col("fp")) & near("fp", n), F.col(n)) for n in names])).alias("b")).filter("b is not null")
         roots = _merge(roots, edges)
     # what is still apart, exactly: members outside their bucket's largest component against the bucket
-    every = roots.select("fp", "root", _variants(F.col("fp")).alias("key"))
+    every = roots.repartition(spread, "fp").select("fp", "root", _variants(F.col("fp")).alias("key"))
     bucket, part = Window.partitionBy("key"), Window.partitionBy("key", "root")
     apart = every.filter(~is_hot).withColumn("n", F.count(F.lit(1)).over(part)).withColumn("main", F.max(F.struct("n", "root")).over(bucket)["root"])
     apart = apart.withColumn("least", F.min("root").over(bucket)).withColumn("largest", F.max("root").over(bucket)).filter("least <> largest")
