@@ -104,6 +104,34 @@ def test_mixing_meets_targets(spark):
     assert max(rates.values()) <= 3 and len(set(rates.values())) > 1
 
 
+def test_tilt_is_the_entropy_optimum(spark):
+    """The rates meet each target, equal those of a bisection, and no feasible change is nearer to one copy each."""
+    rng = random.Random(7)
+    bins = {x: [(size, rng.randint(1, 9)) for size in rng.sample(range(1, 400), 12)] for x in "abcd"}
+    ratio = {"a": 0.3, "b": 1.0, "c": 2.2, "d": 2.999}
+    hist = spark.createDataFrame([(x, x, size, n) for x, b in bins.items() for size, n in b], "key string, source string, size long, n long")
+    words_of = {x: sum(size * n for size, n in b) for x, b in bins.items()}
+    targets = spark.createDataFrame([(x, words_of[x], min(size for size, _ in b), sum(n for _, n in b), ratio[x] * words_of[x]) for x, b in bins.items()], "key string, source_size long, least long, docs long, target double")
+    for r in mixing.tilt(hist, targets, 3.0).collect():
+        b, t = bins[r.key], ratio[r.key] * words_of[r.key]
+        rate = lambda lam: [min(3.0, math.exp(min(lam * size / r.mean, 50))) for size, _ in b]  # noqa: B023, E731
+        got = lambda lam: sum(x * size * n for x, (size, n) in zip(rate(lam), b))  # noqa: B023, E731
+        lo, hi = -1000.0, 1000.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if got((lo + hi) / 2) < t else (lo, (lo + hi) / 2)
+        assert got(r.lam) == pytest.approx(t, rel=1e-6) and rate(r.lam) == pytest.approx(rate(lo), rel=1e-4)
+        far = lambda x: sum(n * (y * math.log(y) - y) for y, (_, n) in zip(x, b))  # noqa: B023, E731
+        best = rate(r.lam)
+        for _ in range(200):  # moves that keep the words
+            i, j = rng.sample(range(len(b)), 2)
+            d = rng.choice([-1, 1]) * 0.01 * min(best[i], best[j])
+            x = list(best)
+            x[i] += d / (b[i][0] * b[i][1])
+            x[j] -= d / (b[j][0] * b[j][1])
+            if 0 < min(x) and max(x) <= 3:
+                assert far(x) >= far(best) - 1e-7
+
+
 def test_take_mix(table):
     d = table.select("doc_id", "text", "source", "lang")
     mix = mixing.take_mix(d)
@@ -133,6 +161,17 @@ def test_warc(spark):
     assert warc.round_trip(p.filter("page_id < 0")).isEmpty()
 
 
+def test_warc_of_many_repeated_payloads(spark):
+    """As above where too many payloads repeat for a broadcast; every record has an id of its own."""
+    p = pages(spark)
+    rows = lambda most: Counter((r.page_id, r.url, r.digest, r.bytes, r.refers_to, r.again) for r in warc.label_revisits(p, most=most, salts=3).collect())
+    assert rows(0) == rows(100_000) and sum(rows(0).values()) == 11
+    folder = f"{warc.new_path(spark, 'warc-test')}"
+    made = warc.write_archives(warc.label_revisits(p), folder)
+    heads = [r.record_id for r in warc.read_archives(made, data=False).filter("payload_digest is not null").collect()]
+    assert len(heads) == 11 == len(set(heads))
+
+
 def test_warc_chunks_carry_payloads(spark, tmp_path):
     p = pages(spark)
     made = warc.write_archives(warc.label_revisits(p), f"file://{tmp_path}/w", chunk=1000)
@@ -171,6 +210,26 @@ def test_topk(spark):
     assert topk.exact_topk(df.filter("vec_id < 0")).isEmpty()
 
 
+def test_topk_of_large_numbers(spark):
+    """Scores beyond what doubles hold exactly are whole; what might not fit 64 bits is an error."""
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-(10**6), 10**6)) + rng.choice([0.0, 0.25]) for _ in range(9)]) for i in range(120)]
+    rows += [(200 + i, [x + rng.choice([0.0, 1 / 256]) for x in rows[0][1]]) for i in range(30)]  # scores that differ in their last digits
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = set()
+    for i, v in whole:
+        if i % 50 == 0:
+            s = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, w in whole if j != i)[:5]
+            want |= {(i, k + 1, j, -x) for k, (x, j) in enumerate(s)}
+    assert max(x for *_, x in want) > 1 << 53
+    for opts in ({}, {"tile": 16, "query_tile": 2, "block": 4}):
+        assert {tuple(r) for r in topk.exact_topk(df, **opts).collect()} == want
+    for big in (1e18, 1e200, 1e308):
+        with pytest.raises(OverflowError):
+            topk.exact_topk(spark.createDataFrame([(0, [big, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+
+
 # -- 4
 def test_bpe(table, rows):
     from tokenizers import Tokenizer
@@ -249,8 +308,9 @@ def test_simhash_links_are_complete(spark):
     fps = sorted(fps)
     root = union(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    for rounds in (0, 3):
-        got = {r.fp % (1 << 64): r.root for r in simhash.link(nodes, rounds=rounds).collect()}
+    hot = [((f >> shift) & ((1 << width) - 1) & ~(1 << bit)) + ((shift + bit) << 32) for f in (base, fps[3], fps[40]) for shift, width in simhash.SEGMENTS for bit in range(0, width, 2)]
+    for rounds, keys in ((0, []), (3, None), (0, hot), (3, hot)):
+        got = {r.fp % (1 << 64): r.root for r in simhash.link(nodes, rounds=rounds, hot=keys, block=7).collect()}
         assert len({(root[i], got[f]) for i, f in enumerate(fps)}) == len(set(root)) == len(set(got.values()))
 
 
@@ -298,6 +358,51 @@ def test_langid(spark, table):
     assert langid.identify(table).count() == table.count()
 
 
+def slow_infer(text, counts, langs):
+    """EM and the choice of languages by their definitions, a trigram at a time."""
+    grams = Counter(langid.trigrams(text).tolist())
+    n = sum(grams.values())
+    total = {x: sum(counts[x].values()) for x in langs}
+    p = {x: {g: (counts[x][g] + 0.5) / (total[x] + 0.5 * langid.BUCKETS) for g in grams} for x in langs}
+
+    def fit(share):
+        for _ in range(50):
+            new = dict.fromkeys(share, 0.0)
+            for g, c in grams.items():
+                whole = sum(share[x] * p[x][g] for x in share)
+                for x in share:
+                    new[x] += c * share[x] * p[x][g] / whole / n
+            done = max(abs(new[x] - share[x]) for x in share) < 1e-4
+            share = new
+            if done:
+                break
+        return share, sum(c * math.log(sum(share[x] * p[x][g] for x in share)) for g, c in grams.items())
+
+    share, best = fit({x: 1 / len(langs) for x in langs})
+    while len(share) > 1:
+        least = min(share, key=lambda x: (share[x], x))
+        rest = {x: y for x, y in share.items() if x != least}
+        less, worse = fit({x: y / sum(rest.values()) for x, y in rest.items()})
+        if worse < best - 0.5 * math.log(n + 1):
+            break
+        share, best = less, worse
+    return share
+
+
+def test_langid_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(40)] for x, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "klmnopqr"))}
+    text = lambda *langs: " ".join(rng.choice(vocabulary[x]) for x in langs for _ in range(rng.randint(3, 30)))
+    rows = [(i, text(x), x) for i, x in enumerate("aa bb cc".split() * 20)] + [(100 + i, text(*rng.sample(sorted(vocabulary), 2)), None) for i in range(30)] + [(200 + i, text(*sorted(vocabulary)), None) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {x: Counter(g for i, t, y in rows if y == x and zlib.crc32(str(i).encode()) % 4 != 2 for g in langid.trigrams(t).tolist()) for x in vocabulary}
+    for r in langid.identify(df).collect():
+        want = slow_infer(next(t for i, t, _ in rows if i == r.doc_id), counts, sorted(vocabulary))
+        assert set(r.languages) == set(want) and r.lang_pred == max(sorted(want), key=want.get) and r.score == pytest.approx(max(want.values()), abs=1e-6)
+    with pytest.raises(langid.TooManyLanguages):
+        langid.identify(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
 # -- 7
 def test_rans(table, rows):
     from tokenizers import Tokenizer
@@ -324,6 +429,8 @@ def test_rans_coder():
         with pytest.raises(ValueError):
             rans.unpack_block(coder, raw[:-1] + bytes([raw[-1] ^ 1]))
     assert rans.frequencies(np.ones(60_000, np.int64)).sum() == 1 << rans.BITS
+    with pytest.raises(ValueError):
+        rans.frequencies(np.ones((1 << rans.BITS) + 1, np.int64))
     skewed = rans.frequencies(np.concatenate([[10**12], np.ones(50_000, np.int64)]))
     assert skewed.sum() == 1 << rans.BITS and skewed.min() == 1
 
@@ -584,6 +691,16 @@ def test_least_owner():
         assert got[k] == min(o for t, o in zip(starts, owner) if (data[t : t + 50] == data[s : s + 50]).all())
 
 
+def test_token_files_are_read_by_their_own_table(spark, tmp_path):
+    freq = rans.frequencies(np.array([5, 0, 90, 1]))
+    path = rans.write_table(freq, f"file://{tmp_path}/t")
+    assert (rans.read_table(path) == freq).all()
+    raw = open(path, "rb").read()
+    open(path, "wb").write(raw[:-1] + bytes([raw[-1] ^ 1]))
+    with pytest.raises(ValueError):
+        rans.read_table(path)
+
+
 def test_arrow_slices_of_text():
     """Encoders read columns that are slices of longer ones."""
     col = pa.array(["skip", "a b", "c\nd", "skip"]).slice(1, 2)
