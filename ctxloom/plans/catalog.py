@@ -378,6 +378,13 @@ def _page_chat(spark, sf_dir, model: str = "chat-300", task: str = "what next")
     return asks, t, Pager(retrievers=(retrievers.Recency(),)).page(asks, t, profiles(spark))
 
 
+def page_many(spark, sf_dir, times: int) -> DataFrame:
+    """Selections of page_chat_selected where each session is asked for so many times: for measuring throughput."""
+    c = fx.conversations(spark, sf_dir)
+    asks = requests(c, "chat-300", "what next").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("request_id", F.concat_ws(":", "request_id", "n")).drop("n")
+    return DOC_PAGER.page(asks, fx.plain_tables(c), profiles(spark)).selected
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round(F.col("score").cast("double"), 6))
 
