@@ -85,8 +85,9 @@ def link(nodes: DataFrame, most: int = 4, rounds: int = 3, block: int = 1000, ho
     if rounds:
         every = nodes.repartition(spread, "fp").select("fp", _variants(F.col("fp")).alias("key"))
         names = [f"h{i}" for i in range(rounds)]
-        order = lambda i: F.xxhash64("fp", F.lit(i)) if i else F.col("fp")
-        hubs = every.groupBy("key").agg(*[F.min(F.struct(order(i).alias("o"), "fp"))["fp"].alias(n) for i, n in enumerate(names)], F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", *names)
+        # the least fingerprint under a few exclusive ors, which are other orders: minima of plain numbers
+        mask = [i * -7046029254386353131 % (1 << 63) for i in range(rounds)]
+        hubs = every.groupBy("key").agg(*[F.min(F.col("fp").bitwiseXOR(F.lit(m).cast("long"))).bitwiseXOR(F.lit(m).cast("long")).alias(n) for n, m in zip(names, mask)], F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", *names)
         # verified inside the join: chance meetings never become rows; by a merge, as hubs grow with the corpus and are not to be gathered
         at = lambda left, right: left.join(right.withColumnRenamed("key", "hub_key"), (F.col("key") == F.col("hub_key")) & _any([(F.col(n) != F.col("fp")) & near("fp", n) for n in names]))
         found = at(every.filter(~is_hot), hubs.filter(~is_hot).hint("merge")).unionByName(at(every.filter(is_hot), F.broadcast(hubs.filter(is_hot)))) if hot else at(every, hubs.hint("merge"))
