@@ -55,16 +55,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def spill_to(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to path and reads it back: cuts lineage and survives lost executors."""
+def spill_to(df: DataFrame, path: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
+    """Writes df to path, with options of the Parquet writer, and reads it back: cuts lineage and survives lost executors."""
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **(options or {})).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def spill(df: DataFrame, tag: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """As spill_to, in a fresh folder under the shared one."""
-    return spill_to(df, new_path(df.sparkSession, tag), codec)
+    return spill_to(df, new_path(df.sparkSession, tag), codec, options)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -32,7 +32,10 @@ MAGIC, HEAD = b"RNB1", struct.Struct("<4sIIIII")
 TABLE_MAGIC, TABLE_HEAD = b"RNT1", struct.Struct("<4sII")
 BITS, LANES, BLOCK = 20, 2048, 1 << 17
 #: Bytes of text that are encoded together, and in one range of ids.
-PIECE, RANGE = 12 << 20, 64 << 20
+PIECE, RANGE = 6 << 20, 64 << 20
+#: How blocks are spilled: in row groups of 8 MB or 32 rows of a quarter of a MB, as the size is that of compressed pages;
+#: sizes are looked at from the first row on, not from the hundredth. What writes or reads blocks holds a row group.
+SPILL = {"parquet.block.size": str(8 << 20), "parquet.block.row.count.limit": "32", "parquet.page.size.row.check.min": "1"}
 LOW = np.uint64(1 << 31)
 
 
@@ -166,11 +169,14 @@ class BatchEncoder:
     def _recall(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of runs, numbers of ids, the run of each text) of distinct texts that begin with a space."""
         held, flat, sizes = self.held
-        at = pc.index_in(texts, value_set=held)
-        new = np.asarray(at.is_null())
+        # the hash table is of texts, not of all that is held: it takes memory and time by the batch
+        at = pc.index_in(held, value_set=texts)
+        met = np.flatnonzero(np.asarray(at.is_valid()))
+        which = np.full(len(texts), -1, np.int64)
+        which[np.asarray(at.take(pa.array(met)))] = met
+        new = which < 0
         fresh = texts.filter(pa.array(new))
         more, more_sizes = self._ask(fresh.to_pylist(), spaced=True)
-        which = np.asarray(at.fill_null(0)).astype(np.int64)
         which[new] = len(sizes) + np.arange(len(more_sizes))
         flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
         if len(sizes) <= self.most:
@@ -279,6 +285,14 @@ class Batch:
 _loaded: dict[str, BatchEncoder] = {}
 
 
+def encoder(path: str) -> BatchEncoder:
+    """The worker's own for path. A nested function that a task runs comes with copies of the globals it names, so one
+    that named _loaded would load the file again in every task; this one is found in the module."""
+    if path not in _loaded:
+        _loaded[path] = BatchEncoder(path)
+    return _loaded[path]
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     upto, lo = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), np.int64)), 0
     while lo < batch.num_rows:
@@ -291,9 +305,7 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, id_col: str, text_col:
     """(part, block, n, doc_ids, nulls, sizes, tokens, hist, width): blocks of whole documents in ascending id order over (part, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = BatchEncoder(path)
-        enc, part, no = _loaded[path], TaskContext.get().partitionId(), 0
+        enc, part, no = encoder(path), TaskContext.get().partitionId(), 0
         for b in (piece for batch in batches for piece in _pieces(batch)):
             ids = b.column(0)
             null, ids = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
@@ -361,6 +373,7 @@ def write_files(blocks: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
                 out.write(raw)
                 rows.append((prefix + name, at, len(raw), part.as_py(), no.as_py(), n.as_py()))
                 at += len(raw)
+            trim()
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "offset", "bytes", "part", "block", "n"])
@@ -421,7 +434,7 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_i
     repeat an id follow each other, ordered by a hash of the text. A block has whole documents: one of any
     length is a block by itself. An empty table gives an empty result. Other columns are not read. path must name the tokenizer's file on the executors.
     """
-    blocks = spill(token_blocks(docs, path, end_id, id_col, text_col), "rans-tokens", "lz4")
+    blocks = spill(token_blocks(docs, path, end_id, id_col, text_col), "rans-tokens", "lz4", SPILL)
     freq = frequencies(count_tokens(blocks))
     folder = new_path(docs.sparkSession, "rans")
     table = write_table(freq, folder)

@@ -5,14 +5,18 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
 from ctxloom.llm import bpe, hmm, langid, mixing, quality, rans, simhash, suffix, topk, warc
+from ctxloom.llm.common import spill_to
 from ctxloom.llm.graph import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -707,3 +711,37 @@ def test_arrow_slices_of_text():
     enc = rans.BatchEncoder(BYTE_BPE)
     batch = enc.compile(col)
     assert np.split(batch.tokens(0, 2), np.cumsum(batch.counts)[:-1])[1].tolist() == enc.encode(["c\nd"])[0]
+
+
+def test_rans_encoder_is_loaded_once_a_worker(table, monkeypatch):
+    """Tasks are pickled apart from each other, and yet share what their worker has loaded and remembers."""
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, f, schema: f)
+    run, loads, init = rans.token_blocks(table, BYTE_BPE, 2, "doc_id", "text"), [], rans.BatchEncoder.__init__
+    monkeypatch.setattr(rans, "_loaded", {})
+    monkeypatch.setattr(rans.BatchEncoder, "__init__", lambda self, path: (loads.append(path), init(self, path))[1])
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch, raw = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", "c"])], ["doc_id", "text"]), cloudpickle.dumps(run)
+    got = [list(cloudpickle.loads(raw)(iter([batch])))[0].column("tokens")[0].as_py() for _ in range(3)]
+    assert loads == [BYTE_BPE] and got[0] == got[1] == got[2]
+
+
+def test_rans_lookup_takes_memory_by_the_batch():
+    enc = rans.BatchEncoder(BYTE_BPE)
+    held = pa.array([f" word{i}" for i in range(400_000)])
+    enc.held = (held, np.zeros(400_000, enc.dtype), np.ones(400_000, np.int64))
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        flat, sizes, which = enc._recall(pa.array([" new", " word7", " other"]))
+    finally:
+        pa.set_memory_pool(before)
+    assert which.tolist() == [400_000, 7, 400_001] and pool.max_memory() < 12e6
+
+
+def test_rans_blocks_are_spilled_in_small_row_groups(spark, tmp_path):
+    blocks = spark.range(0, 80, 1, 1).select("id", F.expr("to_binary(repeat(sha2(cast(id as string), 512), 4000), 'hex')").alias("tokens"))
+    back = spill_to(blocks, f"file://{tmp_path}/b", "lz4", rans.SPILL)
+    (name,) = tmp_path.glob("b/*.parquet")
+    meta = pq.ParquetFile(name).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 10e6
+    assert back.select(F.sum(F.length("tokens"))).first()[0] == 80 * 256_000
