@@ -56,7 +56,7 @@ class AnnExact:
 
     cache: DataFrame
     embedder: str
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "ann-linear"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -170,7 +170,7 @@ class AnnLsh:
     dim: int
     bands: int = 12
     bits: int = 6
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "ann-lsh"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:

@@ -1,8 +1,8 @@
 """Retrievers: functions from a table of requests to scored candidates.
 
 Each takes (requests, tables) with requests(request_id, session_id, task, ...) and returns
-candidates(request_id, block_id, score float, source), the best limit of each request. Scores are single
-precision, as ranking and ties depend on it.
+candidates(request_id, block_id, score float, source), the best limit of each request, or all of them where limit
+is None. Scores are single precision, as ranking and ties depend on it.
 """
 from __future__ import annotations
 
@@ -25,9 +25,11 @@ def _clamp(score: Column) -> Column:
     return f32(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
-def _best(df: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """The first limit rows of each request. Spark also cuts each partition to them before the shuffle, for limits up to
-    a threshold, which is raised to this one."""
+def _best(df: DataFrame, limit: int | None, *order: Column) -> DataFrame:
+    """The first limit rows of each request, or all rows where there is no limit. Spark also cuts each partition to them
+    before the shuffle, for limits up to a threshold, which is raised to this one."""
+    if limit is None:
+        return df
     conf, key = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
     if int(conf.get(key)) < limit:
         conf.set(key, str(limit))
@@ -44,7 +46,7 @@ class Session:
     """Every block of the session at one score; beyond the limit the oldest stay."""
 
     score: float = 0.5
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "session"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -57,7 +59,7 @@ class Recency:
     """By the time inside the id: linear over the session's span, or halved every half_life_s seconds. Reads no bodies."""
 
     half_life_s: float | None = None
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "recency"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -84,7 +86,7 @@ class Lexical:
     """Shared terms over the block's terms, both as sets."""
 
     min_word_len: int = 3
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "lexical"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -111,7 +113,7 @@ class Bm25:
     k1: float = 1.2
     b: float = 0.75
     min_word_len: int = 2
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "bm25"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -142,7 +144,7 @@ class Pinned:
     """Fixed ids at score 1, the first limit of them."""
 
     ids: tuple[str, ...] = ()
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "pinned"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -156,7 +158,7 @@ class Shared:
 
     session_id: str
     score: float = 0.5
-    limit: int = RETRIEVAL_LIMIT
+    limit: int | None = RETRIEVAL_LIMIT
     name: str = "shared"
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:
@@ -165,9 +167,10 @@ class Shared:
 
 
 class PythonRetriever:
-    """An object with name and retrieve(session, task, limit) -> [(32 hex digits, score)], asked once for each request in an Arrow batch."""
+    """An object with name and retrieve(session, task, limit) -> [(32 hex digits, score)], asked once for each request in an Arrow batch.
+    limit is None where all are asked for."""
 
-    def __init__(self, inner, limit: int = RETRIEVAL_LIMIT):
+    def __init__(self, inner, limit: int | None = RETRIEVAL_LIMIT):
         self.inner, self.limit, self.name = inner, limit, inner.name
 
     def __call__(self, requests: DataFrame, tables: Tables) -> DataFrame:

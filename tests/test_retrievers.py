@@ -180,3 +180,30 @@ def test_remote_services():
     assert ask("x") == "X" and ask("") == ""
     with pytest.raises(remote.RemoteError):
         remote.read_summary({"content": []})
+
+
+@pytest.fixture
+def large(spark, tmp_path):
+    """One source with more documents than any default limit."""
+    from ctxloom.plans.models import RETRIEVAL_LIMIT
+
+    n = 2 * RETRIEVAL_LIMIT
+    text = F.concat(F.lit("the password work "), F.repeat(F.lit("filler "), (F.col("id") % 3).cast("int")))
+    spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), n
+
+
+def test_merge_of_a_session_beyond_the_default_limit(spark, large):
+    from ctxloom.plans.catalog import QUERIES
+
+    sf, n = large
+    rows = {int(r.block_id[12:], 16): r.score for r in QUERIES["merge_max"](spark, sf).collect()}
+    lexical = 3 / 4  # of every document, or 1 for those without filler
+    assert len(rows) == n and all(rows[i] == pytest.approx(max(i / (n - 1), 1.0 if i % 3 == 0 else lexical), abs=1e-6) for i in range(n))
+
+
+def test_no_limit_gives_every_candidate(spark):
+    t = tables(spark, [(1, i, i, "Fact", f"moon {i}") for i in range(1, 7)])
+    q = asks(spark, [1], 9, "moon")
+    for r in (retrievers.Session, retrievers.Recency, retrievers.Lexical, retrievers.Bm25):
+        assert len(found(r(limit=2)(q, t))) == 2 and len(found(r(limit=None)(q, t))) == 6
