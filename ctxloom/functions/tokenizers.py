@@ -1,7 +1,7 @@
 """Tokenizers by id. Each gives a Column of token counts; only file-based ones leave the JVM."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,6 +29,19 @@ def word_level(id: str = "word-level") -> Tokenizer:
 _loaded: dict = {}
 
 
+def _groups(texts: Iterable[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, in groups of about so many characters: a worker holds the tokens of one group, not of an Arrow batch."""
+    group, n = [], 0
+    for t in texts:
+        if group and n + len(t) > chars:
+            yield group
+            group, n = [], 0
+        group.append(t)
+        n += len(t)
+    if group:
+        yield group
+
+
 def hugging_face(id: str, path: str) -> Tokenizer:
     """A tokenizers-library file; special tokens are not added. The file is loaded once in each worker."""
 
@@ -38,20 +51,21 @@ def hugging_face(id: str, path: str) -> Tokenizer:
             from tokenizers import Tokenizer as Lib
 
             _loaded[path] = Lib.from_file(path)
-        enc = _loaded[path].encode_batch_fast(s.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([len(e.ids) for e in enc], dtype="int64")
+        lib = _loaded[path]
+        return pd.Series([len(e.ids) for g in _groups(s.fillna("")) for e in lib.encode_batch_fast(g, add_special_tokens=False)], dtype="int64")
 
     return Tokenizer(id, count, True)
 
 
 def _tiktoken(id: str, key: str, load: Callable[[], object]) -> Tokenizer:
-    """Strings of special tokens are ordinary text; an encoding is loaded once in each worker."""
+    """Strings of special tokens are ordinary text; an encoding is loaded once in each worker, which holds the tokens of
+    one text at a time."""
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         if key not in _loaded:
             _loaded[key] = load()
-        return pd.Series([len(x) for x in _loaded[key].encode_ordinary_batch(s.fillna("").tolist(), num_threads=1)], dtype="int64")
+        return pd.Series([len(_loaded[key].encode_ordinary(x)) for x in s.fillna("")], dtype="int64")
 
     return Tokenizer(id, count, True)
 

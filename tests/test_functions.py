@@ -87,3 +87,44 @@ def test_stored_counts(spark):
     lied = t.blocks.withColumn("token_counts", F.create_map(F.lit("word-level"), F.lit(999).cast("long")))
     assert {r.tokens for r in tokenizers.count_blocks(lied, tokenizers.word_level()).collect()} == {999}
     assert {r.tokens for r in tokenizers.count_blocks(lied, tokenizers.word_level(), live=True).collect()} == {1, 2}
+
+
+def test_tokenizers_hold_few_tokens(spark):
+    """What a worker holds at once does not grow with the Arrow batch."""
+    import pandas as pd
+
+    from ctxloom.functions import tokenizers
+
+    alive = most = 0
+
+    class Tokens(list):
+        def __init__(self, n):
+            nonlocal alive, most
+            super().__init__(range(n))
+            self.ids = range(n)
+            alive += n
+            most = max(most, alive)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= len(self)
+
+    class Stub:
+        def encode_ordinary(self, text):
+            return Tokens(len(text))
+
+        def encode_ordinary_batch(self, texts, **_):
+            return [Tokens(len(t)) for t in texts]
+
+        def encode_batch_fast(self, texts, **_):
+            return [Tokens(len(t)) for t in texts]
+
+    texts = pd.Series(["x" * (i % 5 * 100_000) for i in range(100)] + [None])
+    tokenizers._loaded["stub"] = Stub()
+    try:
+        for made, bound in ((tokenizers._tiktoken("t", "stub", Stub), 800_000), (tokenizers.hugging_face("h", "stub"), 2_500_000)):
+            most = 0
+            got = made.count.__wrapped__ if hasattr(made.count, "__wrapped__") else made.count.func
+            assert got(texts).tolist() == texts.fillna("").str.len().tolist() and alive == 0 and most <= bound
+    finally:
+        del tokenizers._loaded["stub"]
