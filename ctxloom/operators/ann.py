@@ -90,73 +90,128 @@ def sure_cosine(bands: int, bits: int, recall: float) -> float:
     return math.cos(math.pi * (1 - agree))
 
 
-def _blocks(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """(session_id, no, ids, vectors): the rows of a session in id order, at most rows of them together."""
-    w = Window.partitionBy("session_id")
-    n = df.withColumn("__no", F.pmod(F.xxhash64(id_col), F.ceil(F.count(F.lit(1)).over(w) / rows)))
-    g = n.groupBy("session_id", F.col("__no").alias("no")).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), "vector"))).alias("rows"))
-    return g.select("session_id", "no", F.col("rows.id").alias("ids"), F.col("rows.vector").alias("vectors"))
+def _keyed(df: DataFrame, dim: int, bands: int, bits: int) -> DataFrame:
+    """signatures() of the column vector, with the same sums, for many rows at once."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+    every = np.array([x for band in range(bands) for x in planes(dim, bits, 100 + band)])
+    columns, at = df.columns, df.columns.index("vector")
 
-def nearest_exact(queries: DataFrame, points: DataFrame, k: int, rows: int = 1024) -> DataFrame:
-    """The k points of each query's session with the largest cosine, as (query_id, point_id, score): blocks of queries meet
-    blocks of points, so that no row is made for a pair that is not among the k best of its block. Scores equal cosine()."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, n = _matrix(b.column(at))
+            sums, fit = np.full((len(m), len(every)), -1.0), n == dim
+            sums[fit] = 0
+            for d in range(dim if fit.any() else 0):
+                sums[fit] += m[fit, d, None] * every[None, :, d]
+            keys = (~(sums < 0).reshape(len(m), bands, bits) << np.arange(bits)).sum(axis=2) + (np.arange(bands) << 32)
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * bands, pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, own], [*columns, "__keys"])
+
+    made = df.mapInArrow(run, StructType([*df.schema.fields, StructField("__keys", ArrayType(LongType()))]))
+    return made.select(*columns, F.explode("__keys").alias("__key"))
+
+
+def _blocks(df: DataFrame, id_col: str, keys: list[str], blocks) -> DataFrame:
+    """(keys, no, ids, vectors): the rows of equal keys in id order, dealt over so many blocks."""
+    g = df.withColumn("no", F.pmod(F.xxhash64(id_col), blocks).cast("int")).groupBy(*keys, "no")
+    g = g.agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), "vector"))).alias("rows"))
+    return g.select(*keys, "no", F.col("rows.id").alias("ids"), F.col("rows.vector").alias("vectors"))
+
+
+def _matrix(vectors) -> tuple:
+    """An Arrow array of vectors as rows of doubles, short ones filled up with zeros, and their lengths."""
     import numpy as np
+    import pyarrow.compute as pc
+
+    n = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(n), n.max(initial=0)))
+    out[np.arange(out.shape[1])[None, :] < n[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return out, n
+
+
+def _best_pairs(qi: list, qv, pi: list, pv, k: int) -> tuple:
+    """(query rows, point rows, scores) of the k best points of each query. A matrix product leaves those that are as near as
+    the k-th or may be by rounding; these alone are summed in the order of cosine()."""
+    import numpy as np
+
+    (x, nq), (y, n_p) = _matrix(qv), _matrix(pv)
+    dims = min(x.shape[1], y.shape[1])
+    square = lambda m: np.sqrt(np.add.accumulate(m * m, axis=1)[:, -1]) if m.shape[1] else np.zeros(len(m))  # in order
+    nx, ny = square(x), square(y)
+
+    def cosines(dot, denom, sound):
+        return np.where(sound, np.clip(dot / np.where(sound, denom, 1), 0, 1), 0)
+
+    denom = nx[:, None] * ny[None, :]
+    sound = (nq[:, None] == n_p[None, :]) & (nq[:, None] > 0) & (denom >= 1.1920929e-07)
+    near = np.nan_to_num(cosines(x[:, :dims] @ y[:, :dims].T, denom, sound), nan=-1.0)
+    at = {p: j for j, p in enumerate(pi)}
+    for a, q in enumerate(qi):
+        if q in at:  # itself
+            near[a, at[q]] = -2
+    least = np.partition(near, len(pi) - k, axis=1)[:, len(pi) - k] if len(pi) > k else np.full(len(qi), -1.0)
+    i, j = np.nonzero(near >= np.maximum(least - 1e-9, -1.0)[:, None])
+    dot = np.zeros(len(i))
+    for d in range(dims):
+        dot += x[i, d] * y[j, d]
+    score = cosines(dot, denom[i, j], sound[i, j])
+    order = np.lexsort((j, -score, i))  # points are in id order
+    i, j, score = i[order], j[order], score[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], score[kept]
+
+
+def _nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, rows: int) -> DataFrame:
+    """(query_id, point_id, score): for each block of points of equal keys its k best for each query, the query itself left out.
+
+    Blocks of queries are sent to each block of points, so that the work spreads by blocks, not by keys.
+    """
     import pyarrow as pa
 
-    q = _blocks(queries.dropDuplicates(["session_id", "query_id"]), "query_id", rows)
-    p = _blocks(points.dropDuplicates(["session_id", "point_id"]), "point_id", rows)
-    pairs = q.select("session_id", F.col("ids").alias("qi"), F.col("vectors").alias("qv")).join(p.select("session_id", F.col("ids").alias("pi"), F.col("vectors").alias("pv")), "session_id")
-
-    def score(qs: list, ps: list):
-        """cosine() of every pair, summed in its order."""
-        out = np.zeros((len(qs), len(ps)))
-        by: dict[int, list[int]] = {}
-        for j, v in enumerate(ps):
-            by.setdefault(len(v or ()), []).append(j)
-        for n in {len(v or ()) for v in qs} & set(by) - {0}:
-            i, j = [i for i, v in enumerate(qs) if len(v or ()) == n], by[n]
-            x, y = np.array([qs[a] for a in i], np.float64), np.array([ps[a] for a in j], np.float64)
-            dot, nx, ny = np.zeros((len(i), len(j))), np.zeros(len(i)), np.zeros(len(j))
-            for d in range(n):
-                dot += x[:, d, None] * y[None, :, d]
-                nx += x[:, d] * x[:, d]
-                ny += y[:, d] * y[:, d]
-            denom = np.sqrt(nx)[:, None] * np.sqrt(ny)[None, :]
-            sound = denom >= 1.1920929e-07
-            out[np.ix_(i, j)] = np.where(sound, np.clip(dot / np.where(sound, denom, 1), 0, 1), 0)
-        return out
+    n = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks"))
+    q = _blocks(queries, "query_id", keys, F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / rows))
+    p = _blocks(points.join(n, keys), "point_id", keys, F.col("blocks"))
+    sent = q.select(*keys, F.col("ids").alias("qi"), F.col("vectors").alias("qv")).join(n, keys).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = sent.join(p.select(*keys, "no", F.col("ids").alias("pi"), F.col("vectors").alias("pv")), [*keys, "no"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                qi, qv, pi, pv = (b.column(c)[r].as_py() for c in range(4))
-                got: list[tuple] = []
-                for a, s in zip(qi, score(qv, pv)):
-                    top = np.argsort(-s, kind="stable")[: k + 1]  # points are in id order; one of them may be the query
-                    got += [(a, pi[t], float(s[t])) for t in top if pi[t] != a][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["query_id", "point_id", "score"])
+                qi, qv, pi, pv = (b.column(c)[r].values for c in range(4))
+                i, j, score = _best_pairs(qi.to_pylist(), qv, pi.to_pylist(), pv, k)
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(i)).cast(pa.string()), pi.take(pa.array(j)).cast(pa.string()), pa.array(score)], ["query_id", "point_id", "score"])
 
     return pairs.select("qi", "qv", "pi", "pv").mapInArrow(run, "query_id string, point_id string, score double")
 
 
+def nearest_exact(queries: DataFrame, points: DataFrame, k: int, rows: int = 1024) -> DataFrame:
+    """The k points of each query's session with the largest cosine, as (query_id, point_id, score): blocks of queries meet
+    blocks of points, so that no row is made for a pair that is not among the k best of its block. Scores equal cosine()."""
+    q, p = queries.dropDuplicates(["session_id", "query_id"]), points.dropDuplicates(["session_id", "point_id"])
+    return _nearest(q, p, ["session_id"], k, rows)
+
+
 def nearest_lsh(queries: DataFrame, points: DataFrame, dim: int, k: int, bands: int = 12, bits: int = 6, recall: float = 0.99) -> DataFrame:
     """queries(query_id, session_id, vector), points(session_id, point_id, vector) -> (query_id, point_id, score, rank).
 
-    Candidates share a session and one band of sign bits; scores are exact. A point that is missed is nearer than the
+    Candidates share a session and one band of sign bits, and meet in blocks; scores are exact. A point that is missed is nearer than the
     k-th found, so a query whose k-th score is at least sure_cosine has its neighbours with a probability of recall each;
     the other queries are held against their whole session. Tests measure recall on the embeddings table.
     """
-    q = signatures(queries.select("query_id", "session_id", F.col("vector").alias("qv")), "qv", dim, bands, bits)
-    p = signatures(points.select("session_id", "point_id", F.col("vector").alias("pv")), "pv", dim, bands, bits)
-    pairs = q.join(p, ["session_id", "__key"]).filter("query_id <> point_id").select("query_id", "point_id", "qv", "pv").dropDuplicates(["query_id", "point_id"])
-    scored = pairs.select("query_id", "point_id", cosine(F.col("qv"), F.col("pv")).alias("score"))
+    q = queries.select("query_id", "session_id", "vector").dropDuplicates(["session_id", "query_id"])
+    p = points.select("session_id", "point_id", "vector").dropDuplicates(["session_id", "point_id"])
+    scored = _nearest(_keyed(q, dim, bands, bits), _keyed(p, dim, bands, bits), ["session_id", "__key"], k, 1024)
+    scored = scored.dropDuplicates(["query_id", "point_id"])  # a pair may share many bands
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
-    found = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-    sure = found.filter((F.col("rank") == k) & (F.col("score") >= sure_cosine(bands, bits, recall))).select("query_id")
-    rest = nearest_exact(queries.select("query_id", "session_id", "vector").join(sure, "query_id", "left_anti"), points.select("session_id", "point_id", "vector"), k)
+    last = F.max(F.when(F.col("rank") == k, F.col("score"))).over(Window.partitionBy("query_id"))
+    found = scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("last", last).filter(F.col("last") >= sure_cosine(bands, bits, recall)).drop("last")
+    sure = found.select("query_id").distinct()
+    rest = nearest_exact(q.join(sure, "query_id", "left_anti"), p, k)
     rest = rest.dropDuplicates(["query_id", "point_id"]).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return found.join(sure, "query_id", "left_semi").unionByName(rest)
+    return found.unionByName(rest)
 
 
 @dataclass(frozen=True)

@@ -215,3 +215,15 @@ def test_text_retrievers_beyond_the_default_limit(spark, large):
     sf, n = large
     for name in ("retrieve_bm25", "retrieve_lexical"):
         assert QUERIES[name](spark, sf).select("block_id").distinct().count() == n
+
+
+def test_lsh_scores_blocks_and_not_rows(spark):
+    """No row is made for a pair that shares a band; keys are those of signatures()."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    p = spark.createDataFrame([("s", f"p{i:03d}", [float(x) for x in rng.standard_normal(8)]) for i in range(60)] + [("s", "short", [1.0]), ("s", "none", None)], "session_id string, point_id string, vector array<float>")
+    plan = ann.nearest_lsh(p.withColumnRenamed("point_id", "query_id"), p, 8, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan
+    keys = lambda df: sorted((r.point_id, r["__key"]) for r in df.select("point_id", "__key").collect())
+    assert keys(ann._keyed(p, 8, 12, 6)) == keys(ann.signatures(p, "vector", 8, 12, 6))
