@@ -60,7 +60,8 @@ def iso8601(ms: Column) -> Column:
 
 
 def f32(x: Column) -> Column:
-    return x.cast("float")
+    """Single precision. By way of double, as Spark drops the float of an integer that it widens again, as division does."""
+    return x.cast("double").cast("float")
 
 
 def ratio32(a: Column, b: Column) -> Column:

@@ -128,3 +128,13 @@ def test_tokenizers_hold_few_tokens(spark):
             assert got(texts).tolist() == texts.fillna("").str.len().tolist() and alive == 0 and most <= bound
     finally:
         del tokenizers._loaded["stub"]
+
+
+def test_single_precision_of_large_integers(spark):
+    import numpy as np
+
+    from ctxloom.functions.text import ratio32
+
+    pairs = [(98_594_000, 256_409_000), (104_715_000, 256_409_000), (33_554_435, 67_108_867), (1, 3)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a long, b long").select(ratio32(F.col("a"), F.col("b"))).collect()]
+    assert got == [float(np.float32(a) / np.float32(b)) for a, b in pairs]
